@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .minhash import near_classes
 from .mixing import mix
 from .sharding import assign_shards
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("i")
 
@@ -22,7 +27,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_minhash": op1_minhash, "op3_mixing": op3_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
