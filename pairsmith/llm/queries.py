@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .langid import predict_language
 from .minhash import near_classes
 from .mixing import mix
 from .sharding import assign_shards
+from .topk import top_k
+from .toxicity import predict_toxicity
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +23,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("i")
 
 
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return predict_toxicity(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_language(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,11 +45,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_mixing": op3_mixing, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_minhash": op1_minhash, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op4_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+            (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op9_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
