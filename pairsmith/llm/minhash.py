@@ -24,6 +24,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 RARE = 0.01
 CHUNK_BYTES = 32 << 20
+#: Texts in a block of those that are compared with one another.
+PAGE = 256
 #: Frequent shingles are looked up in memory in blocks of this many.
 BLOCK = 1 << 20
 
@@ -227,15 +229,12 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = _texts(rows, nodes, buckets)
     links = checkpoint(_verify(tested, texts, idf, threshold))
     components = connected_components(links)
-    # In buckets that still hold several components, the rest of the pairs between components: everything else is linked already.
+    # Only the leader was compared: in buckets that still hold several components, links between those may be missing.
     inside = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    left = checkpoint(inside.join(split, "key").where("node <> leader").join(nodes.select("node", "keys"), "node").select("key", "node", "component", "keys"))
-    x, y = left.alias("x"), left.alias("y")
-    # Pairs that meet in a band and not by its leader; a pair is looked at in the least band that it shares.
-    both = x.join(y, F.expr("x.key = y.key and x.node < y.node and x.component <> y.component and array_min(array_intersect(x.keys, y.keys)) = x.key"))
-    rest = both.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).join(tested, ["src", "dst"], "left_anti")
-    more = checkpoint(_verify(rest, texts, idf, threshold))
+    parts = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
+    parts = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    left = checkpoint(inside.join(parts.where("parts > 1 and n > 2"), "key").select("key", "node", "component", F.col("component") != F.col("main"), "n").toDF("key", "node", "component", "outside", "n"))
+    more = checkpoint(_compare_blocks(left, texts, idf, threshold))
     if not more.isEmpty():
         components = connected_components(links.union(more))
     classes = nodes.select("node", "rid").join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rid")
@@ -256,6 +255,64 @@ def _texts(rows: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     return checkpoint(found.groupBy("node").agg(F.first("text").alias("text")))
 
 
+def _compare_blocks(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """Links between components of a bucket, by comparing each text outside its main component with all of its texts.
+
+    Both sides are dealt to blocks of ``PAGE`` texts, and each pair of blocks is compared in one task by a matrix product: no
+    pair of texts becomes a row. What comes out is a row for each pair of components that some pair of blocks links.
+    """
+    counts = left.groupBy("key").agg(F.max("n").alias("_n"), F.count_if("outside").alias("_out"))
+    pages = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / PAGE)).cast("int")
+    rows = left.drop("n").join(counts, "key").join(texts, "node")
+    page = lambda n: F.pmod(F.xxhash64("node"), pages(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), pages(n) - 1))
+    asks = rows.where("outside").select("key", page("_out").alias("x"), every("_n").alias("y"), F.lit(True).alias("ask"), "node", "component", "text")
+    held = rows.select("key", every("_out").alias("x"), page("_n").alias("y"), F.lit(False).alias("ask"), "node", "component", "text")
+    return asks.union(held).groupBy("key", "x", "y").applyInPandas(_linked_components(idf, threshold), "src string, dst string").distinct()
+
+
+def _linked_components(idf: tuple[np.ndarray, np.ndarray], threshold: float):
+    def run(pdf):
+        import pandas as pd
+
+        nodes, at = np.unique(pdf["node"].to_numpy(str), return_inverse=True)
+        first = np.unique(at, return_index=True)[1]
+        component = pdf["component"].to_numpy(str)[first]
+        owner, item, weight = [], [], []
+        for k, text in enumerate(pdf["text"].iloc[first]):
+            data = tokens.LOWER[np.frombuffer(text.encode(), np.uint8)]
+            _, hashes, counts = _sets(data, np.array([0, len(data)]))
+            # The i-th occurrence of a shingle is an item of its own, so that the smaller count is what is shared.
+            each = _weights(hashes, np.ones(len(hashes), np.int64), idf)
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            owner.append(np.full(len(nth), k))
+            item.append(tokens.mix64(np.repeat(hashes, counts) + nth.astype(np.uint64)))
+            weight.append(np.repeat(each, counts))
+        owner, item, weight = np.concatenate(owner), np.concatenate(item), np.concatenate(weight).astype(np.float64)
+        total = np.bincount(owner, weight, minlength=len(nodes))
+        order = np.argsort(item, kind="stable")
+        owner, item, weight = owner[order], item[order], weight[order]
+        new = np.append(True, item[1:] != item[:-1])
+        column = np.cumsum(new) - 1
+        shared = np.bincount(column)[column] > 1
+        owner, column, weight = owner[shared], column[shared], weight[shared]
+        column = np.unique(column, return_inverse=True)[1] if len(column) else column
+        asks, held = np.unique(at[pdf["ask"].to_numpy(bool)]), np.unique(at[~pdf["ask"].to_numpy(bool)])
+        common = np.zeros((len(asks), len(held)))
+        width = 1 << 13
+        for low in range(0, int(column.max(initial=-1)) + 1, width):
+            here = slice(*np.searchsorted(column, [low, low + width]))
+            block = np.zeros((len(nodes), width), np.float32)
+            block[owner[here], column[here] - low] = np.sqrt(weight[here])
+            common += block[asks] @ block[held].T
+        union = total[asks][:, None] + total[held][None, :] - common
+        good = (common >= (threshold - 1e-6) * union) & (component[asks][:, None] != component[held][None, :])
+        x, y = np.nonzero(good)
+        return pd.DataFrame({"src": component[asks][x], "dst": component[held][y]}).drop_duplicates()
+
+    return run
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
     left = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text"))
     right = texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))

@@ -75,3 +75,20 @@ def test_odd_rows(spark):
         by[r.doc_id].add(r.class_id)
     assert by[4] == by[5] == by[None] and by[6] == by[7] == {6} and len({*by[1], *by[2], *by[3], *by[8], *by[4]}) == 5
     assert near_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_large_group_with_similarities_near_the_threshold(spark, monkeypatch):
+    from pairsmith.llm import minhash
+
+    monkeypatch.setattr(minhash, "PAGE", 16)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 1 and got == want
