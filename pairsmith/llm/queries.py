@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .langid import predict_language
 from .minhash import near_classes
 from .mixing import mix
+from .sentencepiece import encode_documents
 from .sharding import assign_shards
 from .topk import top_k
 from .toxicity import predict_toxicity
@@ -19,6 +20,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("i")
 
@@ -45,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
