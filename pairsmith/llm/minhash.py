@@ -25,7 +25,7 @@ BANDS, ROWS = 12, 4
 RARE = 0.01
 CHUNK_BYTES = 32 << 20
 #: Texts in a block of those that are compared with one another.
-PAGE = 256
+PAGE = 512
 #: Frequent shingles are looked up in memory in blocks of this many.
 BLOCK = 1 << 20
 
@@ -222,8 +222,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A node is a distinct text, named by its digest; the row with the least id stands for it.
     nodes = checkpoint(signed.where("size(keys) > 0").groupBy(F.col("h").alias("node")).agg(F.min("rid").alias("rid"), F.first("keys").alias("keys")))
     keyed = checkpoint(nodes.select("node", F.explode("keys").alias("key")))
-    leaders = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    buckets = checkpoint(keyed.join(leaders, "key"))
+    # Each bucket is led by the text that meets the most others in all of its own buckets: near the middle of its group.
+    met = checkpoint(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    ranked = met.join(met.groupBy("node").agg(F.sum("n").alias("meets")), "node")
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("leader"))
+    buckets = checkpoint(met.select("key", "node").join(leaders, "key"))
     tested = buckets.where("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")).distinct()
     tested = checkpoint(tested)
     texts = _texts(rows, nodes, buckets)
@@ -259,7 +262,7 @@ def _compare_blocks(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np
     """Links between components of a bucket, by comparing each text outside its main component with all of its texts.
 
     Both sides are dealt to blocks of ``PAGE`` texts, and each pair of blocks is compared in one task by a matrix product: no
-    pair of texts becomes a row. What comes out is a row for each pair of components that some pair of blocks links.
+    pair of texts becomes a row. What comes out is a row at most for each component in a pair of blocks.
     """
     counts = left.groupBy("key").agg(F.max("n").alias("_n"), F.count_if("outside").alias("_out"))
     pages = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / PAGE)).cast("int")
@@ -306,9 +309,24 @@ def _linked_components(idf: tuple[np.ndarray, np.ndarray], threshold: float):
             block[owner[here], column[here] - low] = np.sqrt(weight[here])
             common += block[asks] @ block[held].T
         union = total[asks][:, None] + total[held][None, :] - common
-        good = (common >= (threshold - 1e-6) * union) & (component[asks][:, None] != component[held][None, :])
+        names, part = np.unique(component, return_inverse=True)
+        good = (common >= (threshold - 1e-6) * union) & (part[asks][:, None] != part[held][None, :])
+        # Components linked here, directly or through others, come out as links to the first of them only.
+        root = np.arange(len(names))
         x, y = np.nonzero(good)
-        return pd.DataFrame({"src": component[asks][x], "dst": component[held][y]}).drop_duplicates()
+        links = np.unique(np.column_stack([part[asks][x], part[held][y]]), axis=0)
+        while len(links):
+            low = np.minimum(root[links[:, 0]], root[links[:, 1]])
+            before = root.copy()
+            np.minimum.at(root, root[links[:, 0]], low)
+            np.minimum.at(root, root[links[:, 1]], low)
+            np.minimum.at(root, links[:, 0], low)
+            np.minimum.at(root, links[:, 1], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pd.DataFrame({"src": names[moved], "dst": names[root[moved]]}, dtype=object)
 
     return run
 
