@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .langid import predict_language
+from .linededup import dedup_lines
 from .minhash import near_classes
 from .mixing import mix
 from .sentencepiece import encode_documents
@@ -42,6 +43,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_language(table(spark, sf_dir, "documents"))
 
 
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op8_linededup": op8_linededup, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
