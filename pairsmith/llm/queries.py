@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .langid import predict_language
 from .linededup import dedup_lines
+from .lm import score_documents
 from .minhash import near_classes
 from .mixing import mix
 from .sentencepiece import encode_documents
@@ -34,6 +35,10 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
     return predict_toxicity(table(spark, sf_dir, "documents"), labels)
@@ -55,7 +60,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op8_linededup": op8_linededup, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op8_linededup": op8_linededup, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
