@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files of what came before go once the driver's objects for them do.
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def row_id(*columns: str) -> F.Column:
@@ -38,18 +43,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Returns (node, component) for every node that has an edge to another one; component is the least node of its own.
     """
     current = checkpoint(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    mark = None
     while True:
+        # Stars: every node has one edge to a smaller one at most, and none if it is the smaller one of another.
+        ends = current.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(current.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down > 0 and up > 0)").isEmpty():
+            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select("v", "v").distinct())
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = checkpoint(small.union(least).distinct())
-        now = tuple(current.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == mark or now[0] == 0:
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
 
 
 def stage_folder(spark: SparkSession) -> str:
