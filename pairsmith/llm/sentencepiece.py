@@ -25,7 +25,7 @@ from . import tokens
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 19
 DEPTH = 64
 _END = 0xFF  # stands in no UTF-8 text
 
@@ -190,15 +190,15 @@ def may_follow(t: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _suffix_ranks(text: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Suffixes sorted by their first 8, 16, 32, 64 bytes: for each depth the order, its sorted keys, and each suffix's rank."""
+def _suffix_ranks(text: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Suffixes sorted by their first 8, 16, 32, 64 bytes: for each depth the order and its sorted keys."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(DEPTH, np.uint8)]).astype(np.uint64)
     key = np.zeros(n + DEPTH - 8, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : k + n + DEPTH - 8]
     key = key[:n]
-    orders, keys, ranks = [], [], []
+    orders, keys = [], []
     depth = 8
     while True:
         order = np.argsort(key)
@@ -208,9 +208,8 @@ def _suffix_ranks(text: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray],
         rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
         orders.append(order)
         keys.append(sorted_key)
-        ranks.append(rank)
         if depth >= DEPTH:
-            return orders, keys, ranks
+            return orders, keys
         later = np.zeros(n, np.int64)
         later[: n - depth] = rank[depth:] + 1 if n > depth else 0
         key = rank.astype(np.uint64) << np.uint64(32) | later.astype(np.uint64)
@@ -262,7 +261,7 @@ def encode_units(pieces: Pieces, text: np.ndarray, starts: np.ndarray, ends: np.
     own = np.repeat(np.arange(n_units), sizes)
     within = np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     joined[begin[own] + within] = text[starts[own] + within]
-    orders, keys, _ = _suffix_ranks(joined)
+    orders, keys = _suffix_ranks(joined)
     low, high, level = _ranges(t, keys)
     found = []
     for k in range(len(keys)):
