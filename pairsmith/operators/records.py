@@ -24,8 +24,8 @@ def turn(role: str, value: Column) -> Column:
     return F.struct(F.lit(role).alias("from"), value.alias("value"))
 
 
-def sft(pairs: DataFrame, style: str = "sharegpt", topics: bool = False) -> DataFrame:
-    """Prompt and chosen reply as a conversation (``sharegpt``) or as instruction and output (``alpaca``)."""
+def sft(pairs: DataFrame, style: str = "sharegpt", topics: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Prompt and chosen reply as a conversation (``sharegpt``) or as instruction and output (``alpaca``), with the columns ``keep`` besides."""
     lead = [F.col("main_topic"), F.col("sub_topic")] if topics else [F.lit(None).cast("string").alias("main_topic"), F.lit(None).cast("string").alias("sub_topic")]
     none = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
     if style == "alpaca":
@@ -34,7 +34,7 @@ def sft(pairs: DataFrame, style: str = "sharegpt", topics: bool = False) -> Data
         rest = [none("instruction"), none("input"), none("output"), none("system"), none("history", "array<array<string>>"), F.array(turn("human", F.col("prompt")), turn("gpt", F.col("chosen"))).alias("conversations")]
     else:
         raise ValueError(f"unknown style {style}")
-    return pairs.select(*lead, *rest)
+    return pairs.select(*lead, *rest, *keep)
 
 
 def dpo(pairs: DataFrame) -> DataFrame:
