@@ -24,14 +24,12 @@ class TemplateError(ValueError):
 @lru_cache(maxsize=1024)
 def parse(text: str) -> tuple:
     """A tree of ('text', s), ('field', name) and ('if', name, then, else)."""
-    if text.count("{{") != text.count("}}"):
-        raise TemplateError("unclosed braces")
     root: list = []
     stack: list[tuple[str, list, list]] = []
     current, at = root, 0
     for m in TAG.finditer(text):
         if m.start() > at:
-            current.append(("text", text[at : m.start()]))
+            current.append(("text", _plain(text[at : m.start()])))
         at, tag = m.end(), m.group(1)
         word = tag.split(None, 1)[0] if tag else ""
         if word in FORBIDDEN:
@@ -62,10 +60,16 @@ def parse(text: str) -> tuple:
     if stack:
         raise TemplateError("if without end")
     if at < len(text):
-        current.append(("text", text[at:]))
+        current.append(("text", _plain(text[at:])))
     return tuple(root)
 
 
+def _plain(text: str) -> str:
+    if "{{" in text:
+        raise TemplateError("unclosed braces")
+    return text
+
+
 def _truth(value: Column) -> Column:
     text = value.cast("string")
     return F.coalesce(~text.isin("", "0", "0.0", "false"), F.lit(False))

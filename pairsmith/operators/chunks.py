@@ -9,14 +9,15 @@ EVENT = "id string, model string, created bigint, choices array<struct<delta:str
 DONE = "[DONE]"
 
 
-def parse_events(lines: DataFrame) -> DataFrame:
+def parse_events(lines: DataFrame, keep_noise: bool = False) -> DataFrame:
     """(request_id, seq, id, model, created, content, reasoning, finish_reason, done) from (request_id, seq, line).
 
-    Blank lines, lines without ``data: `` and bad JSON are skipped.
+    Blank lines, lines without ``data: `` and bad JSON are skipped, or give rows of nulls with ``keep_noise``.
     """
     data = F.when(F.startswith("line", F.lit("data: ")), F.substring(F.col("line"), F.lit(7), F.char_length("line")))
-    rows = lines.withColumn("data", F.trim(data)).where("data is not null and data <> ''").withColumn("e", F.from_json(F.when(F.col("data") != DONE, F.col("data")), EVENT))
-    rows = rows.where((F.col("data") == DONE) | F.col("e.choices").isNotNull())
+    rows = lines.withColumn("data", F.coalesce(F.trim(data), F.lit(""))).withColumn("e", F.from_json(F.when(~F.col("data").isin(DONE, ""), F.col("data")), EVENT))
+    if not keep_noise:
+        rows = rows.where((F.col("data") == DONE) | F.col("e.choices").isNotNull())
     choice = F.get("e.choices", F.lit(0))
     return rows.select("request_id", "seq", "e.id", "e.model", "e.created", choice["delta"]["content"].alias("content"), choice["delta"]["reasoning_content"].alias("reasoning"), choice["finish_reason"].alias("finish_reason"), (F.col("data") == DONE).alias("done"))
 

@@ -23,7 +23,7 @@ _STATE = "id string, model string, created long, pieces array<struct<seq:bigint,
 
 
 def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold a request's pieces until its end mark, or until nothing has come for the timeout; then give one row."""
+    """Hold a request's pieces until all up to its end mark are there, or nothing has come for the timeout; then give one row."""
     name, model, created, pieces, done = state.get if state.exists else (None, None, None, [], None)
     pieces = [tuple(p) for p in pieces]
     for frame in batches:
@@ -31,10 +31,12 @@ def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             if r.done:
                 done = r.seq if done is None else min(done, r.seq)
                 continue
-            if not pieces or r.seq < min(p[0] for p in pieces):
+            if isinstance(r.id, str) and (name is None or r.seq < min(p[0] for p in pieces if p[1] or p[2] or p[3])):
                 name, model, created = r.id, r.model, r.created
-            pieces.append((r.seq, r.content or "", r.reasoning or "", r.finish_reason or ""))
-    complete = done is not None and len({p[0] for p in pieces if p[0] < done}) > 0
+            pieces.append((r.seq, *(x if isinstance(x, str) else "" for x in (r.content, r.reasoning, r.finish_reason))))
+    # Lines of a request are numbered without gaps, noise included.
+    there = {p[0] for p in pieces if done is not None and p[0] < done}
+    complete = bool(there) and len(there) == done - min(there)
     if complete or state.hasTimedOut:
         kept = sorted({p for p in pieces if done is None or p[0] < done})
         finish = [p[3] for p in kept if p[3]]
@@ -47,7 +49,7 @@ def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def assemble_stream(lines: DataFrame) -> DataFrame:
     """One completion for each request from a stream of (request_id, seq, line), given out when its end mark has come."""
-    return parse_events(lines).groupBy("request_id").applyInPandasWithState(_collect, ASSEMBLED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return parse_events(lines, keep_noise=True).groupBy("request_id").applyInPandasWithState(_collect, ASSEMBLED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def first_seen(items: DataFrame, item: str, at: str, late: str = "1 hour") -> DataFrame:
