@@ -329,7 +329,7 @@ def retry_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JUDGE_OK = "d.doc_id % 9 <> 4 AND l.quality IS NOT NULL"
 _JUDGED_SQL = f"""SELECT d.doc_id AS job_id, CASE WHEN {_JUDGE_OK} THEN ((d.doc_id % 5 + 1) + (d.n_chars % 5 + 1)) / 2.0 END AS chosen_score_total,
-    CASE WHEN l.quality IS NOT NULL THEN (l.quality + 1) + 0.0 END AS rejected_score_total,
+    CASE WHEN l.quality IS NOT NULL THEN (l.quality + 1)::DOUBLE END AS rejected_score_total,
     CASE WHEN {_JUDGE_OK} THEN ((d.doc_id % 5 + 1) + (d.n_chars % 5 + 1)) / 2.0 - (l.quality + 1) END AS preference_margin
     FROM documents d JOIN labels l USING (doc_id)"""
 
