@@ -34,3 +34,23 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_without_the_training_data_operators():
+    """The contract holds where that subpackage has been taken out."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name in ("corpus_pipeline", "pairsmith.llm"):
+            raise ModuleNotFoundError(name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as e
+assert "dpo_pairs" in e.queries() and not any(n.startswith("op") or n == "pipeline" for n in [*e.queries(), *e.oracle_sql()])
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(e.__file__).parent, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
