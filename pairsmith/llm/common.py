@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch between the JVM and Python: a bound on memory that long texts do not move.
+BATCH_BYTES = 5 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """From now on the session hands rows to Python in batches of at most about BATCH_BYTES, not 10,000 rows of any length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage there.
 

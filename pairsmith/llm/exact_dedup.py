@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 BUCKET_BYTES = 64 << 20
 MAX_LEVELS = 6
@@ -159,6 +159,7 @@ def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``; an empty table gives none. Other columns of ``docs`` are
     ignored, so their names cannot clash.
     """
+    small_batches(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     digests = checkpoint(plain.mapInArrow(_digests, "doc_id long, text_sha256 string, h long, b long"))
     groups = content_groups(plain, digests, bucket_bytes)

@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import small_batches
 
 CELLS = 1 << 15
 LONGEST = 4
+#: Rows of a slice: each has a flag for every cell.
+ROWS = 512
 #: Bounds of the labelled sample that the classifier is fitted on, and the landmarks among it.
 SAMPLE, LANDMARKS = 4000, 256
 RIDGE = 1e-3
@@ -99,9 +102,10 @@ def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
 
 def _cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, after, data, offsets in tokens.slices(batch["text"]):
+        for first, after, data, offsets in tokens.slices(batch["text"], rows=ROWS):
             starts, cells = presence(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch["lang"][first:after], batch["o"][first:after], pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(cells))], ["lang", "o", "cells"])
+            packed = [cells[a:b].astype(np.uint16).tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["lang"][first:after], batch["o"][first:after], pa.array(packed, pa.binary())], ["lang", "o", "cells"])
 
 
 def train(docs: DataFrame, learn: F.Column, sample: int = SAMPLE) -> Model:
@@ -114,15 +118,21 @@ def train(docs: DataFrame, learn: F.Column, sample: int = SAMPLE) -> Model:
     # The rows with the least hashes of each language; the rate lets through a few more than are taken.
     rate = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * each / n + 20 / n)))), F.col("lang"))
     hashed = rows.withColumn("o", F.xxhash64("doc_id", "text")).where((F.pmod("o", F.lit(1_000_000)) < F.ceil(rate * 1_000_000)))
-    found = hashed.select("lang", "text", "o").mapInArrow(_cells_of, "lang string, o long, cells array<int>").toPandas()
-    found = found.sort_values(["lang", "o"], kind="stable").groupby("lang").head(each)
-    return fit([(r.lang, np.asarray(r.cells, np.int32)) for r in found.itertuples() if len(r.cells)])
+    found = hashed.select("lang", "text", "o").mapInArrow(tokens.slim(_cells_of), "lang string, o long, cells binary").toArrow()
+    found = sorted(zip(*(found[c].to_pylist() for c in ("lang", "o", "cells")), strict=True))
+    taken: dict[str, int] = {}
+    rows_ = []
+    for lang, _, cells in found:
+        taken[lang] = taken.get(lang, 0) + 1
+        if taken[lang] <= each and cells:
+            rows_.append((lang, np.frombuffer(cells, np.uint16).astype(np.int32)))
+    return fit(rows_)
 
 
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, after, data, offsets in tokens.slices(batch["text"]):
+            for first, after, data, offsets in tokens.slices(batch["text"], rows=ROWS):
                 values = model.scores(*presence(data, offsets))
                 lettered = np.array([t is not None and bool(_LETTER.search(t)) for t in batch["text"][first:after].to_pylist()], bool) & bool(model.langs)
                 best = values.argmax(1) if model.langs else np.zeros(after - first, int)
@@ -147,14 +157,16 @@ def predict_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     empty table gives no rows. Whole texts are read; only the text decides a prediction. Repeated rows get equal
     predictions; other columns are ignored.
     """
+    small_batches(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(plain, ~held_out(), sample)
     rows = plain.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tokens.slim(_predict(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose text is in some language: not ``und``, and a score of ``min_score`` or more (below: no language fits)."""
+    small_batches(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(plain, ~held_out(), sample)
 
@@ -165,4 +177,4 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, sample: int =
             good = np.array([g != UNKNOWN for g in told["lang_pred"].to_pylist()], bool) & (told["score"].to_numpy() >= min_score)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tokens.slim(run), docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import checkpoint
+from .common import checkpoint, small_batches
 
 CLASSES, SHAPES, WIDTH = 128, 18, 32
 NOISE, EPOCHS, RATE = 25, 250, 0.05
@@ -127,18 +127,23 @@ class LogBilinear:
         n = counts[seen].astype(np.float32) / counts.sum()
         noise = n.sum(1, keepdims=True) * (NOISE * self.noise)
         shift = np.log(NOISE * self.noise)
+        if not len(seen):
+            return
         two, one = seen // CLASSES, seen % CLASSES
+        # Sums over the contexts that share a class, by runs of equal ones.
+        by_one = np.argsort(one, kind="stable")
+        runs_two, runs_one = (np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in (two, one[by_one]))
         names = ("context", "position", "target", "bias")
         moments = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in names}
         for epoch in range(1, epochs + 1):
             x, y = self.context @ self.position[0], self.context @ self.position[1]
             vectors = x[two] + y[one]
-            data = 1 / (1 + np.exp(-(vectors @ self.target.T + self.bias - shift)))  # chance that a class is no noise
+            data = 1 / (1 + np.exp(np.clip(shift - self.bias - vectors @ self.target.T, -60, 60)))  # chance that a class is no noise
             g = noise * data - n * (1 - data)
             g_vectors = g @ self.target
             g_x, g_y = np.zeros_like(x), np.zeros_like(y)
-            np.add.at(g_x, two, g_vectors)
-            np.add.at(g_y, one, g_vectors)
+            g_x[two[runs_two]] = np.add.reduceat(g_vectors, runs_two)
+            g_y[one[by_one][runs_one]] = np.add.reduceat(g_vectors[by_one], runs_one)
             grads = {"context": g_x @ self.position[0].T + g_y @ self.position[1].T, "position": np.stack([self.context.T @ g_x, self.context.T @ g_y]), "target": g.T @ vectors, "bias": g.sum(0)}
             rate = RATE * (1 - (epoch - 1) / epochs) / (1 - 0.9**epoch)
             for k in names:
@@ -258,6 +263,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     (V + 1))), score that of the model's log10 probabilities. Words go by 64-bit hashes. Repeated rows get equal results; an empty
     table gives no rows; other columns are ignored.
     """
+    small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     model, counts = train(rows.where("not held_out").select("text"))
     partial = checkpoint(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_partial_scores(model), "uid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, rest array<long>, times array<long>"))

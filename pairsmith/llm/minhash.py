@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import checkpoint, connected_components
+from .common import checkpoint, connected_components, small_batches
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -131,13 +131,13 @@ def shingle_idf(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     Such shingles number at most the mean count of shingles in a document over ``RARE``. They are found exactly in two passes: a
     shingle as frequent as that overall is so in one chunk of documents at least. The candidates are counted in blocks.
     """
-    candidates = checkpoint(texts.mapInArrow(_locally_frequent, "h long").distinct())
+    candidates = checkpoint(texts.mapInArrow(tokens.slim(_locally_frequent), "h long").distinct())
     blocks = max(1, -(-candidates.count() // BLOCK))
     found: list[tuple[int, int]] = []
     for block in range(blocks):
         own = candidates.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).toPandas()["h"].to_numpy(np.int64)
         if len(own):
-            counts = texts.mapInArrow(_count_among(np.sort(own.view(np.uint64))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+            counts = texts.mapInArrow(tokens.slim(_count_among(np.sort(own.view(np.uint64)))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
             found += [tuple(r) for r in counts.where(F.col("n") >= max(2.0, RARE * n_docs)).collect()]
     hashes = np.array([h for h, _ in found], np.int64).view(np.uint64)
     idf = 0.5 + 0.5 * np.log(n_docs / np.array([n for _, n in found], np.float64)) / np.log(1 / RARE) if found else np.zeros(0)
@@ -212,13 +212,14 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least row id in it: doc_id, or a hash of the text where doc_id is null. Rows with the same doc_id and text count as one
     document and are returned as often as they occur. An empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n_docs = plain.count()
     if not n_docs:
         return plain.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("class_size"))
     rows = plain.select("doc_id", F.coalesce("doc_id", F.xxhash64("text", F.lit("id"))).alias("rid"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"), "text")
     idf = shingle_idf(plain.select("text"), n_docs)
-    signed = checkpoint(rows.select("rid", "h", "text").mapInArrow(_signatures(idf), "rid long, h string, keys array<long>"))
+    signed = checkpoint(rows.select("rid", "h", "text").mapInArrow(tokens.slim(_signatures(idf)), "rid long, h string, keys array<long>"))
     # A node is a distinct text, named by its digest; the row with the least id stands for it.
     nodes = checkpoint(signed.where("size(keys) > 0").groupBy(F.col("h").alias("node")).agg(F.min("rid").alias("rid"), F.first("keys").alias("keys")))
     keyed = checkpoint(nodes.select("node", F.explode("keys").alias("key")))
@@ -335,7 +336,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarra
     left = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text"))
     right = texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))
     both = pairs.join(right, "dst").join(left, "src")
-    return both.select("src", "dst", "src_text", "dst_text").mapInArrow(_verified(idf, threshold), "src string, dst string")
+    return both.select("src", "dst", "src_text", "dst_text").mapInArrow(tokens.slim(_verified(idf, threshold)), "src string, dst string")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 5 << 18
 DEPTH = 64
 _END = 0xFF  # stands in no UTF-8 text
 
@@ -263,33 +264,37 @@ def encode_units(pieces: Pieces, text: np.ndarray, starts: np.ndarray, ends: np.
     joined[begin[own] + within] = text[starts[own] + within]
     orders, keys = _suffix_ranks(joined)
     low, high, level = _ranges(t, keys)
+    known, offset = np.zeros(len(joined), bool), np.zeros(len(joined), np.uint64)
+    offset[begin[own] + within] = within
+    # An edge is one number: offset in its unit, position, piece, each in as many bits as it needs.
+    low_bits, place_bits, longest = (len(t["ids"]) + 4).bit_length(), len(joined).bit_length(), int(sizes.max(initial=0))
+    if low_bits + place_bits + longest.bit_length() > 64:
+        raise ValueError("a text has a run without a break that is too long")
+    above = np.uint64(low_bits + place_bits)
+    edge = lambda at, piece: offset[at] << above | at.astype(np.uint64) << np.uint64(low_bits) | piece.astype(np.uint64)
     found = []
     for k in range(len(keys)):
         at = np.flatnonzero((level == k) & (high > low))
         count = high[at] - low[at]
         place = np.repeat(low[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        found.append((orders[k][place], np.repeat(at, count)))
-    position, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        spots = orders[k][place]
+        known[spots[np.repeat(at < t["chars"], count)]] = True
+        found.append(edge(spots, np.repeat(at, count)))
+    del orders, keys, spots, place
     # Characters without a piece of their own go to bytes; nothing merges with them.
-    known = np.zeros(len(joined), bool)
-    known[position[piece < t["chars"]]] = True
     lone = np.flatnonzero(~known & (joined & 0xC0 != 0x80) & (joined != _END))
     wide = np.searchsorted([0xC0, 0xE0, 0xF0], joined[lone], "right")
-    position, piece = np.concatenate([position, lone]), np.concatenate([piece, len(t["ids"]) + wide])
-    offset = np.zeros(len(joined), np.int64)
-    offset[begin[own] + within] = within
-    edges = np.sort(offset[position].astype(np.uint64) << np.uint64(48) | position.astype(np.uint64) << np.uint64(16) | piece.astype(np.uint64)) if offset.max(initial=0) < 1 << 16 and len(joined) < 1 << 32 else None
-    if edges is None:
-        order = np.lexsort((piece, position, offset[position]))
-        position, piece = position[order], piece[order]
-    else:
-        position, piece = (edges >> np.uint64(16)).astype(np.int64) & 0xFFFFFFFF, (edges & np.uint64(0xFFFF)).astype(np.int64)
-    steps = np.searchsorted(offset[position], np.arange(int(offset.max(initial=0)) + 2))
+    found.append(edge(lone, len(t["ids"]) + wide))
+    edges = np.concatenate(found)
+    del found
+    edges.sort()
+    steps = np.searchsorted(edges, np.arange(longest + 1, dtype=np.uint64) << above)
     n_plain, none = len(t["ids"]), -1
     last = np.full(len(joined), -2, np.int64)
     last[begin] = none
     for low_, high_ in zip(steps[:-1], steps[1:], strict=True):
-        at, p = position[low_:high_], piece[low_:high_]
+        at = (edges[low_:high_] >> np.uint64(low_bits)).astype(np.int64) & ((1 << place_bits) - 1)
+        p = (edges[low_:high_] & np.uint64((1 << low_bits) - 1)).astype(np.int64)
         reached = last[at] != -2
         at, p = at[reached], p[reached]
         before = last[at]
@@ -407,6 +412,7 @@ def _encoded(pieces: Pieces, keep: list[str]):
                         good[k] = True
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 columns = [batch[c][first:after] for c in keep]
+                tokens.release()
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), pa.array(np.diff(offsets).astype(np.int32)), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], [*keep, "pieces", "n_pieces", "pieces_crc32", "round_trip"])
 
     return run
@@ -420,10 +426,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...]
     A null or empty text has no pieces. Repeated rows get equal results; an empty table gives no rows. Columns of ``docs`` that
     are not kept are ignored.
     """
+    small_batches(docs)
     pieces = Pieces.load(model)
     kept = [f for f in docs.schema.fields if f.name in keep]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "pieces array<int>, n_pieces int, pieces_crc32 long, round_trip boolean"])
-    return docs.select(*(F.col(f.name) for f in kept), F.col("text").cast("string").alias("_text")).mapInArrow(_encoded(pieces, [f.name for f in kept]), schema)
+    return docs.select(*(F.col(f.name) for f in kept), F.col("text").cast("string").alias("_text")).mapInArrow(tokens.slim(_encoded(pieces, [f.name for f in kept])), schema)
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +30,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2 ** 64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(2 * n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse, modulo 2 ** 64; kept only for slices of usual size."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    both = []
+    for base in (_BASE, _INVERSE):
+        steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= 4 * SLICE_BYTES:
+        _powers[:] = both
+    return both[0][:n], both[1][:n]
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, lower-cased bytes, row offsets) for slices of about ``most`` bytes; null is empty.
+def release() -> None:
+    """Give freed memory back to the system, where the C library can: a worker process outlives its task."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slim(run):
+    """A partition function that gives its memory back at its end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, lower-cased bytes, row offsets) for slices of about ``most`` bytes and ``rows`` rows; null is empty.
 
     A row longer than ``most`` makes a slice of its own: whole texts only.
     """
@@ -50,7 +74,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None and buffers[2].size else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield at, to, LOWER[data[offsets[at] : offsets[to]]], offsets[at : to + 1] - offsets[at]
         at = to
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import small_batches
 
 CELLS = 1 << 22
 PREFIXES = (4, 5, 6)
@@ -161,6 +162,7 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     A null or empty text has no features and gets the thresholds alone. Without labels, or with one grade only, every
     text has that grade (0 without any). Repeated rows get equal results; an empty table gives none; other columns are ignored.
     """
+    small_batches(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(plain, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")), sample)
     return plain.mapInArrow(_predict(model), "doc_id long, grade int, expected_severity double, toxic boolean")
