@@ -28,7 +28,9 @@ ROWS = 512
 SAMPLE, LANDMARKS = 4000, 256
 RIDGE = 1e-3
 UNKNOWN = "und"
-MIN_SCORE = 0.35
+#: A text that resembles no language has regression values near 0, a score of about 0.5. Of the 249 held-out documents
+#: of sf0.01 three score below 0.55, all of less than 90 letters.
+MIN_SCORE = 0.55
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of letters as they are, every other byte as a space; text is lower-cased before.
 _PLAIN = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint32)
