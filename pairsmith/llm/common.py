@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,29 @@ def row_id(*columns: str) -> F.Column:
     return F.coalesce(F.col("doc_id"), F.xxhash64(*columns))
 
 
+def numbered_copies(counted: DataFrame, n: str = "n", name: str = "i", step: int = 10_000) -> DataFrame:
+    """Each row as often as its count says, with a running number from 1 in place of the count; no long list is ever made."""
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({n} - 1) div {step}"))))
+    first, last = F.col("_block") * step + 1, F.least(F.col(n).cast("long"), (F.col("_block") + 1) * step)
+    return blocks.withColumn(name, F.explode(F.sequence(first, last))).drop("_block", n)
+
+
+def numbered_rows(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with a running number from 1 among those with equal keys, counted in parts: no task gets all rows of a frequent key.
+
+    They are written first: another evaluation might deal them to other parts.
+    """
+    parts = staged(rows.withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_many"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_many").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)), F.col("_part").alias("_p"), "_before")
+    own = parts.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(F.lit(0))).cast("long"))
+    same = own["_part"] == before["_p"]
+    for j, k in enumerate(keys):
+        same = same & own[k].eqNullSafe(before[f"_k{j}"])
+    return own.join(before, same).withColumn(name, F.col("_at") + F.col("_before")).select(*rows.columns, name)
+
+
 #: Rows of a table sent to all tasks at most, and the rows of one key below which it is never split off.
 FEW, CALM = 200_000, 1000
 
