@@ -1,8 +1,8 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set of its five-word shingles: count x idf. idf is 1 for a shingle in less than ``RARE`` of all
-documents and falls with the logarithm of its document frequency to 1/2 for one in all of them, so shared boilerplate
-weighs less. Each of ``BANDS`` x ``ROWS`` consistent samples picks one shingle and a quantised weight; two sets agree in a
+A text is a weighted set of its five-word shingles: count x idf. Document frequencies are counted over all documents, by
+``CELLS`` cells of the shingles' hashes; idf falls with the logarithm of a shingle's frequency, in eighths, from 1 for a typical rare one to
+1/2 for one in all documents, so shared boilerplate weighs less, but a large group of copies does not fall apart. Each of ``BANDS`` x ``ROWS`` consistent samples picks one shingle and a quantised weight; two sets agree in a
 sample with the probability of their weighted Jaccard similarity. Texts that agree in all samples of a band are
 candidates, and candidates are verified by the exact weighted Jaccard similarity.
 """
@@ -17,17 +17,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import checkpoint, connected_components, small_batches
+from .common import checkpoint, connected_components, hot_rows, join_unique, small_batches
 
 WIDTH = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-RARE = 0.01
-CHUNK_BYTES = 32 << 20
+#: Cells of document frequencies. A cell's other shingles add about the corpus's count of shingles over CELLS to each one's, the same
+#: share of all documents at any size of the corpus.
+CELLS = 1 << 20
+#: idf is rounded to this, which leaves most weights at 1.
+STEP = 1 / 8
+#: Counts of cells travel in pieces of this many.
+PIECE = 1 << 14
 #: Texts in a block of those that are compared with one another.
 PAGE = 512
-#: Frequent shingles are looked up in memory in blocks of this many.
-BLOCK = 1 << 20
 
 _GRID = 1 << 12
 _seeds = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -87,74 +90,58 @@ def _sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tokens.counted(*tokens.shingles(tokens.word_hashes(data, starts, ends), rows, len(offsets) - 1, WIDTH))
 
 
-def _locally_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles in at least ``RARE`` of the documents of some chunk: a superset of those in that share of all documents."""
-    held, size, docs = [], 0, 0
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 20)).astype(np.int64)
 
-    def frequent() -> pa.RecordBatch:
-        hashes = np.sort(np.concatenate(held))
-        at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        counts = np.diff(np.append(at, len(hashes)))
-        return pa.RecordBatch.from_arrays([pa.array(hashes[at][counts >= max(2, RARE * docs)].view(np.int64))], ["h"])
 
+def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cells' counts of documents of one input partition, in pieces."""
+    counts = np.zeros(CELLS, np.int64)
     for batch in batches:
-        for first, after, data, offsets in tokens.slices(batch["text"]):
-            _, hashes, _ = _sets(data, offsets)
-            held.append(hashes)
-            size, docs = size + len(data), docs + after - first
-            if size >= CHUNK_BYTES:
-                yield frequent()
-                held, size, docs = [], 0, 0
-    if held and any(len(x) for x in held):
-        yield frequent()
+        for _, _, data, offsets in tokens.slices(batch["text"]):
+            counts += np.bincount(_cells(_sets(data, offsets)[1]), minlength=CELLS)
+    yield _pieces({k: counts[k * PIECE : (k + 1) * PIECE] for k in range(CELLS // PIECE)})
 
 
-def _count_among(wanted: np.ndarray):
-    """Document counts of the shingles in ``wanted`` (sorted), for one input partition."""
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces that came to one task, a few at a time."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, counts in zip(batch["piece"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            sums[piece] = sums.get(piece, 0) + np.frombuffer(counts, np.int64)
+    yield _pieces(sums)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(wanted), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in tokens.slices(batch["text"]):
-                _, hashes, _ = _sets(data, offsets)
-                at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                np.add.at(counts, at[wanted[at] == hashes], 1)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(counts[some])], ["h", "n"])
 
-    return run
+def _pieces(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    some = [k for k, c in sorted(counts.items()) if c.any()]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[k].tobytes() for k in some], pa.binary())], ["piece", "counts"])
 
 
-def shingle_idf(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashes, idf) of the shingles in at least ``RARE`` of all documents; every other shingle has idf 1.
+def idf_of(counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """The weight of each cell's shingles from its count of documents."""
+    seen = counts > 0
+    idf = np.zeros(len(counts))
+    idf[seen] = np.log(max(n_docs, 1) / np.minimum(counts[seen], max(n_docs, 1)))
+    typical = float(np.median(idf[seen])) if seen.any() else 0.0
+    share = np.clip(0.5 + 0.5 * idf / typical, 0.5, 1) if typical > 0 else np.ones(len(counts))
+    return (np.round(share / STEP) * STEP).astype(np.float32)
 
-    Such shingles number at most the mean count of shingles in a document over ``RARE``. They are found exactly in two passes: a
-    shingle as frequent as that overall is so in one chunk of documents at least. The candidates are counted in blocks.
-    """
-    candidates = checkpoint(texts.mapInArrow(tokens.slim(_locally_frequent), "h long").distinct())
-    blocks = max(1, -(-candidates.count() // BLOCK))
-    found: list[tuple[int, int]] = []
-    for block in range(blocks):
-        own = candidates.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block).toPandas()["h"].to_numpy(np.int64)
-        if len(own):
-            counts = texts.mapInArrow(tokens.slim(_count_among(np.sort(own.view(np.uint64)))), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-            found += [tuple(r) for r in counts.where(F.col("n") >= max(2.0, RARE * n_docs)).collect()]
-    hashes = np.array([h for h, _ in found], np.int64).view(np.uint64)
-    idf = 0.5 + 0.5 * np.log(n_docs / np.array([n for _, n in found], np.float64)) / np.log(1 / RARE) if found else np.zeros(0)
-    order = np.argsort(hashes)
-    return hashes[order], np.minimum(1.0, np.maximum(0.5, idf))[order]
-
-
-def _weights(hashes: np.ndarray, counts: np.ndarray, idf: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    weights = counts.astype(np.float32)
-    if len(idf[0]):
-        at = np.minimum(np.searchsorted(idf[0], hashes), len(idf[0]) - 1)
-        hit = idf[0][at] == hashes
-        weights[hit] *= idf[1][at[hit]].astype(np.float32)
-    return weights
-
-
-def _signatures(idf: tuple[np.ndarray, np.ndarray]):
+
+def shingle_idf(texts: DataFrame, n_docs: int) -> np.ndarray:
+    """The weight of each cell; counted in one pass, and of a bounded size whatever the corpus."""
+    pieces = texts.mapInArrow(tokens.slim(_document_counts), "piece int, counts binary")
+    found = pieces.repartition(CELLS // PIECE, "piece").mapInArrow(_added, "piece int, counts binary").toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    for piece, part in zip(found["piece"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        counts[piece * PIECE : (piece + 1) * PIECE] += np.frombuffer(part, np.int64)
+    return idf_of(counts, n_docs)
+
+
+def _weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return counts.astype(np.float32) * idf[_cells(hashes)]
+
+
+def _signatures(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, after, data, offsets in tokens.slices(batch["text"]):
@@ -166,12 +153,12 @@ def _signatures(idf: tuple[np.ndarray, np.ndarray]):
                 keys[some] = bands(prints)
                 sizes = np.where(some, BANDS, 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(keys[some].ravel()))
-                yield pa.RecordBatch.from_arrays([batch["rid"][first:after], batch["h"][first:after], lists], ["rid", "h", "keys"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:after], batch["rid"][first:after], batch["h"][first:after], lists], ["doc_id", "rid", "h", "keys"])
 
     return run
 
 
-def _verified(idf: tuple[np.ndarray, np.ndarray], threshold: float):
+def _verified(idf: np.ndarray, threshold: float):
     """Keep the pairs of texts whose weighted Jaccard similarity reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,53 +190,68 @@ def _verified(idf: tuple[np.ndarray, np.ndarray], threshold: float):
     return run
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, class_size`` for every row of ``docs``: classes of near-duplicate texts.
+def _digest() -> F.Column:
+    return F.md5(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
 
-    Two texts are linked if the weighted Jaccard similarity of their shingles is ``threshold`` or more; classes are the
-    connected components of links and of equal texts. Letters A-Z count as a-z; white space only parts words. A text
-    without words (null, empty or blank) stands alone, whatever its copies: each such row is a class of its own. The class id is the
-    least row id in it: doc_id, or a hash of the text where doc_id is null. Rows with the same doc_id and text count as one
-    document and are returned as often as they occur. An empty table gives no rows; other columns are ignored.
+
+def _classified(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (doc_id, rid, h, keys) of every row, h being its text's digest, and for each text with words (h, n, least, size, keep_id, keep_h).
+
+    n is the count of its rows; least, size, keep_id and keep_h are its class's least row id, its count of rows, and the row that stands for it.
     """
-    small_batches(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_docs = plain.count()
-    if not n_docs:
-        return plain.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("class_size"))
-    rows = plain.select("doc_id", F.coalesce("doc_id", F.xxhash64("text", F.lit("id"))).alias("rid"), F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("h"), "text")
-    idf = shingle_idf(plain.select("text"), n_docs)
-    signed = checkpoint(rows.select("rid", "h", "text").mapInArrow(tokens.slim(_signatures(idf)), "rid long, h string, keys array<long>"))
+    rows = plain.select("doc_id", F.coalesce("doc_id", F.xxhash64("text", F.lit("id"))).alias("rid"), _digest().alias("h"), "text")
+    idf = shingle_idf(plain.select("text"), plain.count())
+    signed = checkpoint(rows.mapInArrow(tokens.slim(_signatures(idf)), "doc_id long, rid long, h string, keys array<long>"))
     # A node is a distinct text, named by its digest; the row with the least id stands for it.
-    nodes = checkpoint(signed.where("size(keys) > 0").groupBy(F.col("h").alias("node")).agg(F.min("rid").alias("rid"), F.first("keys").alias("keys")))
+    nodes = checkpoint(signed.where("size(keys) > 0").groupBy(F.col("h").alias("node")).agg(F.min("rid").alias("rid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     keyed = checkpoint(nodes.select("node", F.explode("keys").alias("key")))
     # Each bucket is led by the text that meets the most others in all of its own buckets: near the middle of its group.
-    met = checkpoint(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
-    ranked = met.join(met.groupBy("node").agg(F.sum("n").alias("meets")), "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("leader"))
-    buckets = checkpoint(met.select("key", "node").join(leaders, "key"))
-    tested = buckets.where("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst")).distinct()
-    tested = checkpoint(tested)
+    sizes = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    held = sizes.agg(F.sum("n")).first()[0] or 0
+    met = checkpoint(join_unique(keyed, sizes.withColumn("size", F.col("n")), "key", held))
+    ranked = met.join(met.groupBy("node").agg(F.sum("size").alias("meets")), "node")
+    leaders = checkpoint(ranked.groupBy("key").agg(F.max(F.struct("meets", "node"))["node"].alias("leader"), F.count("*").alias("n")))
+    buckets = checkpoint(join_unique(met, leaders, "key", held))
+    tested = checkpoint(buckets.where("node <> leader").groupBy(F.col("leader").alias("src"), F.col("node").alias("dst")).agg(F.max("size").alias("n")))
     texts = _texts(rows, nodes, buckets)
-    links = checkpoint(_verify(tested, texts, idf, threshold))
-    components = connected_components(links)
+    links = checkpoint(_verify(tested, texts, idf, threshold, held))
+    components = checkpoint(connected_components(links))
     # Only the leader was compared: in buckets that still hold several components, links between those may be missing.
-    inside = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    inside = checkpoint(buckets.select("key", "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
     parts = inside.groupBy("key", "component").agg(F.count("*").alias("n"))
     parts = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"))
-    left = checkpoint(inside.join(parts.where("parts > 1 and n > 2"), "key").select("key", "node", "component", F.col("component") != F.col("main"), "n").toDF("key", "node", "component", "outside", "n"))
-    more = checkpoint(_compare_blocks(left, texts, idf, threshold))
+    parts = checkpoint(parts.where("parts > 1 and n > 2").select("key", "main", "n", F.col("n").alias("size")))
+    left = checkpoint(join_unique(inside, parts, "key", held).select("key", "node", "component", (F.col("component") != F.col("main")).alias("outside"), F.col("size").alias("n")))
+    more = checkpoint(_compare_blocks(left, texts, idf, threshold, held))
     if not more.isEmpty():
-        components = connected_components(links.union(more))
-    classes = nodes.select("node", "rid").join(components, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "rid")
-    classes = classes.select("node", "component").join(classes.groupBy("component").agg(F.min("rid").alias("least")), "component").select(F.col("node").alias("h"), "least")
-    members = signed.select("rid", "h", (F.size("keys") > 0).alias("worded"))
-    ids = checkpoint(members.join(classes, "h", "left").select("rid", F.when(F.col("worded"), F.col("least")).otherwise(F.col("rid")).alias("class_id")))
-    sizes = ids.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    nulls = rows.where("doc_id is null").select("rid").distinct().withColumn("_null", F.lit(True))
-    if nulls.isEmpty():
-        return ids.join(sizes, "class_id").select(F.col("rid").alias("doc_id"), "class_id", "class_size")
-    return ids.join(sizes, "class_id").join(nulls, "rid", "left").select(F.when(F.col("_null").isNull(), F.col("rid")).alias("doc_id"), "class_id", "class_size")
+        components = checkpoint(connected_components(links.union(more)))
+    named = checkpoint(nodes.drop("keys").join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    stands = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node"))
+    classes = named.groupBy("component").agg(F.min("rid").alias("least"), F.sum("n").alias("size"), stands.alias("keep"), F.count("*").alias("n"))
+    classes = checkpoint(classes.select("component", "least", "size", F.col("keep.doc_id").alias("keep_id"), F.col("keep.node").alias("keep_h"), "n"))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    texts_of = join_unique(named.select("component", F.col("node").alias("h"), F.col("n").alias("times")), classes, "component", total)
+    return signed, checkpoint(texts_of.select("h", F.col("times").alias("n"), "least", "size", "keep_id", "keep_h"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id, class_size`` for every row of ``docs``: classes of near-duplicate texts.
+
+    Two texts are linked if the weighted Jaccard similarity of their shingles is ``threshold`` or more; classes are the
+    connected components of links and of equal texts. Letters A-Z count as a-z; white space only parts words. A text
+    without words (null, empty or blank) stands alone, whatever its copies: each such row is a class of its own, of size 1. The class id
+    is the least row id in it: doc_id, or a hash of the text where doc_id is null. Texts may have any length: whole ones are read, in slices
+    of a bounded size but for a single longer text. Repeated rows are returned, and counted, as often as they occur. An empty table gives
+    no rows; other columns are ignored.
+    """
+    small_batches(docs)
+    rows, classes = _classified(docs, threshold)
+    worded = F.size("keys") > 0
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    found = join_unique(rows.where(worded).select("doc_id", "h"), classes, "h", total)
+    alone = rows.where(~worded).select("doc_id", F.col("rid").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return found.select("doc_id", F.col("least").alias("class_id"), F.col("size").alias("class_size")).union(alone)
 
 
 def _texts(rows: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -259,15 +261,15 @@ def _texts(rows: DataFrame, nodes: DataFrame, buckets: DataFrame) -> DataFrame:
     return checkpoint(found.groupBy("node").agg(F.first("text").alias("text")))
 
 
-def _compare_blocks(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+def _compare_blocks(left: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, held: int) -> DataFrame:
     """Links between components of a bucket, by comparing each text outside its main component with all of its texts.
 
     Both sides are dealt to blocks of ``PAGE`` texts, and each pair of blocks is compared in one task by a matrix product: no
     pair of texts becomes a row. What comes out is a row at most for each component in a pair of blocks.
     """
-    counts = left.groupBy("key").agg(F.max("n").alias("_n"), F.count_if("outside").alias("_out"))
+    counts = checkpoint(left.groupBy("key").agg(F.max("n").alias("_n"), F.count_if("outside").alias("_out"), F.count("*").alias("n")))
     pages = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / PAGE)).cast("int")
-    rows = left.drop("n").join(counts, "key").join(texts, "node")
+    rows = join_unique(left.drop("n"), counts, "key", held).join(texts, "node")
     page = lambda n: F.pmod(F.xxhash64("node"), pages(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), pages(n) - 1))
     asks = rows.where("outside").select("key", page("_out").alias("x"), every("_n").alias("y"), F.lit(True).alias("ask"), "node", "component", "text")
@@ -275,7 +277,7 @@ def _compare_blocks(left: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np
     return asks.union(held).groupBy("key", "x", "y").applyInPandas(_linked_components(idf, threshold), "src string, dst string").distinct()
 
 
-def _linked_components(idf: tuple[np.ndarray, np.ndarray], threshold: float):
+def _linked_components(idf: np.ndarray, threshold: float):
     def run(pdf):
         import pandas as pd
 
@@ -332,15 +334,29 @@ def _linked_components(idf: tuple[np.ndarray, np.ndarray], threshold: float):
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
-    left = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text"))
+def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, held: int) -> DataFrame:
+    """The pairs (src, dst, n) that are similar enough; n is the size of a bucket that src leads, by which its pairs go to tasks of a bounded number."""
+    fan = F.ceil(F.col("n") / F.lit(hot_rows(held))).cast("int")
+    left = pairs.groupBy("src").agg(F.max("n").alias("n")).join(texts.select(F.col("node").alias("src"), F.col("text").alias("src_text")), "src")
+    left = left.select("src", "src_text", F.explode(F.sequence(F.lit(0), fan - 1)).alias("s"))
     right = texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))
-    both = pairs.join(right, "dst").join(left, "src")
+    both = pairs.withColumn("s", F.pmod(F.xxhash64("dst"), fan).cast("int")).join(right, "dst").join(left, ["src", "s"])
     return both.select("src", "dst", "src_text", "dst_text").mapInArrow(tokens.slim(_verified(idf, threshold)), "src string, dst string")
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: the one with the least id, as in ``near_classes``."""
-    classes = near_classes(docs, threshold)
-    drop = classes.where("class_size > 1 and doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    """``docs`` with one row of each class of ``near_classes``, with all its columns, whatever their names.
+
+    That with the least doc_id stays, rows without one last; of rows equal in doc_id and text just one stays. Rows are told apart by
+    doc_id and text, so that other texts with the same doc_id are not touched. Texts without words all stay. An empty table gives no rows.
+    """
+    small_batches(docs)
+    rows, classes = _classified(docs, threshold)
+    named = lambda doc_id: F.coalesce(doc_id, F.lit(0)), lambda doc_id: doc_id.isNull()
+    keep = classes.where("h = keep_h").select(*(f(F.col("keep_id")).alias(c) for f, c in zip(named, ("_d", "_u"), strict=True)), F.col("h").alias("_h"))
+    doc_id = F.col("doc_id").cast("long")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), *(f(doc_id).alias(c) for f, c in zip(named, ("_d", "_u"), strict=True)), _digest().alias("_h"), F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("_worded"))
+    kept = whole.where("_worded").join(keep, ["_d", "_u", "_h"], "left_semi")
+    if not rows.where(F.size("keys") > 0).groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.groupBy("_d", "_u", "_h").agg(F.first("_row").alias("_row"))
+    return kept.select("_row.*").union(whole.where("not _worded").select("_row.*"))

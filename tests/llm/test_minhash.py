@@ -2,21 +2,34 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from pairsmith.llm.minhash import RARE, near_classes
+import numpy as np
+
+from pairsmith.llm import tokens
+from pairsmith.llm.minhash import drop_near_copies, near_classes
 
 SCHEMA = "doc_id long, text string, node string, class_id string"
 
 
+def cells_of(words):
+    """The cell of each run of five words: the first 20 bits of its hash."""
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    offsets = np.array([0, len(data)])
+    starts, ends, rows = tokens.words(data, offsets)
+    return [int(h) >> 44 for h in tokens.shingles(tokens.word_hashes(data, starts, ends), rows, 1)[1]]
+
+
 def brute_classes(rows, threshold=0.8):
     """Components by comparing every pair that shares a shingle, from plain definitions."""
-    sets = {}
+    sets, cell = {}, {}
     for doc_id, text in rows:
         words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
         grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [tuple(words)] if words else []
         sets[doc_id] = Counter(grams)
+        cell.update(zip(grams, cells_of(words), strict=True))
     n = len(rows)
-    df = Counter(g for s in sets.values() for g in s)
-    idf = {g: min(1, 0.5 + 0.5 * math.log(n / c) / math.log(1 / RARE)) if c >= max(2, RARE * n) else 1.0 for g, c in df.items()}
+    df = Counter(cell[g] for s in sets.values() for g in s)
+    typical = float(np.median([math.log(n / min(c, n)) for c in df.values()])) if df else 0
+    idf = {g: round(min(1, 0.5 + 0.5 * math.log(n / min(df[c], n)) / typical) * 8) / 8 if typical else 1.0 for g, c in cell.items()}
     where = defaultdict(list)
     for d, s in sets.items():
         for g in s:
@@ -92,3 +105,16 @@ def test_large_group_with_similarities_near_the_threshold(spark, monkeypatch):
     want = brute_classes(rows)
     got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(set(want.values())) > 1 and got == want
+
+
+def test_one_row_of_each_class_stays(spark):
+    a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    near = a.replace("a49", "other")
+    docs = spark.createDataFrame([(3, a, "x", "x"), (7, a, "x", "x"), (7, b, "x", "x"), (None, a, "x", "x"), (None, a, "x", "x")], "doc_id long, text string, _row string, _h string")
+    assert sorted((r.doc_id, r.text) for r in drop_near_copies(docs).collect()) == [(3, a), (7, b)]
+    unnamed = spark.createDataFrame([(None, near, "x"), (None, a, "y"), (None, a, "y"), (5, b, "z"), (5, b, "z"), (6, None, "n"), (6, None, "n"), (None, " ", "n")], "doc_id long, text string, _d string")
+    kept = drop_near_copies(unnamed)
+    assert kept.columns == ["doc_id", "text", "_d"]
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(rows) == 5 and rows.count((5, b)) == 1 and rows.count((6, None)) == 2 and rows.count((None, " ")) == 1 and sum(t in (a, near) for _, t in rows) == 1
+    assert drop_near_copies(docs.limit(0)).count() == 0
