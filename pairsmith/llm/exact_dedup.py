@@ -1,8 +1,8 @@
 """Exact deduplication by Grace hashing.
 
-Records are scattered by a hash of their normalised text; Spark's shuffle files are the spill files, which lets a lost
-executor's share be made again. Buckets larger than the memory bound are scattered again under the next hash, level by
-level, until each fits an open-addressing table, which compares complete contents.
+Records are scattered by a hash of their normalised text to a bounded number of buckets; the spill files are Spark's shuffle files and, from one
+level to the next, a written table, so that a lost executor's share can be made again. Buckets larger than the memory bound are scattered
+again under the next hash, level by level, until each fits an open-addressing table, which compares complete contents.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import FEW, checkpoint, join_unique, numbered_copies, small_batches, staged
 
 BUCKET_BYTES = 64 << 20
-MAX_LEVELS = 6
+#: Buckets that one bucket is scattered to at most, and partitions of a level.
+FANOUT = 4096
 
 
 class OpenTable:
@@ -60,26 +61,13 @@ class OpenTable:
         return int(entry)
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("h", pa.int64()), ("b", pa.int64())])
 _SPILL = pa.schema([("h", pa.int64()), ("norm", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
 _GROUPS = pa.schema([("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
 
 
-def normalised(text: str | None) -> bytes:
+def _normal() -> F.Column:
     """UTF-8 of the text with A-Z, and no other letter, in lower case; a null counts as empty."""
-    return (text or "").encode().lower()
-
-
-def _digest(content: bytes) -> tuple[str, int]:
-    d = hashlib.sha256(content)
-    return d.hexdigest(), int.from_bytes(d.digest()[:8], "big", signed=True)
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        contents = [normalised(t) for t in batch["text"].to_pylist()]
-        both = [_digest(c) for c in contents]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([x for x, _ in both], pa.string()), pa.array([h for _, h in both], pa.int64()), pa.array([len(c) + 100 for c in contents], pa.int64())], schema=_DIGESTS)
+    return F.encode(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8")
 
 
 def _collapse(limit: int):
@@ -92,9 +80,9 @@ def _collapse(limit: int):
             return pa.RecordBatch.from_arrays([pa.array(merged.hashes, pa.int64()), pa.array(merged.contents, pa.binary()), pa.array(merged.ids, pa.int64()), pa.array(merged.counts, pa.int64())], schema=_SPILL)
 
         for batch in batches:
-            for text, doc_id in zip(batch["text"].to_pylist(), batch["doc_id"].to_pylist(), strict=True):
-                content, before = normalised(text), len(merged.hashes)
-                merged.add(_digest(content)[1], content, doc_id)
+            for h, content, doc_id in zip(batch["h"].to_pylist(), batch["norm"].to_pylist(), batch["doc_id"].to_pylist(), strict=True):
+                before = len(merged.hashes)
+                merged.add(h, content, doc_id)
                 held += (len(content) + 100) * (len(merged.hashes) - before)
                 if held > limit:
                     yield flush()
@@ -106,7 +94,7 @@ def _collapse(limit: int):
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One group row for each distinct content; records arrive sorted by bucket, and one bucket is held at a time."""
+    """One row for each distinct content; records arrive sorted by bucket, and one bucket is held at a time."""
 
     def groups() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(c).hexdigest() for c in merged.contents], pa.string()), pa.array(merged.ids, pa.int64()), pa.array(merged.counts, pa.int64())], schema=_GROUPS)
@@ -123,60 +111,69 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield groups()
 
 
-def _bucket(level: int, fanout: int) -> F.Column:
-    """Each level deals by a hash of its own."""
-    return F.pmod(F.xxhash64("h", F.lit(level)), F.lit(fanout)).alias("bucket")
-
-
-def content_groups(docs: DataFrame, digests: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(text_sha256, keep_id, group_size) for each distinct normalised text of ``docs``; ``digests`` has h and size of each row."""
-    least_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = digests.groupBy("h").agg(F.max("b").alias("b"))
-    total = sizes.agg(F.sum("b")).first()[0] or 0
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_collapse(bucket_bytes // 4), "h long, norm binary, keep_id long, n long")
-    fanout, parts = max(1, -(-2 * total // bucket_bytes)), []
-    for level in range(MAX_LEVELS):
+def content_groups(records: DataFrame, bucket_bytes: int = BUCKET_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """(text_sha256, keep_id, group_size) for each distinct content of (h, size, norm, doc_id), h being a hash of it."""
+    least_tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = checkpoint(records.groupBy("h").agg(F.max("size").alias("b")))
+    rest = records.select("h", "norm", "doc_id").mapInArrow(_collapse(bucket_bytes // 4), "h long, norm binary, keep_id long, n long")
+    rest, sizes = rest.withColumn("bucket", F.lit(0).cast("long")), sizes.withColumn("bucket", F.lit(0).cast("long"))
+    parts, level = [], 0
+    while True:
+        most = sizes.groupBy("bucket").agg(F.sum("b").alias("b")).agg(F.max("b")).first()[0] or 0
+        fan = int(min(fanout, max(1, -(-2 * most // bucket_bytes))))
+        # Each level deals by a hash of its own, inside of the buckets of the one before.
+        child = (F.col("bucket") * fan + F.pmod(F.xxhash64("h", F.lit(level)), F.lit(fan))).alias("bucket")
+        rest, sizes = rest.withColumn("bucket", child), sizes.withColumn("bucket", child)
         # A bucket of one text needs no more than that text and is never split.
-        full = [r[0] for r in sizes.groupBy(_bucket(level, fanout)).agg(F.sum("b").alias("b"), F.count("*").alias("n")).where(f"b > {bucket_bytes} and n > 1").select("bucket").collect()] if level < MAX_LEVELS - 1 else []
-        dealt = rest.withColumn("bucket", _bucket(level, fanout))
-        fits = dealt.where(~F.col("bucket").isin(full)) if full else dealt
-        parts.append(fits.repartition(max(fanout, least_tasks), "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "text_sha256 string, keep_id long, group_size long"))
-        if not full:
+        full = checkpoint(sizes.groupBy("bucket").agg(F.sum("b").alias("b"), F.count("*").alias("n")).where(f"b > {bucket_bytes} and n > 1").select("bucket"))
+        many = full.count()
+        if level == 0:
+            rest = rest if not many else staged(rest.repartition(max(fan, least_tasks), "bucket"))
+        full = F.broadcast(full) if many <= FEW else full
+        fits = rest.join(full, "bucket", "left_anti") if many else rest
+        done = fits.repartition(max(fan, least_tasks), "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "text_sha256 string, keep_id long, group_size long")
+        parts.append(done)
+        if not many:
             break
-        rest, sizes = dealt.where(F.col("bucket").isin(full)).drop("bucket"), sizes.where(_bucket(level, fanout).isin(full))
-        fanout *= 16
+        rest, sizes, level = staged(rest.join(full, "bucket", "left_semi")), checkpoint(sizes.join(full, "bucket", "left_semi")), level + 1
     groups = parts[0]
     for more in parts[1:]:
         groups = groups.union(more)
     return groups
 
 
-def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def exact_dedup(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, fanout: int = FANOUT) -> DataFrame:
     """Every row of ``docs`` with the group of its text.
 
     Texts are equal when identical after lower-casing A-Z only; a null text counts as empty. The row with the largest
     doc_id of a group stays; a null doc_id is below every other, and of rows equal in doc_id and text just one stays.
-    Returns ``doc_id, keep_id, group_size, kept, text_sha256``; an empty table gives none. Other columns of ``docs`` are
+    A text has to fit a task's memory, a bucket of several texts is split until it does. Returns
+    ``doc_id, keep_id, group_size, kept, text_sha256``; an empty table gives none. Other columns of ``docs`` are
     ignored, so their names cannot clash.
     """
     small_batches(docs)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digests = checkpoint(plain.mapInArrow(_digests, "doc_id long, text_sha256 string, h long, b long"))
-    groups = content_groups(plain, digests, bucket_bytes)
+    normal = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _normal().alias("norm"))
+    groups = staged(content_groups(normal.select("doc_id", "norm", F.xxhash64("norm").alias("h"), (F.octet_length("norm") + 100).cast("long").alias("size")), bucket_bytes, fanout))
+    digests = staged(normal.select("doc_id", F.sha2("norm", 256).alias("text_sha256")))
     # Rows equal in doc_id and text are interchangeable: they are counted, then told apart by a running number.
-    rows = digests.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
+    rows = numbered_copies(digests.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("i") == 1)
-    return rows.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    found = join_unique(rows, groups.withColumn("n", F.col("group_size")), "text_sha256", total)
+    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    kept = checkpoint(exact_dedup(docs, bucket_bytes).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")))
-    # kept has one row for each group, so a doc_id stands in it once unless documents with different texts share it.
-    shared = kept.groupBy("_keep_id").count().where("count > 1").limit(1).count() + docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not shared:
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_keep_id"]), "left_semi")
-    sha = F.pandas_udf(lambda s: s.map(lambda t: _digest(normalised(t))[0]), "string")
-    marked = docs.withColumn("_sha", sha(F.col("text").cast("string")))
-    same = marked["doc_id"].eqNullSafe(kept["_keep_id"]) & (marked["_sha"] == kept["_keep_sha"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns, whatever their names.
+
+    Null and empty texts are one group, of which a row stays. Rows are told apart by doc_id and text; of those equal in both one
+    stays, and which one's other columns stay is not defined. An empty table stays empty; a text may have any length that fits a task.
+    """
+    kept = checkpoint(exact_dedup(docs, bucket_bytes).where("kept").select(F.coalesce("keep_id", F.lit(0)).alias("_d"), F.col("keep_id").isNull().alias("_u"), F.col("text_sha256").alias("_h")))
+    doc_id = F.col("doc_id").cast("long")
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(doc_id, F.lit(0)).alias("_d"), doc_id.isNull().alias("_u"), F.sha2(_normal(), 256).alias("_h"))
+    found = named.join(kept, ["_d", "_u", "_h"], "left_semi")
+    # Copies of a row that stays have its keys; there is one row for each of them where doc_ids tell all rows apart.
+    if not docs.groupBy(doc_id).count().where("count > 1").isEmpty():
+        found = found.groupBy("_d", "_u", "_h").agg(F.first("_row").alias("_row"))
+    return found.select("_row.*")
