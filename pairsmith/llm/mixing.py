@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, numbered_copies, numbered_rows
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -112,7 +112,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 29) ->
     """``doc_id, size, source_size, target, taken, source, copies`` for every row of ``docs``.
 
     Size is the number of words; a null or empty text has none, and its document is taken with the whole part of its
-    source's rate. Copies are the whole number below or above the rate, target / source_size, so none exceeds 3. Equal
+    source's rate, however long or short others are. Copies are the whole number below or above the rate, target / source_size, so none exceeds 3. Equal
     rows are counted and told apart by a running number; null sources form a source of their own, the last. A source
     without words has the target 0. An empty table gives no rows; other columns are ignored.
     """
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 29) ->
     # A join on the source would send a hot source's rows to one task; a row for each source is small while there are few.
     few = targets.count() <= 100_000
     rates = targets.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_COPIES)))).otherwise(F.lit(0.0))).withColumnRenamed("source", "_source")
-    units = counted.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n")
+    units = numbered_copies(counted)
     side = F.broadcast(rates) if few else rates
     joined = units.join(side, units["source"].eqNullSafe(side["_source"]) if not few else units["source"].eqNullSafe(rates["_source"]))
     rounded = copies(joined.select("doc_id", "size", "source", "i", "rate"), seed)
@@ -132,12 +132,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 29) ->
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 29) -> DataFrame:
-    """``docs`` with every row repeated as often as ``mix`` takes it; its columns stay as they are."""
-    chosen = mix(docs, weights, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("i").alias("_i"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_words", word_count(F.col("text").cast("string")))
-    order = Window.partitionBy("doc_id", "source", "_words").orderBy(F.lit(0))
-    repeated = chosen.where("_i > 1").limit(1).count() > 0
-    keyed = keyed.withColumn("_k", F.row_number().over(order).cast("long") if repeated else F.lit(1).cast("long"))
-    same = keyed["doc_id"].eqNullSafe(chosen["_id"]) & keyed["source"].eqNullSafe(chosen["_src"]) & (keyed["_words"] == chosen["_size"]) & (keyed["_k"] == chosen["_i"])
-    joined = keyed.join(chosen, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
-    return joined.select(*(keyed[c] for c in docs.columns))
+    """``docs`` with every row repeated as often as ``mix`` takes it; its columns stay as they are, whatever their names.
+
+    Rows without words (null, empty or blank texts) are repeated by their source's rate too, cut to a whole number. Rows that agree in doc_id,
+    source and number of words are told apart by a running number; a null doc_id or source is a value like others. Texts may have
+    any length; an empty table stays empty.
+    """
+    chosen = mix(docs, weights, seed).where("copies > 0")
+    repeated = not chosen.where("i > 1").isEmpty()
+    named = lambda c, zero: (F.coalesce(c, F.lit(zero)), c.isNull())
+    doc_id, source, keys = F.col("doc_id").cast("long"), F.col("source").cast("string"), ["_d", "_du", "_s", "_su", "_w"]
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.alias(k) for c, k in zip((*named(doc_id, 0), *named(source, ""), word_count(F.col("text").cast("string"))), keys, strict=True)))
+    rows = numbered_rows(rows, keys, "_i") if repeated else rows.withColumn("_i", F.lit(1).cast("long"))
+    taken = chosen.select(*(c.alias(k) for c, k in zip((*named(F.col("doc_id"), 0), *named(F.col("source"), ""), F.col("size")), keys, strict=True)), F.col("i").alias("_i"), F.col("copies").alias("_copies"))
+    joined = rows.join(taken, [*keys, "_i"]).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy"))
+    return joined.select("_row.*")

@@ -72,3 +72,27 @@ def test_expectations(spark):
     low = [got[k] / 12 for k in rate if rate[k] < 0.9]
     assert abs(sum(low) / len(low) - min(rate.values())) < 0.1
     assert len(set(low)) > 1
+
+
+def test_other_columns_may_have_any_name(spark):
+    from pairsmith.llm.mixing import take_mix
+
+    rows = [(k, "some words here " * (1 + k % 3), "s", 10 + k, 5, "c", 1.0) for k in range(12)]
+    rows += [(None, "no id", "s", 1, 1, "c", 1.0)] * 3 + [(None, None, None, None, None, None, None)] * 2
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, _words int, _copies int, _row string, _i double")
+    out = take_mix(frame)
+    assert out.columns == frame.columns
+    got = out.collect()
+    # One source with words: everything is taken once, the rows without a source and words not at all.
+    assert sorted((str(r.doc_id), r._words, r._copies) for r in got) == sorted((str(r[0]), r[3], r[4]) for r in rows if r[2])
+
+
+def test_rows_are_numbered_in_parts(spark):
+    from pairsmith.llm.common import numbered_copies, numbered_rows
+
+    frame = spark.createDataFrame([(k, None if k % 3 else "a") for k in range(300)], "v long, key string").repartition(6)
+    numbered = numbered_rows(frame, ["key"], "no").collect()
+    for key, n in (("a", 100), (None, 200)):
+        assert sorted(r.no for r in numbered if r.key == key) == list(range(1, n + 1))
+    many = spark.createDataFrame([("x", 25_001), ("y", 1)], "k string, n long")
+    assert {tuple(r) for r in numbered_copies(many).groupBy("k").agg({"i": "max"}).collect()} == {("x", 25_001), ("y", 1)}

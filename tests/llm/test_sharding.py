@@ -46,3 +46,17 @@ def test_files(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert sorted(((r.doc_id, r.text) for r in back.collect()), key=str) == sorted(rows, key=str)
     assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [20, 20, 21, 21, 21]
+    clash = docs.selectExpr("doc_id", "text", "'a' as shard", "1 as _k")
+    write_shards(clash, f"{tmp_path}/clash", shards=3)
+    assert sorted(r["count"] for r in spark.read.parquet(f"{tmp_path}/clash").where("shard = 'a' and _k = 1").groupBy("_shard").count().collect()) == [34, 34, 35]
+
+
+def test_the_order_is_the_same_for_any_number_of_shuffle_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first = sorted(map(tuple, assign_shards(docs, bucket_rows=16).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = sorted(map(tuple, assign_shards(docs.repartition(5), bucket_rows=16).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert first == again
