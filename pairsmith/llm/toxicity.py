@@ -19,11 +19,12 @@ from .common import small_batches
 
 CELLS = 1 << 22
 PREFIXES = (4, 5, 6)
-#: Bounds of the labelled sample, for each grade, and of the features kept of it.
-SAMPLE, FEATURES = 3000, 512
-RIDGE, STEPS = 1e-4, 400
-#: A text counts as toxic if its chance of a grade above the least is at least this.
-CUT = 0.35
+#: Bound of the labelled sample, for each grade. Every feature gets a weight, under a ridge penalty, that at least LEAST of its rows have and whose rows'
+#: mean grade is EVIDENCE standard errors or more from that of all: however many there are, and no others, which would be learned by heart.
+SAMPLE, LEAST, EVIDENCE = 3000, 3, 3.0
+RIDGE, STEPS = 1e-4, 300
+#: One in so many rows of the sample is left out of a first fit and chooses the chance from which a text counts as toxic.
+FOLD = 5
 _JUNK = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
@@ -50,12 +51,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Grades in order, their thresholds, and the weights of the kept cells (sorted)."""
+    """Grades in order, their thresholds, the weights of the known cells (sorted), and the chance of a grade above the least from which a text is toxic."""
 
     grades: list[int]
     thresholds: np.ndarray
     cells: np.ndarray
     weights: np.ndarray
+    cut: float = 0.5
 
     def scores(self, starts: np.ndarray, cells: np.ndarray) -> np.ndarray:
         if not len(self.cells):
@@ -81,12 +83,9 @@ def fit(rows: list[tuple[int, np.ndarray]], counts: dict[int, int] | None = None
         return Model(grades, np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
     y = np.array([grades.index(g) for g, _ in rows])
     lengths = np.array([len(c) for _, c in rows])
-    cells = np.concatenate([c for _, c in rows])
-    known, index, count = np.unique(cells, return_inverse=True, return_counts=True)
-    # Kept: the cells whose mean grade is farthest from the overall mean, by its standard error.
+    known, index, count = np.unique(np.concatenate([c for _, c in rows]), return_inverse=True, return_counts=True)
     mean = (np.bincount(index, np.repeat(y, lengths)) + y.mean()) / (count + 1)
-    z = np.abs(mean - y.mean()) * np.sqrt(count)
-    kept = np.sort(np.lexsort((known, -z * (count >= 3)))[:FEATURES])
+    kept = np.flatnonzero((count >= LEAST) & (np.abs(mean - y.mean()) * np.sqrt(count) > EVIDENCE * y.std()))
     place = np.full(len(known), -1)
     place[kept] = np.arange(len(kept))
     inside = place[index] >= 0
@@ -96,7 +95,7 @@ def fit(rows: list[tuple[int, np.ndarray]], counts: dict[int, int] | None = None
     share = np.cumsum(np.bincount(y, balance))[:-1]
     theta, w = np.log(share / (1 - share)), np.zeros(len(kept))
     theta_0, w_0, momentum = theta.copy(), w.copy(), 1.0
-    step = 1.0
+    step = 1 / _curvature(column, row, balance, len(kept))
     for _ in range(STEPS):
         score = np.bincount(row, w[column], minlength=len(rows))
         high, low = np.append(theta, np.inf)[y] - score, np.append(-np.inf, theta)[y] - score
@@ -113,6 +112,42 @@ def fit(rows: list[tuple[int, np.ndarray]], counts: dict[int, int] | None = None
     return Model(grades, theta_0, known[kept], w_0)
 
 
+def _curvature(column: np.ndarray, row: np.ndarray, balance: np.ndarray, n: int) -> float:
+    """A bound of the likelihood's second derivative: half of the largest eigenvalue of the weighted features' square, thresholds with them."""
+    x, size = np.ones(n + 1), 1.0
+    for _ in range(15):
+        along = np.bincount(row, x[column], minlength=len(balance)) + x[n]
+        x = np.append(np.bincount(column, (balance * along)[row], minlength=n), balance @ along)
+        size = float(np.linalg.norm(x))
+        x /= max(size, 1e-12)
+    return 0.5 * size + RIDGE
+
+
+def best_cut(chance: np.ndarray, worse: np.ndarray, weight: np.ndarray) -> float:
+    """The chance that parts rows of a worse grade from the others with the best F1; halfway between the two rows that it is between."""
+    order = np.argsort(-chance, kind="stable")
+    hit, all_ = np.cumsum((worse * weight)[order]), np.cumsum(weight[order])
+    f1 = 2 * hit / (all_ + (worse * weight).sum())
+    last = np.append(chance[order][1:] < chance[order][:-1], True)
+    k = int(np.argmax(np.where(last, f1, -1)))
+    return float((chance[order][k] + (chance[order][k + 1] if k + 1 < len(order) else 0)) / 2)
+
+
+def fit_with_cut(rows: list[tuple[int, np.ndarray]], counts: dict[int, int]) -> Model:
+    """``fit`` on all rows, with the cut that suits the rows that a fit on the others has not seen."""
+    model = fit(rows, counts)
+    out = [r for k, r in enumerate(rows) if k % FOLD == 0]
+    part = fit([r for k, r in enumerate(rows) if k % FOLD], counts)
+    grades = np.array([g for g, _ in out])
+    if part.grades != model.grades or len(model.grades) < 2 or len(set(grades)) < 2:
+        return model
+    starts = np.append(0, np.cumsum([len(c) for _, c in out]))
+    chance = 1 - part.probabilities(part.scores(starts, np.concatenate([c for _, c in out])))[:, 0]
+    weight = np.array([counts[g] / (grades == g).sum() for g in grades])
+    model.cut = best_cut(chance, grades > model.grades[0], weight)
+    return model
+
+
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, after, data, offsets in tokens.slices(batch["text"]):
@@ -130,7 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rate = F.element_at(F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, 1.2 * sample / n + 20 / n)))), F.col("grade"))
     # The sample's bound is known, so its ids can be sent to all tasks; texts are not shuffled.
     chosen = labels.withColumn("o", F.xxhash64("doc_id")).where(F.pmod("o", F.lit(1_000_000)) < F.ceil(rate * 1_000_000)).select(F.col("doc_id").alias("_id"), "grade", "o")
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("grade", "o", "text").mapInArrow(_features_of, "grade int, o long, cells binary").toArrow()
+    labelled = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # Of a document that occurs again and again one row comes.
+    found = labelled.groupBy("grade", "o").agg(F.min("text").alias("text")).mapInArrow(_features_of, "grade int, o long, cells binary").toArrow()
     found = sorted(zip(*(found[c].to_pylist() for c in ("grade", "o", "cells")), strict=True))
     taken: dict[int, int] = {}
     rows = []
@@ -138,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         taken[grade] = taken.get(grade, 0) + 1
         if taken[grade] <= sample:
             rows.append((grade, np.frombuffer(cells, np.int32).astype(np.int64)))
-    return fit(rows, counts)
+    return fit_with_cut(rows, counts)
 
 
 def _predict(model: Model):
@@ -148,7 +185,7 @@ def _predict(model: Model):
             for first, after, data, offsets in tokens.slices(batch["text"]):
                 n = after - first
                 chance = model.probabilities(model.scores(*features(data, offsets))) if len(grades) > 1 else np.ones((n, 1))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:after], pa.array(grades[chance.argmax(1)].astype(np.int32)), pa.array(chance @ grades.astype(float)), pa.array(1 - chance[:, 0] >= CUT)], ["doc_id", "grade", "expected_severity", "toxic"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][first:after], pa.array(grades[chance.argmax(1)].astype(np.int32)), pa.array(chance @ grades.astype(float)), pa.array(1 - chance[:, 0] >= model.cut)], ["doc_id", "grade", "expected_severity", "toxic"])
 
     return run
 
@@ -157,8 +194,8 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -
     """``doc_id, grade, expected_severity, toxic`` for every row of ``docs``.
 
     ``labels`` has doc_id and an integer grade, whose levels are the severity grades in order; of several grades of a document the
-    largest counts. grade is the likeliest one, expected_severity the mean grade, toxic whether a
-    grade above the least has a chance of ``CUT`` or more.
+    largest counts. grade is the likeliest one, expected_severity the mean grade, toxic whether a grade above the least has a chance that
+    parts the labelled documents best which a first fit has not seen. Whole texts are read, of any length.
     A null or empty text has no features and gets the thresholds alone. Without labels, or with one grade only, every
     text has that grade (0 without any). Repeated rows get equal results; an empty table gives none; other columns are ignored.
     """
