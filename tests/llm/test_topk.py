@@ -2,22 +2,23 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from pairsmith.llm.topk import Tree, top_k
 
 SCHEMA = "vec_id long, embedding array<float>, score string, rank string"
 
 
-def brute(rows, k=5, step=50):
-    good = {(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+def brute(rows, k=5, step=50, exact=False):
+    good = {(i, tuple(math.floor(256 * (x if exact else float(np.float32(x)))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
     for q in sorted({i for i, _ in good if i % step == 0}):
         for dim in {len(v) for i, v in good if i == q}:
-            x = min((v for i, v in good if i == q and len(v) == dim), key=lambda v: np.array(v, np.int64).tobytes())
+            x = min(v for i, v in good if i == q and len(v) == dim)
             best = {}
             for i, v in good:
                 if i != q and len(v) == dim:
-                    best[i] = max(best.get(i, -(1 << 60)), sum(a * b for a, b in zip(x, v, strict=True)))
+                    best[i] = max(best.get(i, -(1 << 200)), sum(a * b for a, b in zip(x, v, strict=True)))
             out += [(q, r, i, s) for r, (i, s) in enumerate(sorted(best.items(), key=lambda t: (-t[1], t[0]))[:k], 1)]
     return sorted(out)
 
@@ -54,3 +55,29 @@ def test_tree_prunes():
     want = sorted(((int(s), -i) for i, s in enumerate(real @ query) if i), reverse=True)[:5]
     assert tree.search(0, query, 5) == [(s, -i) for s, i in want]
     assert seen[0] < 5_000
+
+
+def test_large_components_take_part(spark):
+    rows = [(k, [1e9 * (k % 7 - 3), float(k), 0.5]) for k in range(120)] + [(200, [3e37, 0.0, 0.0]), (201, [-1e-38, -0.0, -1e-3])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit in a long"):
+        top_k(frame, tree_rows=32).collect()
+    fitting = [(i, [x / 300, y, z]) for i, (x, y, z) in rows if i != 200]
+    frame = spark.createDataFrame(fitting, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(frame, tree_rows=32).collect())) == brute(fitting, exact=True)
+
+
+def test_queries_go_to_few_trees(spark, monkeypatch):
+    """Clustered vectors: the pairs of queries and trees grow with the queries, not with queries times trees."""
+    from pairsmith.llm import topk
+
+    rng = np.random.default_rng(4)
+    centres, asked = rng.normal(0, 4, (24, 6)), []
+    hits = topk._hits
+    monkeypatch.setattr(topk, "_hits", lambda a, *more: (asked.append(a.count()), hits(a, *more))[1])
+    rows = [(k, (centres[k % 24] / np.linalg.norm(centres[k % 24]) + rng.normal(0, 0.01, 6)).tolist()) for k in range(4800)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = top_k(frame, query_step=10, tree_rows=50)
+    assert sorted(map(tuple, out.collect())) == brute(rows, step=10, exact=True)
+    # 480 queries, about 96 trees.
+    assert asked[0] == 480 and sum(asked) < 480 * 96 / 3
