@@ -1,11 +1,12 @@
 """Language-model scoring with a log-bilinear neural model.
 
-Words fall into ``CLASSES`` classes: the most frequent words and the end of a text by themselves, all other words by their
-shape. The model predicts the class from the two classes before: a context's vector is the sum of its classes' vectors, each
-through a matrix of its position, and a class's score is the product with its own vector, plus a bias. It is trained on the
-counts of class triples over all training texts by noise-contrastive estimation, with the noise, the classes' own
-frequencies, in expectation instead of drawn. Scores are normalised over all classes by batched matrix products; a word's
-share of its class is by its smoothed count.
+Every word with ``LEAST`` occurrences or more in the training texts, up to ``VOCABULARY`` of them, and the end of a text have vectors of their own; a
+rarer word has those of its shape. The predicted vector is the sum of those of the two words before, each through a matrix of its position, and
+a word's score is the product with its own vector, plus a bias. Normalising goes in two steps, over the classes of words and over the words of
+the class, so that it is exact and costs little: both are batched matrix products. Both steps are trained by noise-contrastive estimation, with the noise,
+the training frequencies, in expectation instead of drawn. Each pass reads all training texts: every task goes on from the
+parameters of the pass before with its own texts, and their results are averaged, weighted by their tokens. A rare word's share of its shape is by its
+smoothed count.
 """
 
 from __future__ import annotations
@@ -21,50 +22,57 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import checkpoint, small_batches
 
-CLASSES, SHAPES, WIDTH = 128, 18, 32
-NOISE, EPOCHS, RATE = 25, 250, 0.05
+WIDTH, VOCABULARY, LEAST = 32, 1 << 15, 5
+#: The most frequent words are classes by themselves; the others share classes of a number that keeps both steps small.
+ALONE, GROUP = 64, 256
+SHAPES = 18
+#: Neural ids: shapes, then the end, then words by their frequency.
+END_ID = SHAPES
+NOISE, PASSES, BATCH, RATE = 25, 2, 8192, 0.05
 SMOOTH = 0.1
 #: Words with the highest counts, up to this many, are looked up in memory; the others by a join.
 HEAD = 1 << 19
 CHUNK_TOKENS = 6_000_000
 END = np.uint64(0x454E44)
-END_CLASS = CLASSES - 1
-SINGLES = CLASSES - SHAPES - 1
+#: Parameters travel in pieces of this many numbers.
+PIECE = 1 << 16
 
 
 def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A class from SINGLES on, by how a word ends, whether it is plain ASCII, and its length."""
+    """A shape by how a word ends, whether it is plain ASCII, and its length."""
     final = data[ends - 1] if len(ends) else data[:0]
     ending = np.where(final == ord("."), 1, np.where((final == ord(",")) | (final == ord("!")) | (final == ord("?")), 2, 0))
     wide = np.append(0, np.cumsum(data >= 128))
     other = (wide[ends] > wide[starts]).astype(np.int64)
-    return SINGLES + ending * 6 + other * 3 + np.searchsorted([5, 9], ends - starts, "right")
+    return ending * 6 + other * 3 + np.searchsorted([5, 9], ends - starts, "right")
 
 
 def _stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class by shape, row) of all tokens of a slice, each row's end token after its words."""
+    """(hash, shape, row) of all tokens of a slice, each row's end token after its words."""
     n = len(offsets) - 1
     starts, ends, rows = tokens.words(data, offsets)
     hashes, shapes = tokens.word_hashes(data, starts, ends), _shapes(data, starts, ends)
     at = np.cumsum(np.bincount(rows, minlength=n)) if n else np.zeros(0, np.int64)
-    return np.insert(hashes, at, END), np.insert(shapes, at, END_CLASS), np.insert(rows, at, np.arange(n))
+    return np.insert(hashes, at, END), np.insert(shapes, at, END_ID), np.insert(rows, at, np.arange(n))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Counts of words among the training texts (c) and among all (a)."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        hashes, shapes = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, shapes, learned = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(hashes)
-        hashes, shapes = hashes[order], shapes[order]
+        hashes, shapes, learned = hashes[order], shapes[order], learned[order]
         at = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
-        return pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(shapes[at].astype(np.int32)), pa.array(np.diff(np.append(at, len(hashes))))], ["h", "shape", "c"])
+        return pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(shapes[at].astype(np.int32)), pa.array(np.add.reduceat(learned.astype(np.int64), at)), pa.array(np.diff(np.append(at, len(hashes))))], ["h", "shape", "c", "a"])
 
     for batch in batches:
-        for _, _, data, offsets in tokens.slices(batch["text"]):
-            hashes, shapes, _ = _stream(data, offsets)
-            held.append((hashes, shapes.astype(np.int16)))
+        out = np.array(batch["held_out"].to_pylist(), bool)
+        for first, after, data, offsets in tokens.slices(batch["text"]):
+            hashes, shapes, rows = _stream(data, offsets)
+            held.append((hashes, shapes.astype(np.int16), ~out[first:after][rows]))
             size += len(hashes)
             if size >= CHUNK_TOKENS:
                 yield flush()
@@ -81,112 +89,237 @@ def _find(sorted_keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.n
     return place, sorted_keys[place] == hashes if len(sorted_keys) else np.zeros(len(hashes), bool)
 
 
-def _triples(singles: tuple[np.ndarray, np.ndarray]):
-    """Counts of (class, class, class) over one partition's texts; before a text stand two ends."""
+def _before(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids two places and one place before each token; before a text stand ends."""
+    two, one = np.full(len(ids), END_ID), np.full(len(ids), END_ID)
+    one[1:] = np.where(rows[1:] == rows[:-1], ids[:-1], END_ID)
+    two[2:] = np.where(rows[2:] == rows[:-2], ids[:-2], END_ID)
+    return two, one
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CLASSES**3, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in tokens.slices(batch["text"]):
-                hashes, classes, rows = _stream(data, offsets)
-                place, there = _find(singles[0], hashes)
-                classes[there] = singles[1][place[there]]
-                counts += np.bincount(_contexts(classes, rows) * CLASSES + classes, minlength=CLASSES**3)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["t", "c"])
 
-    return run
+def class_starts(n: int) -> np.ndarray:
+    """Where each class of neural ids begins, and n: classes of one id, then of GROUP ids."""
+    alone = min(n, SHAPES + 1 + ALONE)
+    return np.unique(np.concatenate([np.arange(alone), np.arange(alone, n, GROUP), [n]]))
 
 
-def _contexts(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    one, two = np.full(len(classes), END_CLASS), np.full(len(classes), END_CLASS)
-    one[1:] = np.where(rows[1:] == rows[:-1], classes[:-1], END_CLASS)
-    two[2:] = np.where(rows[2:] == rows[:-2], classes[:-2], END_CLASS)
-    return two * CLASSES + one
+def _softplus(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, x)
 
 
 class LogBilinear:
-    """Vectors of the context's classes, a matrix for each of its two positions, vectors and biases of the predicted classes."""
+    """Vectors of the words before, a matrix for each of their two positions, and vectors and biases of classes and of words."""
 
-    def __init__(self, frequencies: np.ndarray, seed: int = 11) -> None:
+    NAMES = ("context", "position", "klass", "klass_bias", "word", "word_bias")
+
+    def __init__(self, counts: np.ndarray, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
-        self.context = rng.normal(0, 0.3, (CLASSES, WIDTH)).astype(np.float32)
+        n = len(counts)
+        self.starts = class_starts(n)
+        sizes = np.diff(self.starts)
+        self.of = np.repeat(np.arange(len(sizes)), sizes)
+        smooth = counts + SMOOTH
+        total = np.add.reduceat(smooth, self.starts[:-1])
+        #: The noise: frequencies of classes, and of words in theirs.
+        self.class_noise = (total / total.sum()).astype(np.float32)
+        self.word_noise = (smooth / total[self.of]).astype(np.float32)
+        self.context = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         self.position = np.stack([np.eye(WIDTH), np.eye(WIDTH)]).astype(np.float32)
-        self.target = rng.normal(0, 0.1, (CLASSES, WIDTH)).astype(np.float32)
-        self.noise = frequencies.astype(np.float32)
-        self.bias = np.log(self.noise)
-
-    def vectors(self) -> np.ndarray:
-        """(CLASSES ** 2, WIDTH): the predicted vector of each context."""
-        two, one = self.context @ self.position[0], self.context @ self.position[1]
-        return (two[:, None, :] + one[None, :, :]).reshape(-1, WIDTH)
-
-    def train(self, counts: np.ndarray, epochs: int = EPOCHS) -> None:
-        """Noise-contrastive estimation on (CLASSES ** 2, CLASSES) counts, by Adam on the contexts that occur."""
-        seen = np.flatnonzero(counts.sum(1))
-        n = counts[seen].astype(np.float32) / counts.sum()
-        noise = n.sum(1, keepdims=True) * (NOISE * self.noise)
-        shift = np.log(NOISE * self.noise)
-        if not len(seen):
+        self.klass, self.klass_bias = rng.normal(0, 0.1, (len(sizes), WIDTH)).astype(np.float32), np.log(self.class_noise)
+        self.word, self.word_bias = rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32), np.log(self.word_noise)
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([getattr(self, k).ravel() for k in self.NAMES])
+
+    def unpack(self, numbers: np.ndarray) -> None:
+        at = 0
+        for k in self.NAMES:
+            old = getattr(self, k)
+            setattr(self, k, numbers[at : at + old.size].reshape(old.shape).astype(np.float32))
+            at += old.size
+
+    def vectors(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """The predicted vector after each pair of words."""
+        return self.context[two] @ self.position[0] + self.context[one] @ self.position[1]
+
+    def _members(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first id, id after the last, the tokens) of each class of several words that occurs among the targets."""
+        own = self.of[target]
+        order = np.argsort(own, kind="stable")
+        sizes = np.diff(self.starts)
+        edges = np.searchsorted(own[order], np.arange(len(sizes) + 1))
+        for c in np.flatnonzero((np.diff(edges) > 0) & (sizes > 1)):
+            yield int(self.starts[c]), int(self.starts[c + 1]), order[edges[c] : edges[c + 1]]
+
+    def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Normalised log10 probabilities of the targets, block by block."""
+        out = np.empty(len(target))
+        for first in range(0, len(target), BATCH):
+            part = slice(first, first + BATCH)
+            q, t = self.vectors(two[part], one[part]), target[part]
+            s = q @ self.klass.T + self.klass_bias
+            out[part] = _picked(s, self.of[t])
+            for low, high, mine in self._members(t):
+                out[part][mine] += _picked(q[mine] @ self.word[low:high].T + self.word_bias[low:high], t[mine] - low)
+        return out / np.log(10)
+
+    def gradients(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the noise-contrastive loss, the mean over the tokens: for classes, and for words among those of their class."""
+        n = np.float32(len(target))
+        a, b = self.context[two], self.context[one]
+        q = a @ self.position[0] + b @ self.position[1]
+        g_class = _contrast(q @ self.klass.T + self.klass_bias, self.of[target], self.class_noise) / n
+        g_q = g_class @ self.klass
+        g_word, g_word_bias = np.zeros_like(self.word), np.zeros_like(self.word_bias)
+        for low, high, mine in self._members(target):
+            g = _contrast(q[mine] @ self.word[low:high].T + self.word_bias[low:high], target[mine] - low, self.word_noise[low:high]) / n
+            g_word[low:high], g_word_bias[low:high] = g.T @ q[mine], g.sum(0)
+            g_q[mine] += g @ self.word[low:high]
+        g_context = np.zeros_like(self.context)
+        for ids, matrix in ((two, self.position[0]), (one, self.position[1])):
+            order = np.argsort(ids, kind="stable")
+            at = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
+            g_context[ids[order][at]] += np.add.reduceat((g_q @ matrix.T)[order], at, axis=0)
+        return {"context": g_context, "position": np.stack([a.T @ g_q, b.T @ g_q]), "klass": g_class.T @ q, "klass_bias": g_class.sum(0), "word": g_word, "word_bias": g_word_bias}
+
+    def loss(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> float:
+        """What ``gradients`` is the gradient of."""
+        q = self.vectors(two, one).astype(np.float64)
+        out = _contrast_loss(q @ self.klass.T + self.klass_bias, self.of[target], self.class_noise)
+        for low, high, mine in self._members(target):
+            out += _contrast_loss(q[mine] @ self.word[low:high].T + self.word_bias[low:high], target[mine] - low, self.word_noise[low:high])
+        return out / len(target)
+
+
+def _picked(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The natural logarithm of the targets' shares."""
+    scores = scores - scores.max(1, keepdims=True)
+    return scores[np.arange(len(target)), target] - np.log(np.exp(scores).sum(1, dtype=np.float64))
+
+
+def _contrast(scores: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """The loss's derivative by the scores: each is told from NOISE times as much noise, the target from it the other way round."""
+    chance = 1 / (1 + np.exp(np.clip(np.log(NOISE * noise) - scores, -60, 60)))  # that it is no noise
+    g = NOISE * noise * chance
+    row = np.arange(len(target))
+    g[row, target] -= 1 - chance[row, target]
+    return g
+
+
+def _contrast_loss(scores: np.ndarray, target: np.ndarray, noise: np.ndarray) -> float:
+    margin = scores - np.log(NOISE * noise.astype(np.float64))
+    return float((NOISE * noise * _softplus(margin)).sum() + _softplus(-margin[np.arange(len(target)), target]).sum())
+
+
+class Adam:
+    """Steps whose length follows the gradients' first and second moments."""
+
+    def __init__(self, model: LogBilinear, rate: float) -> None:
+        self.model, self.rate, self.count = model, rate, 0
+        self.moments = {k: (np.zeros_like(getattr(model, k)), np.zeros_like(getattr(model, k))) for k in model.NAMES}
+
+    def step(self, gradients: dict[str, np.ndarray]) -> None:
+        self.count += 1
+        for k, g in gradients.items():
+            m, v = self.moments[k]
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.01) * (g * g - v)
+            mean, spread = m / np.float32(1 - 0.9**self.count), np.sqrt(v / np.float32(1 - 0.99**self.count))
+            setattr(self.model, k, getattr(self.model, k) - np.float32(self.rate) * mean / (spread + np.float32(1e-6)))
+
+
+@dataclass
+class Words:
+    """The words looked up in memory: hashes (sorted), training counts and neural ids."""
+
+    hashes: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+    def look_up(self, hashes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(neural id, place, whether there) of each token."""
+        place, there = _find(self.hashes, hashes)
+        ids = shapes.copy()
+        ids[there] = self.ids[place[there]]
+        return ids, place, there
+
+
+def _local_training(model: LogBilinear, words: Words, rate: float):
+    """The parameters after one partition's texts, times its tokens, in pieces; the last piece is the number of tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        optimiser, seen, held, size = Adam(model, rate), 0, [], 0
+
+        def learn() -> int:
+            two, one, target = (np.concatenate(x) for x in zip(*held, strict=True))
+            steps = max(1, round(len(target) / BATCH))
+            # Every step gets tokens from all over what is held.
+            for k in range(steps):
+                optimiser.step(model.gradients(two[k::steps], one[k::steps], target[k::steps]))
+            return len(target)
+
+        for batch in batches:
+            for _, _, data, offsets in tokens.slices(batch["text"]):
+                hashes, shapes, rows = _stream(data, offsets)
+                ids = words.look_up(hashes, shapes)[0]
+                held.append((*_before(ids, rows), ids))
+                size += len(ids)
+                if size >= 16 * BATCH:
+                    seen += learn()
+                    held, size = [], 0
+        if size:
+            seen += learn()
+        if seen:
+            numbers = model.packed().astype(np.float64) * seen
+            pieces = [numbers[k : k + PIECE].tobytes() for k in range(0, len(numbers), PIECE)] + [np.array([float(seen)]).tobytes()]
+            for k, piece in enumerate(pieces):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece], pa.binary())], ["piece", "numbers"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces that came to one task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, numbers in zip(batch["piece"].to_pylist(), batch["numbers"].to_pylist(), strict=True):
+            sums[piece] = sums.get(piece, 0.0) + np.frombuffer(numbers, np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "numbers"])
+
+
+def train_passes(model: LogBilinear, texts: DataFrame, words: Words, passes: int = PASSES) -> None:
+    """``passes`` times over all texts; what comes to the driver is one set of parameters, of a bounded size."""
+    count = len(model.packed())
+    pieces = -(-count // PIECE) + 1
+    for k in range(passes):
+        sent = texts.mapInArrow(tokens.slim(_local_training(model, words, RATE / 2**k)), "piece int, numbers binary")
+        found = sent.repartition(pieces, "piece").mapInArrow(_added, "piece int, numbers binary").toArrow()
+        parts = dict(zip(found["piece"].to_pylist(), found["numbers"].to_pylist(), strict=True))
+        if not parts:
             return
-        two, one = seen // CLASSES, seen % CLASSES
-        # Sums over the contexts that share a class, by runs of equal ones.
-        by_one = np.argsort(one, kind="stable")
-        runs_two, runs_one = (np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in (two, one[by_one]))
-        names = ("context", "position", "target", "bias")
-        moments = {k: [np.zeros_like(getattr(self, k)), np.zeros_like(getattr(self, k))] for k in names}
-        for epoch in range(1, epochs + 1):
-            x, y = self.context @ self.position[0], self.context @ self.position[1]
-            vectors = x[two] + y[one]
-            data = 1 / (1 + np.exp(np.clip(shift - self.bias - vectors @ self.target.T, -60, 60)))  # chance that a class is no noise
-            g = noise * data - n * (1 - data)
-            g_vectors = g @ self.target
-            g_x, g_y = np.zeros_like(x), np.zeros_like(y)
-            g_x[two[runs_two]] = np.add.reduceat(g_vectors, runs_two)
-            g_y[one[by_one][runs_one]] = np.add.reduceat(g_vectors[by_one], runs_one)
-            grads = {"context": g_x @ self.position[0].T + g_y @ self.position[1].T, "position": np.stack([self.context.T @ g_x, self.context.T @ g_y]), "target": g.T @ vectors, "bias": g.sum(0)}
-            rate = RATE * (1 - (epoch - 1) / epochs) / (1 - 0.9**epoch)
-            for k in names:
-                m, v = moments[k]
-                m += 0.1 * (grads[k] - m)
-                v += 0.01 * (grads[k] ** 2 - v)
-                setattr(self, k, getattr(self, k) - (rate * m / (np.sqrt(v / (1 - 0.99**epoch)) + 1e-10)).astype(np.float32))
-
-    def log10(self) -> np.ndarray:
-        """(CLASSES ** 2, CLASSES) normalised log10 probabilities, by products of blocks of contexts."""
-        vectors, out = self.vectors(), np.empty((CLASSES**2, CLASSES), np.float32)
-        for first in range(0, len(vectors), 1024):
-            s = vectors[first : first + 1024] @ self.target.T + self.bias
-            s -= s.max(1, keepdims=True)
-            out[first : first + 1024] = (s - np.log(np.exp(s).sum(1, keepdims=True))) / np.log(10)
-        return out
+        numbers = np.concatenate([np.frombuffer(parts[j], np.float64) for j in range(pieces - 1)])
+        model.unpack(numbers / np.frombuffer(parts[pieces - 1], np.float64)[0])
 
 
 @dataclass
 class Model:
-    """What scoring needs of the corpus: totals, the head's hashes, counts and classes, class shares and the table of log-probabilities."""
+    """What scoring needs of the corpus: totals, the words in memory, the neural model and the logarithm of each shape's total."""
 
     n: int
     v: int
-    hashes: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray
-    class_log: np.ndarray
-    table: np.ndarray
+    words: Words
+    neural: LogBilinear
+    shape_log: np.ndarray
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """(model, counts of all words) from the texts."""
-    counts = checkpoint(texts.mapInArrow(_word_counts, "h long, shape int, c long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c")))
-    v, n = (int(x or 0) for x in counts.agg(F.count("*"), F.sum("c")).first())
+def train(rows: DataFrame, passes: int = PASSES) -> tuple[Model, DataFrame]:
+    """(model, counts of all words) from (held_out, text); words are told by (h, c, a), their counts in training texts and in all."""
+    counts = checkpoint(rows.select("held_out", "text").mapInArrow(tokens.slim(_word_counts), "h long, shape int, c long, a long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"), F.sum("a").alias("a")))
+    v, n = (int(x or 0) for x in counts.agg(F.count_if(F.col("c") > 0), F.sum("c")).first())
     end = int(END)
-    first = counts.where(F.col("h") != end).orderBy(F.desc("c"), "h").limit(SINGLES).select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(first)
-    singles = np.append(first[order], END), np.append(np.arange(SINGLES)[: len(first)][order], END_CLASS)
-    order = np.argsort(singles[0])
-    singles = singles[0][order], singles[1][order]
-    # The head: whole steps of the count's logarithm, from the top, as long as it stays below its bound.
-    step = F.floor(F.log2("c") * 8).cast("int")
+    # The head: whole steps of the logarithm of a word's count in all texts, from the top, as long as it stays below its bound. So no word that
+    # is beyond it is frequent in any texts.
+    step = F.floor(F.log2("a") * 8).cast("int")
     sizes = sorted(((r[0], r[1]) for r in counts.groupBy(step.alias("s")).count().collect()), reverse=True)
     least, size = None, 0
     for s, k in sizes:
@@ -196,26 +329,34 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     head = counts.where(step >= least).toArrow() if least is not None else counts.limit(0).toArrow()
     hashes = head["h"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    hashes, classes, c = hashes[order], head["shape"].to_numpy()[order].astype(np.int64), head["c"].to_numpy()[order].astype(np.int64)
-    place, there = _find(singles[0], hashes)
-    classes[there] = singles[1][place[there]]
-    # Totals of the classes by shape, without the words that are classes by themselves.
-    alone = [int(x) for x in singles[0].view(np.int64)]
-    shapes = {r[0]: (r[1], r[2]) for r in counts.where(~F.col("h").isin(alone)).groupBy("shape").agg(F.sum("c"), F.count("*")).collect()}
-    class_log = np.zeros(CLASSES)
-    for k in range(SINGLES, END_CLASS):
-        total, words = shapes.get(k, (0, 0))
-        class_log[k] = np.log10(total + SMOOTH * (words + 1))
-    triples = texts.mapInArrow(_triples(singles), "t int, c long").groupBy("t").agg(F.sum("c").alias("c")).toArrow()
-    dense = np.zeros(CLASSES**3)
-    dense[triples["t"].to_numpy()] = triples["c"].to_numpy()
-    dense = dense.reshape(-1, CLASSES)
-    # Every class may come, seen or not.
-    frequencies = dense.sum(0) + SMOOTH
-    model = LogBilinear(frequencies / frequencies.sum())
+    hashes, ids, c = hashes[order], head["shape"].to_numpy()[order].astype(np.int64), head["c"].to_numpy()[order].astype(np.int64)
+    # Words with vectors of their own, by frequency.
+    known = np.flatnonzero((c >= LEAST) & (hashes != END))
+    known = known[np.lexsort((hashes[known], -c[known]))][:VOCABULARY]
+    ids[known] = END_ID + 1 + np.arange(len(known))
+    ids[hashes == END] = END_ID
+    words = Words(hashes, c, ids)
+    # Totals of the shapes, without the words that have vectors.
+    totals = np.zeros((SHAPES, 2))
+    for r in counts.where(F.col("h") != end).groupBy("shape").agg(F.sum("c"), F.count_if(F.col("c") > 0)).collect():
+        totals[r[0]] = r[1], r[2]
+    shapes = head["shape"].to_numpy()[order][known]
+    np.subtract.at(totals, shapes, np.column_stack([c[known], np.ones(len(known))]))
+    neural = LogBilinear(np.concatenate([totals[:, 0], c[hashes == END] if (hashes == END).any() else [0], c[known]]).astype(np.float64))
     if n:
-        model.train(dense)
-    return Model(n, v, hashes, c, classes, class_log, model.log10()), counts
+        train_passes(neural, rows.where("not held_out").select("text"), words, passes)
+    return Model(n, v, words, neural, np.log10(totals[:, 0] + SMOOTH * (totals[:, 1] + 1))), counts
+
+
+def token_scores(model: Model, hashes: np.ndarray, shapes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log10 probability but for the counts of words beyond the head, log10 of the smoothed count, whether in the head) of each token of a stream."""
+    ids, place, there = model.words.look_up(hashes, shapes)
+    log_count = np.zeros(len(hashes))
+    log_count[there] = np.log10(model.words.counts[place[there]] + SMOOTH)
+    # A word with a vector has all of what the model gives; one without has its smoothed count's share of its shape.
+    shared = ids < SHAPES
+    share = np.where(shared, log_count - model.shape_log[np.minimum(ids, SHAPES - 1)], 0.0)
+    return model.neural.log10(*_before(ids, rows), ids) + share, log_count, there
 
 
 def _partial_scores(model: Model):
@@ -223,27 +364,19 @@ def _partial_scores(model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.log10(model.n + SMOOTH * (model.v + 1))
-        log_c = np.log10(model.counts + SMOOTH)
-        flat = model.table.ravel()
         for batch in batches:
             for first, after, data, offsets in tokens.slices(batch["text"]):
                 n = after - first
-                hashes, classes, rows = _stream(data, offsets)
-                place, there = _find(model.hashes, hashes)
-                classes[there] = model.classes[place[there]]
-                log_count = np.zeros(len(hashes))
-                log_count[there] = log_c[place[there]]
-                # A class of one word gives all of its share to it; of the others a word has its smoothed count's.
-                shared = (classes >= SINGLES) & (classes < END_CLASS)
-                inside = np.where(shared, log_count - model.class_log[classes], 0.0)
-                score = np.bincount(rows, flat[_contexts(classes, rows) * CLASSES + classes] + inside, minlength=n)
-                count = np.bincount(rows, minlength=n)
+                hashes, shapes, rows = _stream(data, offsets)
+                scores, log_count, there = token_scores(model, hashes, shapes, rows)
+                seen = there & (log_count > np.log10(SMOOTH) + 1e-9)
+                score, count = np.bincount(rows, scores, minlength=n), np.bincount(rows, minlength=n)
                 own, rest, times = tokens.counted(rows[~there], hashes[~there])
                 cuts = np.searchsorted(own, np.arange(n + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64))) for x in (rest, times)]
                 columns = [batch[c][first:after] for c in ("uid", "doc_id", "held_out")]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(count.astype(np.int64)), pa.array(np.bincount(rows[there], minlength=n).astype(np.int64)), pa.array(np.bincount(rows, log_count, minlength=n) - base * count), pa.array(score), *lists],
+                    [*columns, pa.array(count.astype(np.int64)), pa.array(np.bincount(rows[seen], minlength=n).astype(np.int64)), pa.array(np.bincount(rows, log_count, minlength=n) - base * count), pa.array(score), *lists],
                     ["uid", "doc_id", "held_out", "n_tokens", "n_head", "base", "score", "rest", "times"],
                 )
 
@@ -259,16 +392,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 
     Tokens are runs of other characters than ASCII white space, A-Z in lower case, then one end; a null text counts as empty and
-    has the end only. Counts are of all rows that are not held out, whole texts. base_score is the sum of log10((c + 0.1) / (N + 0.1
+    has the end only. Counts are of all rows that are not held out, whole texts of any length, and so is what the model learns from. base_score is the sum of log10((c + 0.1) / (N + 0.1
     (V + 1))), score that of the model's log10 probabilities. Words go by 64-bit hashes. Repeated rows get equal results; an empty
     table gives no rows; other columns are ignored.
     """
     small_batches(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    model, counts = train(rows.where("not held_out").select("text"))
+    model, counts = train(rows)
     partial = checkpoint(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_partial_scores(model), "uid long, doc_id long, held_out boolean, n_tokens long, n_head long, base double, score double, rest array<long>, times array<long>"))
     rest = partial.select("uid", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("uid", F.col("x.rest").alias("h"), F.col("x.times").alias("k"))
-    # All counts of words beyond the head are below the head's: no key here is frequent among the training rows.
+    # Counts of words beyond the head, in all rows, are below the head's: no key here is frequent.
     joined = rest.join(counts.select("h", "c"), "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     sums = joined.groupBy("uid").agg(F.sum(F.col("k") * F.log10(F.col("c") + SMOOTH)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"))
     logs, known = F.coalesce("logs", F.lit(0.0)), F.coalesce("known", F.lit(0))

@@ -43,30 +43,110 @@ def test_odd_rows(spark):
     assert lm.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_probabilities_add_up(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
-    model, counts = lm.train(docs)
-    assert np.allclose((10.0**model.table).sum(1), 1, atol=1e-4)
-    # The words of each class by shape, with one unknown word for each, share the class between them.
-    singles = {int(h) for h, c in zip(model.hashes.view(np.int64), model.classes, strict=True) if c < lm.SINGLES or c == lm.END_CLASS}
-    total = Counter()
-    for r in counts.collect():
-        if r.h not in singles:
-            total[r["shape"]] += 10 ** (math.log10(r.c + lm.SMOOTH) - model.class_log[r["shape"]])
-    assert all(math.isclose(x + 10 ** (math.log10(lm.SMOOTH) - model.class_log[k]), 1, abs_tol=1e-9) for k, x in total.items())
-
-
-def test_noise_contrastive_training_learns_the_conditional_distribution():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((lm.CLASSES**2, lm.CLASSES))
-    for two in range(4):
-        for one in range(4):
-            counts[two * lm.CLASSES + one, :4] = 1000 * rng.dirichlet(np.ones(4))
-    frequency = counts.sum(0) + 0.1
-    model = lm.LogBilinear(frequency / frequency.sum())
-    before = (counts * model.log10()).sum()
-    model.train(counts, 400)
-    best = sum((row * np.log10(row / row.sum(), where=row > 0, out=np.zeros_like(row))).sum() for row in counts if row.any())
-    after = (counts * model.log10()).sum()
-    unigram = (counts * np.log10(frequency / frequency.sum())).sum()
-    assert before < after and unigram < after <= best + 1e-6
+def small_model(seed=5, n=40):
+    rng = np.random.default_rng(seed)
+    model = lm.LogBilinear(rng.integers(0, 50, n).astype(float))
+    for k in model.NAMES:
+        old = getattr(model, k)
+        setattr(model, k, (old + rng.normal(0, 0.3, old.shape)).astype(np.float32))
+    return model, rng
+
+
+def test_probabilities_add_up(monkeypatch):
+    monkeypatch.setattr(lm, "ALONE", 4)
+    monkeypatch.setattr(lm, "GROUP", 7)
+    model, rng = small_model()
+    everything = np.arange(40)
+    for _ in range(5):
+        two, one = rng.integers(0, 40, 2)
+        assert math.isclose((10 ** model.log10(np.full(40, two), np.full(40, one), everything)).sum(), 1, abs_tol=1e-5)
+    assert model.starts[-1] == 40 and (np.diff(model.starts) > 0).all() and np.diff(model.starts).max() == 7
+
+
+def test_gradients_are_those_of_the_loss(monkeypatch):
+    monkeypatch.setattr(lm, "ALONE", 4)
+    monkeypatch.setattr(lm, "GROUP", 7)
+    model, rng = small_model()
+    two, one, target = rng.integers(0, 40, (3, 30))
+    for name, g in model.gradients(two, one, target).items():
+        flat = getattr(model, name)
+        places = [np.unravel_index(int(k), flat.shape) for k in np.argsort(-np.abs(g), axis=None)[:4]]
+        for at in places:
+            before, both = flat[at], []
+            for h in (1e-2, -1e-2):
+                flat[at] = before + h
+                both.append(model.loss(two, one, target))
+            flat[at] = before
+            assert math.isclose((both[0] - both[1]) / 2e-2, g[at], rel_tol=0.03, abs_tol=2e-4)
+
+
+def test_scores_same_as_a_loop_over_the_tokens(spark, monkeypatch):
+    """Each token's probability by its definition, from the trained parameters: dense softmax over classes, over the class, share of the shape."""
+    monkeypatch.setattr(lm, "HEAD", 3000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", lm.held_out().alias("held_out"), "text")
+    model, counts = lm.train(rows)
+    count, neural = {r.h: r.c for r in counts.collect()}, model.neural
+    ids = dict(zip(model.words.hashes.tolist(), model.words.ids.tolist(), strict=True))
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def score(text):
+        data = lm.tokens.LOWER[np.frombuffer(text.encode(), np.uint8)]
+        hashes, shapes, _ = lm._stream(data, np.array([0, len(data)]))
+        out, two, one = 0.0, lm.END_ID, lm.END_ID
+        for h, shape in zip(hashes.tolist(), shapes.tolist(), strict=True):
+            k = ids.get(h, shape)
+            q = neural.context[two].astype(float) @ neural.position[0] + neural.context[one].astype(float) @ neural.position[1]
+            c = neural.of[k]
+            members = slice(neural.starts[c], neural.starts[c + 1])
+            p = softmax(neural.klass @ q + neural.klass_bias)[c] * softmax(neural.word[members] @ q + neural.word_bias[members])[k - neural.starts[c]]
+            signed = h - (1 << 64) if h >> 63 else h
+            out += math.log10(p) + (math.log10(count.get(signed, 0) + 0.1) - model.shape_log[k] if k < lm.SHAPES else 0)
+            two, one = one, k
+        return out
+
+    found = lm._partial_scores(model)
+    scored = {}
+    for r in docs.limit(12).collect():
+        data = lm.tokens.LOWER[np.frombuffer(r.text.encode(), np.uint8)]
+        hashes, shapes, own = lm._stream(data, np.array([0, len(data)]))
+        s, log_count, there = lm.token_scores(model, hashes, shapes, own)
+        rest = sum(math.log10(count.get(int(h), 0) + 0.1) for h in hashes[~there].view(np.int64))
+        scored[r.doc_id] = s.sum() + rest
+        assert math.isclose(scored[r.doc_id], score(r.text), rel_tol=1e-4)
+    assert found is not None and len(model.neural.context) > 100
+
+
+def test_training_learns_from_the_words_before(spark):
+    """Texts in which each word follows from the two before: held-out scores beat a smoothed bigram model's."""
+    rng = np.random.default_rng(2)
+    pairs = {(a, b): int(rng.integers(0, 12)) for a in range(12) for b in range(12)}
+    rows = []
+    for k in range(1500):
+        a, b = rng.integers(0, 12, 2)
+        text = [f"w{a}", f"w{b}"]
+        for _ in range(40):
+            a, b = b, pairs[a, b] if rng.random() < 0.9 else int(rng.integers(0, 12))
+            text.append(f"w{b}")
+        rows.append((k, " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    rows_ = frame.select("doc_id", lm.held_out().alias("held_out"), "text")
+    held = [t for d, t in rows if is_held_out(d)]
+    model, _ = lm.train(rows_, passes=12)
+    data = lm.tokens.LOWER[np.frombuffer("".join(held).encode(), np.uint8)]
+    offsets = np.append(0, np.cumsum([len(t) for t in held]))
+    score = lm.token_scores(model, *lm._stream(data, offsets))[0].sum()
+    bigram, single = Counter(), Counter()
+    for d, t in rows:
+        if not is_held_out(d):
+            seq = [None, *words(t)]
+            bigram.update(zip(seq, seq[1:], strict=False))
+            single.update(seq[:-1])
+    other = sum(math.log10((bigram[p] + 0.1) / (single[p[0]] + 1.4)) for t in held for p in zip([None, *words(t)], words(t), strict=False))
+    assert score > other
+
+
+def test_held_out_scores_beat_the_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = [r for r in lm.score_documents(docs).collect() if r.held_out]
+    assert sum(r.score for r in held) > 0.97 * sum(r.base_score for r in held)
