@@ -106,6 +106,8 @@ class Pieces:
         keys = np.array(sorted(pairs), np.int64)
         t["slots"], t["slot_key"], t["slot_value"] = _hash_table(keys, np.array([pairs[k] for k in keys.tolist()], np.int64))
         raw = [p.replace(SPACE, " ").encode() for p in ranked]
+        if max(map(len, raw)) > DEPTH or len(ranked) >= 1 << 16:
+            raise ValueError(f"pieces may have up to {DEPTH} bytes, and there may be up to 65,535 of them")
         t["len"] = np.array([len(r) for r in raw] + [1, 2, 3, 4], np.int64)  # then characters that go to 1 to 4 bytes
         t["raw"] = raw
         t["words"] = [np.array([int.from_bytes(r[8 * k : 8 * k + 8].ljust(8, b"\0"), "big") for r in raw], np.uint64) for k in range(DEPTH // 8)]
@@ -269,7 +271,7 @@ def encode_units(pieces: Pieces, text: np.ndarray, starts: np.ndarray, ends: np.
     # An edge is one number: offset in its unit, position, piece, each in as many bits as it needs.
     low_bits, place_bits, longest = (len(t["ids"]) + 4).bit_length(), len(joined).bit_length(), int(sizes.max(initial=0))
     if low_bits + place_bits + longest.bit_length() > 64:
-        raise ValueError("a text has a run without a break that is too long")
+        raise ValueError(f"a text has a run of {longest} bytes without a break, which is too long")
     above = np.uint64(low_bits + place_bits)
     edge = lambda at, piece: offset[at] << above | at.astype(np.uint64) << np.uint64(low_bits) | piece.astype(np.uint64)
     found = []
@@ -423,7 +425,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...]
 
     pieces are the ids that the model's own library gives for the whole text; the CRC is that of the ids as 32-bit little-endian
     numbers; round_trip tells whether decoding gave back the text, as it does unless the text holds the model's space sign.
-    A null or empty text has no pieces. Repeated rows get equal results; an empty table gives no rows. Columns of ``docs`` that
+    A null or empty text has no pieces. Texts may have any length; a run in one without any place that no piece can cross, such as a space, may have
+    up to about 8 MB, a longer one is an error. Repeated rows get equal results; an empty table gives no rows. Columns of ``docs`` that
     are not kept are ignored.
     """
     small_batches(docs)
