@@ -3,8 +3,8 @@
 Every word with ``LEAST`` occurrences or more in the training texts, up to ``VOCABULARY`` of them, and the end of a text have vectors of their own; a
 rarer word has those of its shape. The predicted vector is the sum of those of the two words before, each through a matrix of its position, and
 a word's score is the product with its own vector, plus a bias. Normalising goes in two steps, over the classes of words and over the words of
-the class, so that it is exact and costs little: both are batched matrix products. Both steps are trained by noise-contrastive estimation, with the noise,
-the training frequencies, in expectation instead of drawn. Each pass reads all training texts: every task goes on from the
+the class, so that it is exact and costs little: both are batched matrix products. Both steps are trained by noise-contrastive estimation: classes, and
+words of the token's class, are drawn by their training frequencies as noise. Each pass reads all training texts: every task goes on from the
 parameters of the pass before with its own texts, and their results are averaged, weighted by their tokens. A rare word's share of its shape is by its
 smoothed count.
 """
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import checkpoint, small_batches
 
-WIDTH, VOCABULARY, LEAST = 32, 1 << 15, 5
+WIDTH, VOCABULARY, LEAST = 32, 1 << 13, 5
 #: The most frequent words are classes by themselves; the others share classes of a number that keeps both steps small.
-ALONE, GROUP = 64, 256
+ALONE, GROUP = 64, 128
 SHAPES = 18
 #: Neural ids: shapes, then the end, then words by their frequency.
 END_ID = SHAPES
-NOISE, PASSES, BATCH, RATE = 25, 2, 8192, 0.05
+NOISE, PASSES, BATCH, RATE = 24, 1, 1 << 15, 0.05
+#: Tokens scored at a time.
+BLOCK = 8192
 SMOOTH = 0.1
 #: Words with the highest counts, up to this many, are looked up in memory; the others by a join.
 HEAD = 1 << 19
@@ -103,10 +105,6 @@ def class_starts(n: int) -> np.ndarray:
     return np.unique(np.concatenate([np.arange(alone), np.arange(alone, n, GROUP), [n]]))
 
 
-def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, x)
-
-
 class LogBilinear:
     """Vectors of the words before, a matrix for each of their two positions, and vectors and biases of classes and of words."""
 
@@ -154,8 +152,8 @@ class LogBilinear:
     def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10 probabilities of the targets, block by block."""
         out = np.empty(len(target))
-        for first in range(0, len(target), BATCH):
-            part = slice(first, first + BATCH)
+        for first in range(0, len(target), BLOCK):
+            part = slice(first, first + BLOCK)
             q, t = self.vectors(two[part], one[part]), target[part]
             s = q @ self.klass.T + self.klass_bias
             out[part] = _picked(s, self.of[t])
@@ -163,52 +161,79 @@ class LogBilinear:
                 out[part][mine] += _picked(q[mine] @ self.word[low:high].T + self.word_bias[low:high], t[mine] - low)
         return out / np.log(10)
 
-    def gradients(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the noise-contrastive loss, the mean over the tokens: for classes, and for words among those of their class."""
-        n = np.float32(len(target))
+    def draw(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Noise for all tokens of a step: classes, and for each class words of it."""
+        classes = np.minimum(np.searchsorted(np.cumsum(self.class_noise, dtype=np.float64), rng.random(NOISE)), len(self.class_noise) - 1)
+        edges = np.append(0.0, np.cumsum(self.word_noise, dtype=np.float64))
+        low, high = edges[self.starts[:-1]], edges[self.starts[1:]]
+        words = np.searchsorted(edges, low[:, None] + rng.random((len(low), NOISE)) * (high - low)[:, None], "right") - 1
+        return classes, np.clip(words, self.starts[:-1, None], self.starts[1:, None] - 1)
+
+    def gradients(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, noise: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
+        """Of the noise-contrastive loss, the mean over the tokens: classes are told from noise classes, words from noise words of their class."""
+        order = np.argsort(target, kind="stable")
+        two, one, target, n = two[order], one[order], target[order], np.float32(len(target))
         a, b = self.context[two], self.context[one]
         q = a @ self.position[0] + b @ self.position[1]
-        g_class = _contrast(q @ self.klass.T + self.klass_bias, self.of[target], self.class_noise) / n
-        g_q = g_class @ self.klass
+        own, (classes, words) = self.of[target], noise
+        # Targets are in order, and so are their classes: sums over equal ones are sums over runs.
+        runs, class_runs = (np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in (target, own))
+        k = self.klass[own]
+        g = _told(np.einsum("ij,ij->i", q, k) + self.klass_bias[own], self.class_noise[own], True) / n
+        g_q = g[:, None] * k
+        g_class, g_class_bias = np.zeros_like(self.klass), np.zeros_like(self.klass_bias)
+        g_class[own[class_runs]], g_class_bias[own[class_runs]] = np.add.reduceat(g[:, None] * q, class_runs), np.add.reduceat(g, class_runs)
+        g = _told(q @ self.klass[classes].T + self.klass_bias[classes], self.class_noise[classes], False) / n
+        g_q += g @ self.klass[classes]
+        np.add.at(g_class, classes, g.T @ q)
+        np.add.at(g_class_bias, classes, g.sum(0))
+        # A class of one word tells no words apart.
+        several = (np.diff(self.starts) > 1)[own]
+        w = self.word[target]
+        g = np.where(several, _told(np.einsum("ij,ij->i", q, w) + self.word_bias[target], self.word_noise[target], True) / n, np.float32(0))
+        g_q += g[:, None] * w
         g_word, g_word_bias = np.zeros_like(self.word), np.zeros_like(self.word_bias)
-        for low, high, mine in self._members(target):
-            g = _contrast(q[mine] @ self.word[low:high].T + self.word_bias[low:high], target[mine] - low, self.word_noise[low:high]) / n
-            g_word[low:high], g_word_bias[low:high] = g.T @ q[mine], g.sum(0)
-            g_q[mine] += g @ self.word[low:high]
+        g_word[target[runs]], g_word_bias[target[runs]] = np.add.reduceat(g[:, None] * q, runs), np.add.reduceat(g, runs)
+        for first, after in zip(class_runs, np.append(class_runs[1:], len(own)), strict=True):
+            if several[first]:
+                drawn, part = words[own[first]], slice(first, after)
+                g = _told(q[part] @ self.word[drawn].T + self.word_bias[drawn], self.word_noise[drawn], False) / n
+                g_q[part] += g @ self.word[drawn]
+                np.add.at(g_word, drawn, g.T @ q[part])
+                np.add.at(g_word_bias, drawn, g.sum(0))
         g_context = np.zeros_like(self.context)
         for ids, matrix in ((two, self.position[0]), (one, self.position[1])):
-            order = np.argsort(ids, kind="stable")
-            at = np.flatnonzero(np.append(True, ids[order][1:] != ids[order][:-1]))
-            g_context[ids[order][at]] += np.add.reduceat((g_q @ matrix.T)[order], at, axis=0)
-        return {"context": g_context, "position": np.stack([a.T @ g_q, b.T @ g_q]), "klass": g_class.T @ q, "klass_bias": g_class.sum(0), "word": g_word, "word_bias": g_word_bias}
-
-    def loss(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> float:
-        """What ``gradients`` is the gradient of."""
-        q = self.vectors(two, one).astype(np.float64)
-        out = _contrast_loss(q @ self.klass.T + self.klass_bias, self.of[target], self.class_noise)
-        for low, high, mine in self._members(target):
-            out += _contrast_loss(q[mine] @ self.word[low:high].T + self.word_bias[low:high], target[mine] - low, self.word_noise[low:high])
+            by = np.argsort(ids, kind="stable")
+            at = np.flatnonzero(np.append(True, ids[by][1:] != ids[by][:-1]))
+            g_context[ids[by][at]] += np.add.reduceat(g_q[by], at) @ matrix.T
+        return {"context": g_context, "position": np.stack([a.T @ g_q, b.T @ g_q]), "klass": g_class, "klass_bias": g_class_bias, "word": g_word, "word_bias": g_word_bias}
+
+    def loss(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, noise: tuple[np.ndarray, np.ndarray]) -> float:
+        """What ``gradients`` is the gradient of, token by token."""
+        out = 0.0
+        for q, t in zip(self.vectors(two, one).astype(np.float64), target, strict=True):
+            c = self.of[t]
+            score = lambda v, b, p: float(q @ v + b - np.log(NOISE * p))  # noqa: B023, E731
+            out += np.logaddexp(0, -score(self.klass[c], self.klass_bias[c], self.class_noise[c]))
+            out += sum(np.logaddexp(0, score(self.klass[j], self.klass_bias[j], self.class_noise[j])) for j in noise[0])
+            if self.starts[c + 1] - self.starts[c] > 1:
+                out += np.logaddexp(0, -score(self.word[t], self.word_bias[t], self.word_noise[t]))
+                out += sum(np.logaddexp(0, score(self.word[j], self.word_bias[j], self.word_noise[j])) for j in noise[1][c])
         return out / len(target)
 
 
 def _picked(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The natural logarithm of the targets' shares."""
-    scores = scores - scores.max(1, keepdims=True)
-    return scores[np.arange(len(target)), target] - np.log(np.exp(scores).sum(1, dtype=np.float64))
-
-
-def _contrast(scores: np.ndarray, target: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """The loss's derivative by the scores: each is told from NOISE times as much noise, the target from it the other way round."""
-    chance = 1 / (1 + np.exp(np.clip(np.log(NOISE * noise) - scores, -60, 60)))  # that it is no noise
-    g = NOISE * noise * chance
-    row = np.arange(len(target))
-    g[row, target] -= 1 - chance[row, target]
-    return g
+    """The natural logarithm of the targets' shares; the scores are used up."""
+    if scores.max(initial=0) > 60:
+        scores -= scores.max(1, keepdims=True)
+    taken = scores[np.arange(len(target)), target]
+    return taken - np.log(np.exp(scores, out=scores).sum(1))
 
 
-def _contrast_loss(scores: np.ndarray, target: np.ndarray, noise: np.ndarray) -> float:
-    margin = scores - np.log(NOISE * noise.astype(np.float64))
-    return float((NOISE * noise * _softplus(margin)).sum() + _softplus(-margin[np.arange(len(target)), target]).sum())
+def _told(scores: np.ndarray, noise: np.ndarray, real: bool) -> np.ndarray:
+    """The loss's derivative by the scores of what is real, or of noise: how far it is from being told for sure."""
+    chance = 1 / (1 + np.exp(np.clip(np.log(np.float32(NOISE) * noise) - scores, -60, 60)))
+    return chance - 1 if real else chance
 
 
 class Adam:
@@ -248,14 +273,14 @@ def _local_training(model: LogBilinear, words: Words, rate: float):
     """The parameters after one partition's texts, times its tokens, in pieces; the last piece is the number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        optimiser, seen, held, size = Adam(model, rate), 0, [], 0
+        optimiser, rng, seen, held, size = Adam(model, rate), np.random.default_rng(23), 0, [], 0
 
         def learn() -> int:
             two, one, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            steps = max(1, round(len(target) / BATCH))
+            steps = min(len(target), max(8, round(len(target) / BATCH)))
             # Every step gets tokens from all over what is held.
             for k in range(steps):
-                optimiser.step(model.gradients(two[k::steps], one[k::steps], target[k::steps]))
+                optimiser.step(model.gradients(two[k::steps], one[k::steps], target[k::steps], model.draw(rng)))
             return len(target)
 
         for batch in batches:

@@ -68,14 +68,16 @@ def test_gradients_are_those_of_the_loss(monkeypatch):
     monkeypatch.setattr(lm, "GROUP", 7)
     model, rng = small_model()
     two, one, target = rng.integers(0, 40, (3, 30))
-    for name, g in model.gradients(two, one, target).items():
+    noise = model.draw(rng)
+    assert all((model.of[own] == c).all() for c, own in enumerate(noise[1]))
+    for name, g in model.gradients(two, one, target, noise).items():
         flat = getattr(model, name)
         places = [np.unravel_index(int(k), flat.shape) for k in np.argsort(-np.abs(g), axis=None)[:4]]
         for at in places:
             before, both = flat[at], []
             for h in (1e-2, -1e-2):
                 flat[at] = before + h
-                both.append(model.loss(two, one, target))
+                both.append(model.loss(two, one, target, noise))
             flat[at] = before
             assert math.isclose((both[0] - both[1]) / 2e-2, g[at], rel_tol=0.03, abs_tol=2e-4)
 
