@@ -1,30 +1,44 @@
-"""Command line: run, checkpoint list | inspect | resume, transform, report."""
+"""Command line: run, checkpoint list | inspect | resume, transform, upload, report sessions | reliability | benchmark."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairsmith.operators import stats
 from pairsmith.plans import transforms
 from pairsmith.plans.pipeline import Pipeline
+from pairsmith.functions.naming import PROVIDERS
 from pairsmith.sources import config as cfg
 from pairsmith.sources import hub, jsonl
 from pairsmith.sources.providers import Http
 from pairsmith.sources.sessions import Manifest, Session, check_name, config_hash, sessions
 from pairsmith.sources.sinks import JsonLines
+from pairsmith.sources.staging import is_written, written
 
 
 def spark_session() -> SparkSession:
     return SparkSession.builder.appName("pairsmith").config("spark.speculation", "false").getOrCreate()
 
 
-def http(model: cfg.Model, secrets: cfg.Secrets) -> Http:
-    return Http(model.base_url, model.model_name, secrets.key_for(model.base_url), model.rate_limit_per_minute, attempts=max(1, model.max_retries + 1), max_delay=model.max_backoff_seconds, temperature=model.temperature, structure_temperature=model.structure_temperature, max_tokens=model.max_output_tokens, structured=("subtopics", "prompts", "judge", "judge_filter"), stream=model.use_streaming)
+#: Where datasets are published unless HF_ENDPOINT says otherwise.
+HUB = "https://huggingface.co"
+
+
+def http(model: cfg.Model, secrets: cfg.Secrets, config: cfg.Config | None = None) -> Http:
+    """A model's endpoint, with its own limit and that of its provider, which all models of the provider share."""
+    limit = None
+    if config is not None and (name := next((p for part, p in PROVIDERS if part in model.base_url), None)) in config.provider_rate_limits:
+        sharing = sum(any(part in m.base_url and p == name for part, p in PROVIDERS) for m in config.models.values())
+        limit = max(1, config.provider_rate_limits[name] // max(1, sharing))
+    tasks = config.generation.concurrency if config is not None else 4
+    return Http(model.base_url, model.model_name, secrets.key_for(model.base_url), model.rate_limit_per_minute, tasks=tasks, attempts=max(1, model.max_retries + 1), max_delay=model.max_backoff_seconds, temperature=model.temperature, structure_temperature=model.structure_temperature, max_tokens=model.max_output_tokens, structured=("subtopics", "prompts", "judge", "judge_filter"), stream=model.use_streaming, system=model.system_prompt, provider_rpm=limit, burst_percent=config.provider_burst_percent if config is not None else 15)
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--output", default="output")
     run.add_argument("--env")
     run.add_argument("--upload", metavar="REPOSITORY")
+    run.add_argument("--tables", help="a place for tables that executors share, if they do not share the output folder")
     check = commands.add_parser("checkpoint").add_subparsers(dest="action", required=True)
     for name in ("list", "inspect", "resume"):
         sub = check.add_parser(name)
@@ -44,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "resume":
             sub.add_argument("--config", required=True)
             sub.add_argument("--env")
+            sub.add_argument("--tables")
     transform = commands.add_parser("transform")
     transform.add_argument("--mode", choices=("sft-to-dpo", "regen-rejected", "regen"), required=True)
     transform.add_argument("--input", required=True)
@@ -52,47 +68,104 @@ def parser() -> argparse.ArgumentParser:
     transform.add_argument("--format", choices=cfg.STYLES, default="sharegpt")
     transform.add_argument("--config", required=True)
     transform.add_argument("--env")
+    upload = commands.add_parser("upload")
+    upload.add_argument("repository")
+    upload.add_argument("session")
+    upload.add_argument("--output", default="output")
+    upload.add_argument("--env")
+    upload.add_argument("--dry-run", action="store_true", help="print what would be sent")
     report = commands.add_parser("report")
+    report.add_argument("kind", nargs="?", choices=("sessions", "reliability", "benchmark"), default="sessions")
     report.add_argument("--output", default="output")
+    report.add_argument("--least", type=int, default=1, help="leave out sessions with fewer jobs")
+    report.add_argument("--last", type=int, default=20)
+    report.add_argument("--csv", help="write the report as CSV to this folder")
     return top
 
 
 def generate(config: cfg.Config, session: Session, secrets: cfg.Secrets) -> dict:
-    return Pipeline(spark_session(), config, session, {k: http(m, secrets) for k, m in config.models.items()}).run()
+    return Pipeline(spark_session(), config, session, {k: http(m, secrets, config) for k, m in config.models.items()}).run()
+
+
+def publish(folder: Path, repository: str, secrets: cfg.Secrets, dry: bool = False) -> dict:
+    """Send a session's files; without a token, or as a dry run, what would be sent."""
+    token = secrets.keys["hub"]
+    sent = hub.upload(folder, repository, None if dry or not token else hub.http_transport(token, os.environ.get("HF_ENDPOINT", HUB)))
+    return {**{k: v for k, v in sent.items() if k != "commit"}, "sent": bool(token) and not dry}
+
+
+def report_of(spark: SparkSession, kind: str, output: str, least: int, last: int) -> DataFrame:
+    """Sessions by their logs, replies by completeness, or times and throughput: one row for each session."""
+    log = jsonl.scan_log(spark, f"{output}/*/session_jobs")
+    named = log.withColumn("session", F.regexp_extract(F.col("path"), r"(session_[^/]+)/[^/]+/[^/]*$", 1))
+    chosen = stats.latest_sessions(named, least, last)
+    if kind == "sessions":
+        return chosen
+    if kind == "benchmark":
+        runs = jsonl.scan_log(spark, f"{output}/*/session.log").where("msg = 'session complete'").groupBy("session").agg(F.max(F.col("duration") / 1e9).alias("duration_s"))
+        return stats.bench_metrics(named.join(runs, "session").join(chosen.select("session"), "session"), ["session"]).orderBy("session")
+    records = spark.read.json(f"{output}/*/dataset.jsonl", schema="prompt string, chosen string, completion string, output string")
+    session = F.regexp_extract(F.col("_metadata.file_path"), r"(session_[^/]+)/[^/]+/[^/]*$", 1)
+    texts = records.select(session.alias("session"), F.coalesce("chosen", "completion", "output").alias("text"))
+    return stats.reliability(texts.join(chosen.select("session"), "session"), named, ["session"]).orderBy("session")
 
 
 def main(arguments: list[str] | None = None) -> int:
     a = parser().parse_args(arguments)
-    secrets = cfg.Secrets({**(cfg.read_env(a.env) if getattr(a, "env", None) else {}), **__import__("os").environ})
+    secrets = cfg.Secrets({**(cfg.read_env(a.env) if getattr(a, "env", None) else {}), **os.environ})
     if a.command == "run":
-        session = Session(a.output)
+        session = Session(a.output, tables=a.tables)
         session.keep_config(a.config)
         print(json.dumps(generate(cfg.load(a.config), session, secrets)))
         if a.upload:
-            print(json.dumps({k: v for k, v in hub.upload(session.folder, a.upload).items() if k != "commit"}))
+            print(json.dumps(publish(session.folder, a.upload, secrets)))
     elif a.command == "checkpoint" and a.action == "list":
         print(json.dumps(sessions(a.output), indent=1))
     elif a.command == "checkpoint" and a.action == "inspect":
         print(json.dumps(vars(Manifest.load(check_name(a.session, Path(a.output)))), indent=1))
     elif a.command == "checkpoint":
-        config, session = cfg.load(a.config), Session(a.output, a.session)
+        config, session = cfg.load(a.config), Session(a.output, a.session, tables=a.tables)
         g = config.generation
         Manifest.load(session.folder).check_resumable(config_hash(g.main_topic, g.num_subtopics, g.num_prompts_per_subtopic))
         print(json.dumps(generate(config, session, secrets)))
+    elif a.command == "upload":
+        print(json.dumps(publish(check_name(a.session, Path(a.output)), a.repository, secrets, a.dry_run)))
     elif a.command == "transform":
-        spark, provider = spark_session(), http(cfg.load(a.config).models["rejected"], secrets)
-        if a.mode == "sft-to-dpo":
-            JsonLines(a.output).write(transforms.sft_to_dpo(jsonl.scan_sft(spark, a.input), a.format, provider).orderBy("line_no").drop("line_no"))
-        else:
-            plain, reasoned = transforms.regen_rejected(jsonl.scan_dpo(spark, a.input), provider)
-            JsonLines(a.output).write(plain.orderBy("job_id").drop("job_id"))
-            if a.reasoning_output:
-                JsonLines(a.reasoning_output).write(reasoned.orderBy("job_id").drop("job_id"))
+        transform(a, secrets)
     else:
-        log = jsonl.scan_log(spark_session(), f"{a.output}/*/session.log")
-        stats.latest_sessions(log, 1, 20).show(truncate=False)
+        out = report_of(spark_session(), a.kind, a.output, a.least, a.last)
+        if a.csv:
+            out.coalesce(1).write.mode("overwrite").option("header", True).csv(a.csv)
+        out.show(a.last, truncate=False)
     return 0
 
 
+def transform(a: argparse.Namespace, secrets: cfg.Secrets) -> None:
+    """Run a transform. Replies are kept beside the output, so that one that failed or was stopped goes on where it was; outputs are made as a whole."""
+    config = cfg.load(a.config)
+    spark, provider = spark_session(), http(config.models["rejected"], secrets, config)
+    # A wrong path is an error before anything is asked.
+    outputs = [p for p in (a.output, a.reasoning_output) if p]
+    if a.input in outputs or len(set(outputs)) < len(outputs):
+        raise SystemExit("input and outputs must be different paths")
+    if a.mode == "sft-to-dpo" and a.reasoning_output:
+        raise SystemExit("this transform has no output with reasoning")
+    if taken := [p for p in outputs if is_written(spark, p)]:
+        raise SystemExit(f"there already: {', '.join(taken)}")
+    ledger = f"{a.output}.replies"
+    if a.mode == "sft-to-dpo":
+        JsonLines(a.output, overwrite=True).write(in_order(transforms.sft_to_dpo(jsonl.scan_sft(spark, a.input), a.format, provider, ledger=ledger), "line_no"))
+    else:
+        plain, reasoned = transforms.regen_rejected(jsonl.scan_dpo(spark, a.input), provider, ledger=ledger)
+        if a.reasoning_output and not is_written(spark, a.reasoning_output):
+            JsonLines(a.reasoning_output, overwrite=True).write(in_order(reasoned, "job_id"))
+        JsonLines(a.output, overwrite=True).write(in_order(plain, "job_id"))
+
+
+def in_order(rows: DataFrame, line: str) -> DataFrame:
+    """By the lines that they come from, in range partitions; without the number."""
+    return written(rows).orderBy(line).drop(line)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -169,11 +169,13 @@ def parse_judge(reply: str, prefer: str = "array") -> tuple[int, dict[str, tuple
     a score at all.
     """
     taken = extract(reply, prefer)
+    if (scores := judge_scores(sanitize(taken))) is not None:
+        return 1, scores
     once = repair(taken, prefer)
-    for number, text in enumerate((sanitize(taken), once, repair(sanitize(once), prefer)), 1):
-        scores = judge_scores(text)
-        if scores is not None:
-            return number, scores
+    if (scores := judge_scores(once)) is not None:
+        return 2, scores
+    if (scores := judge_scores(repair(sanitize(once), prefer))) is not None:
+        return 3, scores
     scores = judge_scores(leading_value(sanitize(once)))
     return (4, scores) if scores else None
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -22,9 +23,18 @@ META_PHRASES = (
 )
 
 
+#: Unicode's white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is evaluated once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utrim(text: Column) -> Column:
-    """Trim all Unicode white space from both ends; Spark's own trim takes spaces only."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space from both ends; Spark's own trim takes spaces only. What lies between is not looked at."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -66,13 +76,19 @@ def combine_reasoning(reasoning: Column, content: Column) -> Column:
     return F.when(F.coalesce(reasoning, F.lit("")) == "", content).otherwise(F.concat(wrap_think(reasoning), F.lit("\n\n"), content))
 
 
+def _any_case(phrase: str) -> str:
+    """A pattern of the phrase, case ignored as simple case folding has it: of other letters than A-Z two fold to one of these."""
+    folds = {"s": "[s\u017f]", "k": "[k\u212a]"}
+    return "".join(folds.get(c) or (c if c.isalnum() or c == " " else "\\" + c) for c in phrase)
+
+
+META = f"(?i)(?:{'|'.join(_any_case(p) for p in META_PHRASES)})[\\s\\S]*"
+
+
 def clean_meta(text: Column) -> Column:
     """Cut a reply where it begins to talk about itself, unless nothing would be left; a blank text stays as it is."""
-    trimmed = utrim(text)
-    lowered = F.lower(trimmed)
-    starts = [F.nullif(F.locate(p, lowered), F.lit(0)) for p in META_PHRASES]
-    cut = utrim(F.substring(trimmed, F.lit(1), F.least(*starts) - 1))
-    return F.when(trimmed == "", text).otherwise(F.coalesce(F.nullif(cut, F.lit("")), trimmed))
+    cut = lambda t: F.when(t == "", text).otherwise(F.coalesce(F.nullif(utrim(F.regexp_replace(t, META, "")), F.lit("")), t))
+    return let(utrim(text), cut)
 
 
 def truncate(text: Column, most: int) -> Column:
@@ -86,9 +102,9 @@ def has_control_characters(text: Column) -> Column:
 
 
 def contains_any(text: Column, phrases: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in phrases))
+    return let(text, lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(p)) for p in phrases)))
 
 
 def first_of(text: Column, phrases: tuple[str, ...]) -> Column:
     """The first of the phrases, in their order, that the text contains."""
-    return F.coalesce(*(F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases))
+    return let(text, lambda t: F.coalesce(*(F.when(F.contains(t, F.lit(p)), F.lit(p)) for p in phrases)))

@@ -58,17 +58,20 @@ def dense_ids(rows: DataFrame, order: list[str], name: str = "job_id") -> DataFr
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
 
 
-def jobs(subtopics: DataFrame, small: bool = True) -> DataFrame:
+def duplicate_counts(items: DataFrame, item: str = "item") -> DataFrame:
+    """One row (elements, duplicates): items that are not blank, and those beyond the first of each, trimmed and case ignored."""
+    text = utrim(F.col(item))
+    kinds = items.where(text != "").groupBy(F.lower(text).alias("_key")).agg(F.count("*").alias("n"))
+    return kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("elements"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
+
+
+def jobs(subtopics: DataFrame) -> DataFrame:
     """(job_id, main_topic, sub_topic, prompt) from (sub_idx, main_topic, sub_topic, prompts): one job for each prompt, in order.
 
     Subtopics that failed have null prompts and give none.
     """
     rows = subtopics.select("sub_idx", "main_topic", "sub_topic", F.posexplode("prompts").alias("pos", "prompt"))
-    if small:
-        numbered = rows.withColumn("job_id", (F.row_number().over(Window.orderBy("sub_idx", "pos")) - 1).cast("long"))
-    else:
-        numbered = dense_ids(rows, ["sub_idx", "pos"])
-    return numbered.select("job_id", "main_topic", "sub_topic", "prompt")
+    return dense_ids(rows, ["sub_idx", "pos"]).select("job_id", "main_topic", "sub_topic", "prompt")
 
 
 def pending(all_jobs: DataFrame, done: DataFrame) -> DataFrame:

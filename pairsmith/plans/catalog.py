@@ -207,11 +207,11 @@ def think_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.combine_reasoning(reason, F.col("text")).alias("combined"))
 
 
-_META = "CASE doc_id % 4 WHEN 0 THEN text || ' Let''s start over again' WHEN 1 THEN 'Sure! Let''s start over ' || source WHEN 2 THEN text || ' I''ll rewrite and incorporate all. We don''t want too many lines' ELSE text END"
-_META_AT = ", ".join(f"nullif(instr(lower(t), {_quoted(p)}), 0)" for p in text.META_PHRASES)
+_META = "CASE doc_id % 5 WHEN 4 THEN '\u0130\u0130\u0130\u0130 ' || text || ' LET''\u017f start over' || source WHEN 0 THEN text || ' Let''s start over again' WHEN 1 THEN 'Sure! Let''s start over ' || source WHEN 2 THEN text || ' I''ll rewrite and incorporate all. We don''t want too many lines' ELSE text END"
+_META_PATTERN = "(?i)" + "|".join(p.replace("'", "''") for p in text.META_PHRASES)
 
 
-@query(f"""SELECT doc_id, coalesce(nullif({_trim(f"left(t, least({_META_AT}) - 1)")}, ''), t) AS cleaned
+@query(f"""SELECT doc_id, coalesce(nullif({_trim(f"regexp_replace(t, '({_META_PATTERN})(.|\\n)*', '')")}, ''), t) AS cleaned
            FROM (SELECT doc_id, {_trim(_META)} AS t FROM documents)""")
 def meta_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = _META.replace("''", "\\'")
@@ -304,7 +304,7 @@ def exclusion_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
           (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS prompt, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE doc_id % 3 <> 0)""")
 def jobs_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sub_idx"), F.col("source").alias("main_topic"), F.col("lang").alias("sub_topic"), F.when(F.col("doc_id") % 3 != 0, F.split("text", "\n")).alias("prompts"))
-    return lists.jobs(docs, small=False)
+    return lists.jobs(docs)
 
 
 @query("SELECT id AS chunk_no, least(30, 100 - id * 30)::INTEGER AS n FROM range(0, 4) t(id)")
@@ -463,7 +463,7 @@ def bench_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = f"CASE WHEN {_trim('text')} = '' THEN 'empty' WHEN right({_trim('text')}, 1) IN ('.', '!', '?', '\"') THEN 'complete' ELSE 'incomplete' END"
 _RELIABILITY_SQL = f"""WITH r AS (SELECT source, count(*) AS total, count(*) FILTER (k = 'complete') AS complete, count(*) FILTER (k = 'incomplete') AS incomplete, count(*) FILTER (k = 'empty') AS empty
     FROM (SELECT source, {_KIND} AS k FROM documents) GROUP BY source),
-    l AS (SELECT source, count(*) FILTER (doc_id % 3 = 0) AS caught_incomplete, count(*) FILTER (doc_id % 3 = 1) AS caught_refusals, 0::BIGINT AS caught_length FROM documents WHERE doc_id % 10 = 0 GROUP BY source)
+    l AS (SELECT source, count(*) FILTER (doc_id % 3 = 0) AS caught_incomplete, count(*) FILTER (doc_id % 3 = 1) AS caught_refusals, 0::BIGINT AS caught_length FROM documents GROUP BY source)
     SELECT source, total, complete, incomplete, empty, coalesce(caught_incomplete, 0) AS caught_incomplete, coalesce(caught_refusals, 0) AS caught_refusals, coalesce(caught_length, 0) AS caught_length,
            round(total * 100.0 / (total + coalesce(caught_incomplete, 0) + coalesce(caught_refusals, 0)), 6) AS success FROM r LEFT JOIN l USING (source)"""
 
@@ -472,7 +472,7 @@ _RELIABILITY_SQL = f"""WITH r AS (SELECT source, count(*) AS total, count(*) FIL
 def reliability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     message = F.when(F.col("doc_id") % 3 == 0, F.lit("Incomplete output detected")).when(F.col("doc_id") % 3 == 1, F.lit("Refusal detected")).otherwise(F.lit("ok"))
-    log = docs.where("doc_id % 10 = 0").select("source", message.alias("msg"))
+    log = docs.select("source", message.alias("msg"))
     return stats.reliability(docs, log, ["source"]).withColumn("success", F.round("success", 6))
 
 

@@ -1,13 +1,56 @@
-"""Transforms of existing datasets: pairs from supervised records, new rejected replies for pairs."""
+"""Transforms of existing datasets: pairs from supervised records, new rejected replies for pairs.
+
+Replies are written to a ledger, a table named by the caller, before anything is made of them; a transform that is run again asks only for
+the lines whose replies are not there, and one whose calls failed ends with an error when all have been tried.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from pairsmith.functions.text import clean_meta, combine_reasoning, has_think, is_blank, think_content, utrim, without_think
 from pairsmith.operators import lists, records
-from pairsmith.sources.providers import Provider
+from pairsmith.sources.providers import SCHEMA, Provider, prompt_key
+from pairsmith.sources.staging import written
+
+
+class TransformError(RuntimeError):
+    """Some lines got no reply."""
+
+
+def ledger_of(spark, path: str) -> DataFrame:
+    """The replies at ``path``, none if there is no such table."""
+    schema = f"{SCHEMA}, key string"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def replies_to(jobs: DataFrame, provider: Provider, stage: str, ledger: str | None = None) -> DataFrame:
+    """(job_id, content) for each of (job_id, prompt): what the ledger has is read, the rest is asked for once and written to it first.
+
+    A reply counts for the line and the prompt that it was given for. Without a ledger the replies are written to the session's folder.
+    """
+    spark = jobs.sparkSession
+    keyed = jobs.select("job_id", "prompt").withColumn("key", prompt_key(F.lit(stage), F.col("prompt")))
+    if ledger is None:
+        found = written(provider.complete(keyed, stage))
+        asked = keyed.join(found, "job_id")
+    else:
+        have = ledger_of(spark, ledger).where("error is null").select("job_id", "key")
+        # Written down as well: the anti-join reads the table that the replies go to.
+        todo = written(keyed.join(have, ["job_id", "key"], "left_anti"))
+        provider.complete(todo, stage).join(todo.select("job_id", "key"), "job_id").write.mode("append").parquet(ledger)
+        found = ledger_of(spark, ledger)
+        asked = keyed.join(found, ["job_id", "key"])
+    last = asked.groupBy("job_id").agg(F.max_by(F.struct("content", "error"), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("r")).select("job_id", "r.*")
+    failed = last.where("error is not null").agg(F.count("*").alias("n"), F.min(F.struct("job_id", "error")).alias("first")).first()
+    if failed.n:
+        raise TransformError(f"{failed.n} calls failed, the first one for line {failed['first'].job_id}: {failed['first'].error}")
+    return last.select("job_id", "content")
 
 
 def _rejected(completions: DataFrame, allow_empty: bool = False) -> DataFrame:
@@ -18,7 +61,7 @@ def _rejected(completions: DataFrame, allow_empty: bool = False) -> DataFrame:
     return completions.select("job_id", reply.cast("string").alias("rejected"))
 
 
-def sft_to_dpo(scanned: DataFrame, style: str, provider: Provider, done: DataFrame | None = None) -> DataFrame:
+def sft_to_dpo(scanned: DataFrame, style: str, provider: Provider, done: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
     """(line_no, prompt, chosen, rejected) from supervised records with ``line_no``; lines already ``done`` are left out.
 
     A record without prompt or reply is an error that names its line.
@@ -29,7 +72,7 @@ def sft_to_dpo(scanned: DataFrame, style: str, provider: Provider, done: DataFra
     jobs = rows.select(F.col("line_no").alias("job_id"), checked.alias("prompt"), "chosen")
     if done is not None:
         jobs = lists.pending(jobs, done)
-    replies = _rejected(provider.complete(jobs.select("job_id", "prompt"), "rejected"))
+    replies = _rejected(replies_to(jobs, provider, "rejected", ledger))
     return jobs.join(replies, "job_id").select(F.col("job_id").alias("line_no"), "prompt", "chosen", "rejected")
 
 
@@ -46,12 +89,14 @@ def regenerated(pairs: DataFrame, completions: DataFrame) -> tuple[DataFrame, Da
     return plain, both.select("job_id", "prompt", "chosen", combine_reasoning(kept, F.col("rejected")).alias("rejected"))
 
 
-def regen_rejected(scanned: DataFrame, provider: Provider, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """``regenerated`` with replies from a provider, for pairs with ``line_no``; a blank prompt is an error."""
-    prompt = utrim(F.col("prompt"))
-    checked = F.when(is_blank(F.col("prompt")), F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" has no prompt"))).cast("string")).otherwise(prompt)
-    jobs = scanned.select(F.col("line_no").alias("job_id"), F.col("prompt"), "chosen", "rejected")
+def regen_rejected(scanned: DataFrame, provider: Provider, done: DataFrame | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``regenerated`` with replies from a provider, for pairs with ``line_no`` that are not ``done``; a blank prompt is an error.
+
+    Both frames come from the same written replies: each line is asked about once.
+    """
+    blank = F.raise_error(F.concat(F.lit("line "), F.col("job_id").cast("string"), F.lit(" has no prompt"))).cast("string")
+    jobs = scanned.select(F.col("line_no").alias("job_id"), "prompt", "chosen", "rejected")
     if done is not None:
         jobs = lists.pending(jobs, done)
-    asked = scanned.select(F.col("line_no").alias("job_id"), checked.alias("prompt"))
-    return regenerated(jobs, provider.complete(asked, "rejected"))
+    asked = jobs.select("job_id", F.when(is_blank(F.col("prompt")), blank).otherwise(utrim(F.col("prompt"))).alias("prompt"))
+    return regenerated(jobs, replies_to(asked, provider, "rejected", ledger))

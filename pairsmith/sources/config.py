@@ -36,6 +36,7 @@ class Model:
     max_retries: int = 3
     max_backoff_seconds: int = 120
     use_streaming: bool = False
+    system_prompt: str = ""
     enabled: bool = True
 
 
@@ -52,6 +53,7 @@ class Generation:
     sft_format: str = "sharegpt"
     include_topic_columns: bool = False
     enable_reasoning_capture: bool = False
+    reasoning_capture_rejected: bool = False
     prompt_retry_attempts: int = 2
     min_prompt_success_rate: float = 0.9
     disable_limits: bool = False

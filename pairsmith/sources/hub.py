@@ -7,6 +7,8 @@ import hashlib
 import json
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -82,38 +84,89 @@ def with_retries(call: Callable[[], object], retries: int = 3, base: float = 2.0
             sleep(base * 2**attempt)
 
 
-def upload(folder: str | Path, repository: str, transport: Callable[[str, str, bytes], dict] | None = None, names: tuple[str, ...] = ("dataset.jsonl", "dataset_reasoning.jsonl", "config.toml.bak")) -> dict:
-    """Commit up to three files and the attributes; without a transport, what would be sent. An existing repository is never deleted."""
-    operations = [attributes(), *(operation(Path(folder) / n, n) for n in names if (Path(folder) / n).is_file())]
+class HubError(RuntimeError):
+    """The hub refused a request."""
+
+
+def http_transport(token: str, host: str, timeout: float = 300.0) -> Callable[[str, str, bytes], dict]:
+    """Requests to a hub: paths go to the host with the token, whole addresses (of uploads) as they are. Busy answers are OSErrors, so they are repeated."""
+
+    def send(method: str, target: str, body: bytes) -> dict:
+        own = target.startswith("/")
+        headers = {"Authorization": f"Bearer {token}"} if own else {}
+        if own:
+            headers["Content-Type"] = "application/vnd.git-lfs+json" if "/info/lfs/" in target else "application/x-ndjson" if "/commit/" in target else "application/json"
+        try:
+            with urllib.request.urlopen(urllib.request.Request(host.rstrip("/") + target if own else target, body, headers, method=method), timeout=timeout) as answer:
+                raw = answer.read()
+                return {**(json.loads(raw) if raw.strip().startswith(b"{") else {}), **({"etag": answer.headers["ETag"]} if answer.headers.get("ETag") else {})}
+        except urllib.error.HTTPError as e:
+            if e.code == 429 or e.code >= 500:
+                raise OSError(f"status {e.code}") from e
+            if e.code == 409 and target.endswith("/repos/create"):  # it is there already
+                return {}
+            raise HubError(f"{method} {target.split('?')[0]}: status {e.code}") from e
+
+    return send
+
+
+def files_of(folder: str | Path, names: tuple[str, ...]) -> list[tuple[Path, str]]:
+    """(file, name in the repository): plain files, and the parts of datasets that were written as folders."""
+    out = []
+    for name in names:
+        path = Path(folder) / name
+        if path.is_dir():
+            parts = sorted(p for p in path.glob("part-*") if p.stat().st_size)
+            stem, _, kind = name.rpartition(".")
+            out += [(p, name if len(parts) == 1 else f"{stem}-{k:05}-of-{len(parts):05}.{kind}") for k, p in enumerate(parts)]
+        elif path.is_file():
+            out.append((path, name))
+    return out
+
+
+def upload(folder: str | Path, repository: str, transport: Callable[[str, str, bytes], dict] | None = None, names: tuple[str, ...] = ("dataset.jsonl", "dataset_reasoning.jsonl", "config.toml.bak"), sleep: Callable[[float], None] = time.sleep) -> dict:
+    """Commit a session's datasets, configuration and the attributes; without a transport, what would be sent. An existing repository is never deleted."""
+    found = files_of(folder, names)
+    if not any(name.startswith("dataset") for _, name in found):
+        raise HubError(f"no dataset in {folder}")
+    operations = [attributes(), *(operation(path, name) for path, name in found)]
     plan = {"repository": repository, "files": [(o.path, o.size, o.lfs) for o in operations], "commit": commit_body("Add dataset", operations), "lfs": batch_request(operations)}
     if transport is None:
         return plan
-    base = f"/api/datasets/{repository}"
-    with_retries(lambda: transport("POST", "/api/repos/create", json.dumps({"name": repository, "type": "dataset"}).encode()))
-    large = [o for o in operations if o.lfs]
+    owner, _, short = repository.rpartition("/")
+    create = {"name": short, "type": "dataset", **({"organization": owner} if owner else {})}
+    with_retries(lambda: transport("POST", "/api/repos/create", json.dumps(create).encode()), sleep=sleep)
+    large = {o.sha256: path for o, (path, _) in zip(operations[1:], found, strict=True) if o.lfs}
     if large:
-        answer = with_retries(lambda: transport("POST", f"/datasets/{repository}.git/info/lfs/objects/batch", json.dumps(plan["lfs"]).encode()))
-        by_digest = {o.sha256: o for o in large}
+        answer = with_retries(lambda: transport("POST", f"/datasets/{repository}.git/info/lfs/objects/batch", json.dumps(plan["lfs"]).encode()), sleep=sleep)
         for entry in answer.get("objects", []):
-            _send(Path(folder) / by_digest[entry["oid"]].path, entry, transport)
-    return with_retries(lambda: transport("POST", f"{base}/commit/main", plan["commit"].encode()))
+            if "error" in entry:
+                raise HubError(f"{entry['oid']}: {entry['error'].get('message', 'refused')}")
+            _send(large[entry["oid"]], entry, transport, sleep)
+    done = with_retries(lambda: transport("POST", f"/api/datasets/{repository}/commit/main", plan["commit"].encode()), sleep=sleep)
+    return {**plan, "answer": done}
 
 
-def _send(path: Path, entry: dict, transport: Callable[[str, str, bytes], dict]) -> None:
-    """One large file: whole, or in parts of the size that the hub names; nothing if the hub has it."""
-    action = entry.get("actions", {}).get("upload")
+def _send(path: Path, entry: dict, transport: Callable[[str, str, bytes], dict], sleep: Callable[[float], None] = time.sleep) -> None:
+    """One large file: whole, or in parts of the size that the hub names; nothing if the hub has it. A part is in memory at a time."""
+    actions = entry.get("actions", {})
+    action = actions.get("upload")
     if not action:
         return
     header = action.get("header", {})
     urls = part_urls(header)
-    with path.open("rb") as f:
-        if not urls:
-            data = f.read()
-            with_retries(lambda: transport("PUT", action["href"], data))
-            return
+    if not urls:
+        import mmap
+
+        with path.open("rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as whole:
+            with_retries(lambda: transport("PUT", action["href"], whole), sleep=sleep)
+    else:
         size, parts = int(header["chunk_size"]), []
-        for number, url in enumerate(urls, 1):
-            data = f.read(size)
-            tag = with_retries(lambda u=url, d=data: transport("PUT", u, d))
-            parts.append({"partNumber": number, "etag": tag.get("etag", "")})
-    with_retries(lambda: transport("POST", action["href"], json.dumps({"oid": entry["oid"], "parts": parts}).encode()))
+        with path.open("rb") as f:
+            for number, url in enumerate(urls, 1):
+                data = f.read(size)
+                tag = with_retries(lambda u=url, d=data: transport("PUT", u, d), sleep=sleep)
+                parts.append({"partNumber": number, "etag": tag.get("etag", "")})
+        with_retries(lambda: transport("POST", action["href"], json.dumps({"oid": entry["oid"], "parts": parts}).encode()), sleep=sleep)
+    if "verify" in actions:
+        with_retries(lambda: transport("POST", actions["verify"]["href"], json.dumps({"oid": entry["oid"], "size": entry["size"]}).encode()), sleep=sleep)

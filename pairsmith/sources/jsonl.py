@@ -15,6 +15,10 @@ LOG_SCHEMA = (
 )
 
 
+#: A longer line is an error: no record has that many bytes, and it would have to fit a task's memory.
+LONGEST_LINE = 16 << 20
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line): the lines of each file with their numbers from 1, blank ones included.
 
@@ -33,6 +37,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def scan(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Records with ``line_no``; blank lines are skipped. A line that is no JSON object is an error with its number, or skipped if not ``strict``."""
     lines = numbered_lines(spark, path).where(~is_blank(F.col("line")))
+    long = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(f" has more than {LONGEST_LINE} bytes"))).cast("string")
+    lines = lines.withColumn("line", F.when(F.octet_length("line") > LONGEST_LINE, long).otherwise(F.col("line")))
     parsed = lines.select("line_no", F.from_json(utrim(F.col("line")), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
     if not strict:
@@ -55,7 +61,7 @@ def scan_dpo(spark: SparkSession, path: str, validate: bool = True) -> DataFrame
 
 
 def scan_log(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with the session, the name of the folder they are in; lines that are no JSON are skipped."""
+    """Log lines with the session, the name of the folder they are in, and their file; lines that are no JSON are skipped."""
     session = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    lines = spark.read.text(path).select(session.alias("session"), F.from_json("value", LOG_SCHEMA).alias("r"))
-    return lines.where("r.msg is not null").select("session", "r.*")
+    lines = spark.read.text(path).select(session.alias("session"), F.col("_metadata.file_path").alias("path"), F.from_json("value", LOG_SCHEMA).alias("r"))
+    return lines.where("r.msg is not null").select("session", "path", "r.*")

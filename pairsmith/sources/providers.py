@@ -1,13 +1,15 @@
 """Completion providers: from a table, by an expression, or over HTTP.
 
-A provider turns (job_id, prompt) into (job_id, content, reasoning_content, finish_reason). Calls are costly and differ each
-time, so plans write down what a provider returns before they use it.
+A provider turns (job_id, prompt) into (job_id, content, reasoning_content, finish_reason, error, duration_ns). Where a call failed,
+``error`` says how and there is no content: an error's text is never a reply. Calls are costly and differ each time, so plans write down what a
+provider returns before they use it.
 """
 
 from __future__ import annotations
 
 import json
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "job_id long, content string, reasoning_content string, finish_reason string"
+SCHEMA = "job_id long, content string, reasoning_content string, finish_reason string, error string, duration_ns long"
 # Answers after which a call is repeated.
 RETRYABLE = (429, 500, 502, 503, 504)
 
@@ -29,6 +31,11 @@ class Provider(Protocol):
     def complete(self, requests: DataFrame, stage: str) -> DataFrame: ...
 
 
+def _no_call() -> list[Column]:
+    """What stands for a call's outcome where nothing was called."""
+    return [F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("duration_ns")]
+
+
 def prompt_key(stage: Column, prompt: Column) -> Column:
     """What a recorded completion is found by."""
     return F.sha2(F.concat_ws("\x1f", stage, prompt), 256)
@@ -44,7 +51,7 @@ class Replay:
     def complete(self, requests: DataFrame, stage: str) -> DataFrame:
         out = requests.withColumn("key", prompt_key(F.lit(stage), F.col("prompt"))).join(self.recorded.withColumn("_hit", F.lit(True)), "key", "inner" if self.lenient else "left")
         content = F.col("content") if self.lenient else F.when(F.col("_hit").isNull(), F.raise_error(F.concat(F.lit("no recorded completion for job "), F.col("job_id").cast("string"))).cast("string")).otherwise(F.col("content"))
-        return out.select("job_id", content.alias("content"), "reasoning_content", "finish_reason")
+        return out.select("job_id", content.alias("content"), "reasoning_content", "finish_reason", *_no_call())
 
 
 @dataclass
@@ -56,22 +63,24 @@ class Deterministic:
 
     def complete(self, requests: DataFrame, stage: str) -> DataFrame:
         reason = self.reasoning(F.col("prompt"), stage) if self.reasoning else F.lit(None).cast("string")
-        return requests.select("job_id", self.expression(F.col("prompt"), stage).alias("content"), reason.alias("reasoning_content"), F.lit("stop").alias("finish_reason"))
+        return requests.select("job_id", self.expression(F.col("prompt"), stage).alias("content"), reason.alias("reasoning_content"), F.lit("stop").alias("finish_reason"), *_no_call())
 
 
 class Bucket:
-    """A token bucket: ``rate`` tokens a second, ``burst`` at once."""
+    """A token bucket: ``rate`` tokens a second, ``burst`` at once. Any number of threads may take from it."""
 
     def __init__(self, rate: float, burst: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
         self.tokens, self.at = float(burst), clock()
+        self.lock = threading.Lock()
 
     def take(self) -> float:
         """Wait for a token; the seconds waited."""
-        now = self.clock()
-        self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
-        self.tokens -= 1
-        wait = max(0.0, -self.tokens / self.rate)
+        with self.lock:
+            now = self.clock()
+            self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
+            self.tokens -= 1
+            wait = max(0.0, -self.tokens / self.rate)
         if wait:
             self.sleep(wait)
         return wait
@@ -98,12 +107,24 @@ def wait_before(attempt: int, base: float, cap: float, limited: bool, jitter: fl
     return wait * (1 + 0.1 * (random.uniform(-1, 1) if jitter is None else jitter))
 
 
+@dataclass(frozen=True)
+class Reply:
+    """What came of a request."""
+
+    content: str | None
+    reasoning: str | None
+    finish: str | None
+    error: str | None = None
+    seconds: float = 0.0
+
+
 @dataclass
 class Http:
     """An OpenAI-compatible endpoint, called from the tasks; each task has a share of the rate and a pool of threads.
 
-    The limit holds for all tasks together only as far as they run at once: ``tasks`` of them get an equal share. A token is taken for
-    each attempt. Failed rows come back with the finish reason ``error`` and the error as content; nothing is called twice for rows that succeeded.
+    ``tasks`` of them run at once at most, as far as the cluster has room for them, and each has an equal share of the model's limit and of that
+    of its provider, if there is one. A token is taken from both for each attempt. A task asks for ``rows`` replies at most: that many calls are
+    repeated if it is lost. A call, with all of its attempts, takes no longer than ``deadline``.
     """
 
     base_url: str
@@ -111,7 +132,6 @@ class Http:
     api_key: str = ""
     rpm: int = 60
     tasks: int = 4
-    threads: int = 8
     attempts: int = 3
     timeout: float = 120.0
     base_delay: float = 2.0
@@ -122,40 +142,64 @@ class Http:
     structured: tuple[str, ...] = ()
     stream: bool = False
     extra: dict = field(default_factory=dict)
+    provider_rpm: int | None = None
+    burst_percent: int = 15
+    rows: int = 64
+    deadline: float = 900.0
+    system: str = ""
 
     def body(self, prompt: str, stage: str) -> dict:
         warm = self.structure_temperature if stage in self.structured and self.structure_temperature > 0 else self.temperature
-        return {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": warm, "max_tokens": self.max_tokens, "stream": self.stream, **self.extra}
+        return {"model": self.model, "messages": [*([{"role": "system", "content": self.system}] if self.system else []), {"role": "user", "content": prompt}], "temperature": warm, "max_tokens": self.max_tokens, "stream": self.stream, **self.extra}
 
-    def call(self, prompt: str, stage: str, bucket: Bucket, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str, str]:
-        """(content, reasoning, finish reason) of one request, repeated as long as that may help."""
+    def call(self, prompt: str, stage: str, buckets: list[Bucket], sleep: Callable[[float], None] = time.sleep) -> Reply:
+        """The outcome of one request, repeated as long as that may help and there is time."""
         request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(self.body(prompt, stage)).encode(), {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})})
+        began = time.monotonic()
         for attempt in range(1, self.attempts + 1):
-            bucket.take()
+            for bucket in buckets:
+                bucket.take()
+            left = self.deadline - (time.monotonic() - began)
+            if left <= 0:
+                error = "no time left"
+                break
             try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                    return read_stream(answer) if self.stream else read_reply(json.loads(answer.read()))
+                with urllib.request.urlopen(request, timeout=min(self.timeout, left)) as answer:
+                    content, reasoning, finish = read_stream(answer, began + self.deadline) if self.stream else read_reply(json.loads(answer.read()))
+                    return Reply(content, reasoning, finish, None, time.monotonic() - began)
             except urllib.error.HTTPError as e:
                 error, again, limited = f"status {e.code}", e.code in RETRYABLE, e.code == 429
             except OSError as e:
-                error, again, limited = str(e), True, False
+                error, again, limited = str(e) or type(e).__name__, True, False
             except ValueError as e:
                 error, again, limited = f"unreadable reply: {e}", False, False
             if not again or attempt == self.attempts:
                 break
-            sleep(wait_before(attempt, self.base_delay, self.max_delay, limited))
-        return error, "", "error"
+            sleep(min(wait_before(attempt, self.base_delay, self.max_delay, limited), max(0.0, self.deadline - (time.monotonic() - began))))
+        return Reply(None, None, None, error, time.monotonic() - began)
+
+    def buckets(self, share: int) -> list[Bucket]:
+        """The model's bucket and its provider's, for one of ``share`` tasks."""
+        limits = [model_bucket(self.rpm), *([provider_bucket(self.provider_rpm, self.burst_percent)] if self.provider_rpm else [])]
+        return [Bucket(rate / share, max(1, burst // share)) for rate, burst in limits]
+
+    def threads(self, share: int) -> int:
+        return max(1, effective_rate(self.rpm, self.provider_rpm, self.burst_percent) // share)
 
     def complete(self, requests: DataFrame, stage: str) -> DataFrame:
+        asked = requests.select("job_id", "prompt")
+        parts = max(self.tasks, -(-asked.count() // self.rows))
+        share = min(parts, self.tasks, requests.sparkSession.sparkContext.defaultParallelism)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rate, burst = model_bucket(self.rpm)
-            bucket = Bucket(rate / self.tasks, max(1, burst // self.tasks))
-            with ThreadPoolExecutor(self.threads) as pool:
+            buckets, threads = self.buckets(share), self.threads(share)
+            with ThreadPoolExecutor(threads) as pool:
                 for batch in batches:
-                    replies = list(pool.map(lambda p: self.call(p, stage, bucket), batch["prompt"].to_pylist()))
-                    yield pa.RecordBatch.from_arrays([batch["job_id"], *(pa.array(c, pa.string()) for c in zip(*replies, strict=True))], ["job_id", "content", "reasoning_content", "finish_reason"]) if replies else batch.slice(0, 0)
+                    replies = list(pool.map(lambda p: self.call(p, stage, buckets), batch["prompt"].to_pylist()))
+                    columns = [[r.content for r in replies], [r.reasoning for r in replies], [r.finish for r in replies], [r.error for r in replies]]
+                    yield pa.RecordBatch.from_arrays([batch["job_id"], *(pa.array(c, pa.string()) for c in columns), pa.array([int(r.seconds * 1e9) for r in replies], pa.int64())], ["job_id", "content", "reasoning_content", "finish_reason", "error", "duration_ns"])
 
-        return requests.select("job_id", "prompt").repartition(self.tasks).mapInArrow(run, SCHEMA)
+        return asked.repartition(parts).mapInArrow(run, SCHEMA)
 
 
 def read_reply(reply: dict) -> tuple[str, str, str]:
@@ -166,10 +210,12 @@ def read_reply(reply: dict) -> tuple[str, str, str]:
     return message.get("content") or "", message.get("reasoning_content") or "", first.get("finish_reason") or ""
 
 
-def read_stream(lines) -> tuple[str, str, str]:
-    """Join the deltas of server-sent events up to the end mark; blank lines and bad JSON are skipped."""
+def read_stream(lines, until: float = float("inf")) -> tuple[str, str, str]:
+    """Join the deltas of server-sent events up to the end mark; blank lines and bad JSON are skipped. An error if it is not over in time."""
     content, reasoning, finish = [], [], ""
     for raw in lines:
+        if time.monotonic() > until:
+            raise TimeoutError("the stream took too long")
         line = raw.decode("utf-8", "replace").strip()
         if not line.startswith("data: "):
             continue

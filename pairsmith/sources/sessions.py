@@ -73,9 +73,12 @@ def config_hash(topic: str, subtopics: int, prompts: int) -> str:
 
 
 class Session:
-    """A folder ``session_<time>`` with the manifest, a copy of the configuration, a log and one table for each phase."""
+    """A folder ``session_<time>`` with the manifest, a copy of the configuration, a log and one table for each phase.
 
-    def __init__(self, root: str | Path, name: str | None = None, now: datetime | None = None) -> None:
+    The folder is the driver's; where executors do not share it, ``tables`` names a place that they do, for the tables.
+    """
+
+    def __init__(self, root: str | Path, name: str | None = None, now: datetime | None = None, tables: str | None = None) -> None:
         self.root = Path(root)
         self.root.mkdir(parents=True, exist_ok=True)
         if name is None:
@@ -87,13 +90,13 @@ class Session:
             if not self.folder.is_dir():
                 raise SessionError(f"no session {name}")
         self.name = name
+        self.tables = f"{tables.rstrip('/')}/{name}" if tables else str(self.folder)
 
     def path(self, *parts: str) -> str:
-        return str(self.folder.joinpath(*parts))
+        return "/".join([self.tables, *parts])
 
-    def written(self, phase: str) -> bool:
-        """Whether a phase's table is there as a whole."""
-        return (self.folder / phase / "_SUCCESS").exists()
+    def log(self, message: str, **fields: object) -> None:
+        self.logger().info(message, extra={"fields": fields})
 
     def keep_config(self, source: str | Path) -> None:
         shutil.copyfile(source, self.folder / "config.toml.bak")

@@ -31,34 +31,12 @@ def as_json(rows: DataFrame, omit_zero: tuple[str, ...] = ()) -> DataFrame:
 
 
 class JsonLines:
-    """A folder of JSONL files. ``resume`` adds to an existing one, which must be there; else it must not."""
+    """A folder of JSONL files. ``resume`` adds to an existing one, which must be there; else it must not, or is replaced with ``overwrite``."""
 
-    def __init__(self, path: str, resume: bool = False, omit_zero: tuple[str, ...] = ()) -> None:
-        self.path, self.resume, self.omit_zero = path, resume, omit_zero
+    def __init__(self, path: str, resume: bool = False, omit_zero: tuple[str, ...] = (), overwrite: bool = False) -> None:
+        self.path, self.resume, self.omit_zero, self.overwrite = path, resume, omit_zero, overwrite
 
     def write(self, rows: DataFrame) -> None:
         if self.resume:
             rows.sparkSession.read.text(self.path).limit(1).count()  # an error if there is nothing to resume
-        as_json(rows, self.omit_zero).write.mode("append" if self.resume else "error").text(self.path)
-
-
-class Dual:
-    """A plain dataset and one with reasoning, from the same rows, which the caller has written down before."""
-
-    def __init__(self, plain: Sink, reasoned: Sink) -> None:
-        self.plain, self.reasoned = plain, reasoned
-
-    def write(self, rows: DataFrame, reasoned: DataFrame | None = None) -> None:
-        self.plain.write(rows)
-        if reasoned is not None:
-            self.reasoned.write(reasoned)
-
-
-class Table:
-    """A Parquet folder, for what later stages read."""
-
-    def __init__(self, path: str, mode: str = "append") -> None:
-        self.path, self.mode = path, mode
-
-    def write(self, rows: DataFrame) -> None:
-        rows.write.mode(self.mode).parquet(self.path)
+        as_json(rows, self.omit_zero).write.mode("append" if self.resume else "overwrite" if self.overwrite else "error").text(self.path)

@@ -19,20 +19,20 @@ def files(spark: SparkSession, path: str, schema: str, kind: str = "json", at_on
 
 
 ASSEMBLED = "request_id long, id string, model string, created long, content string, reasoning_content string, finish_reason string, done_seen boolean"
-_STATE = "id string, model string, created long, pieces array<struct<seq:bigint,content:string,reasoning:string,finish:string>>, done long"
+_STATE = "id string, model string, created long, named_at long, pieces array<struct<seq:bigint,content:string,reasoning:string,finish:string>>, done long"
 
 
 def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Hold a request's pieces until all up to its end mark are there, or nothing has come for the timeout; then give one row."""
-    name, model, created, pieces, done = state.get if state.exists else (None, None, None, [], None)
+    name, model, created, named_at, pieces, done = state.get if state.exists else (None, None, None, None, [], None)
     pieces = [tuple(p) for p in pieces]
     for frame in batches:
         for r in frame.sort_values("seq").itertuples():
             if r.done:
                 done = r.seq if done is None else min(done, r.seq)
                 continue
-            if isinstance(r.id, str) and (name is None or r.seq < min(p[0] for p in pieces if p[1] or p[2] or p[3])):
-                name, model, created = r.id, r.model, r.created
+            if isinstance(r.id, str) and (named_at is None or r.seq < named_at):
+                name, model, created, named_at = r.id, r.model, r.created, r.seq
             pieces.append((r.seq, *(x if isinstance(x, str) else "" for x in (r.content, r.reasoning, r.finish_reason))))
     # Lines of a request are numbered without gaps, noise included.
     there = {p[0] for p in pieces if done is not None and p[0] < done}
@@ -43,7 +43,7 @@ def _collect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
         yield pd.DataFrame([(key[0], name, model, created, "".join(p[1] for p in kept), "".join(p[2] for p in kept), finish[-1] if finish else None, done is not None)], columns=[c.split()[0] for c in ASSEMBLED.split(", ")])
     else:
-        state.update((name, model, None if created is None else int(created), [tuple(p) for p in pieces], None if done is None else int(done)))
+        state.update((name, model, None if created is None else int(created), None if named_at is None else int(named_at), pieces, None if done is None else int(done)))
         state.setTimeoutDuration(600_000)
 
 

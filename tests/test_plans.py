@@ -164,10 +164,173 @@ def test_http(spark, server):
     provider = Http(server, "m", rpm=60_000, tasks=2, base_delay=0.01, max_delay=0.05)
     asks = spark.createDataFrame([(1, "hi"), (2, "flaky"), (3, "bad"), (4, "limit")], "job_id long, prompt string")
     got = {r.job_id: (r.content, r.finish_reason) for r in provider.complete(asks, "chosen").collect()}
-    assert got == {1: ("HI", "stop"), 2: ("FLAKY", "stop"), 3: ("status 400", "error"), 4: ("LIMIT", "stop")}
+    assert got == {1: ("HI", "stop"), 2: ("FLAKY", "stop"), 3: (None, None), 4: ("LIMIT", "stop")}
     assert Stub.calls.count("flaky") == 3 and Stub.calls.count("bad") == 1
+    errors = {r.job_id: (r.error, r.duration_ns > 0) for r in provider.complete(asks.where("job_id in (1, 3)"), "chosen").collect()}
+    assert errors == {1: (None, True), 3: ("status 400", True)}
     streaming = Http(server, "m", rpm=60_000, tasks=1, stream=True)
-    assert streaming.complete(asks.where("job_id = 1"), "chosen").first() == (1, "ab", "r", "stop")
+    assert streaming.complete(asks.where("job_id = 1"), "chosen").first()[:5] == (1, "ab", "r", "stop", None)
+
+
+def failing(mode, bad_stage, server):
+    """Main replies by expression, the others over HTTP to a server that refuses every prompt."""
+
+    class Refused(Http):
+        def body(self, prompt, stage):
+            return {**super().body(prompt, stage), "messages": [{"role": "user", "content": "bad"}]}
+
+    main, refused = Deterministic(expression), Refused(server, "m", rpm=60_000, tasks=2, base_delay=0.01)
+    return {k: refused if k == bad_stage else main for k in ("main", "rejected", "judge")}
+
+
+def test_errors_are_no_replies(spark, tmp_path, server):
+    session = Session(tmp_path)
+    out = Pipeline(spark, settings("dpo"), session, failing("dpo", "rejected", server)).run()
+    assert (out["total"], out["success"], out["failure"]) == (6, 0, 6) and Stub.calls.count("bad") == 6
+    assert lines(session.folder / "dataset.jsonl") == []
+    for file in session.folder.glob("dataset*/part-*"):
+        assert "status 400" not in file.read_text()
+    reasons = {r.failure_reason for r in spark.read.parquet(session.path("pairs")).collect()}
+    assert reasons == {"call failed: status 400"}
+
+
+def test_a_run_goes_on_in_the_middle_of_a_phase(spark, tmp_path):
+    session, asked = Session(tmp_path), []
+
+    class Dying:
+        """Fails as a whole once the first slice of replies is written."""
+
+        def __init__(self, slices):
+            self.slices = slices
+
+        def complete(self, requests, stage):
+            if stage == "chosen":
+                if self.slices == 0:
+                    raise RuntimeError("the machine is gone")
+                self.slices -= 1
+                asked.extend(r.job_id for r in requests.collect())
+            return Deterministic(expression).complete(requests, stage)
+
+    import pairsmith.plans.pipeline as module
+
+    whole, module.SLICE = module.SLICE, 2
+    try:
+        with pytest.raises(RuntimeError, match="gone"):
+            Pipeline(spark, settings(), session, {k: Dying(1) for k in ("main", "rejected")}).run()
+        before = list(asked)
+        out = Pipeline(spark, settings(), Session(tmp_path, session.name), {k: Dying(9) for k in ("main", "rejected")}).run()
+    finally:
+        module.SLICE = whole
+    assert 0 < len(before) < 6 and sorted(asked) == list(range(6)) and out["success"] == 6
+    manifest = Manifest.load(session.folder)
+    assert manifest.failed_subtopics == [] and manifest.prompt_success_rate == 1.0
+    log = [json.loads(x) for x in (session.folder / "session.log").read_text().splitlines()]
+    assert log[-1]["msg"] == "session complete" and log[-1]["successful"] == 6 and log[-1]["duration"] > 0
+
+
+def test_a_run_that_ended_after_its_dataset_can_be_resumed(spark, tmp_path):
+    provider = {k: Deterministic(expression) for k in ("main", "rejected")}
+    session = Session(tmp_path)
+    Pipeline(spark, settings(), session, provider).run()
+    Manifest(session.name, Manifest.load(session.folder).config_hash, "pairs").save(session.folder)
+    out = Pipeline(spark, settings(), Session(tmp_path, session.name), provider).run()
+    assert out["success"] == 6 and len(lines(session.folder / "dataset.jsonl")) == 6
+
+
+def test_each_line_is_asked_about_once(spark, tmp_path, server):
+    """Ten pairs, ten calls, both outputs from the same replies; what failed is asked again, and nothing else."""
+    rows = [{"prompt": f"p{k}" if k != 7 else "bad", "chosen": f"c{k}", "rejected": "old"} for k in range(10)]
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    provider, ledger = Http(server, "m", rpm=60_000, tasks=3, attempts=1), str(tmp_path / "replies")
+    pairs = jsonl.scan_dpo(spark, str(tmp_path / "in.jsonl"))
+    with pytest.raises(transforms.TransformError, match="line 8: status 400"):
+        transforms.regen_rejected(pairs, provider, ledger=ledger)
+    assert len(Stub.calls) == 10
+    mended = pairs.withColumn("prompt", F.when(F.col("prompt") == "bad", "good").otherwise(F.col("prompt")))
+    plain, reasoned = transforms.regen_rejected(mended, provider, ledger=ledger)
+    a, b = ({r.job_id: r.rejected for r in f.orderBy("job_id").collect()} for f in (plain, reasoned))
+    assert a == b == {k + 1: f"P{k}" if k != 7 else "GOOD" for k in range(10)} and len(Stub.calls) == 11
+    Stub.calls.clear()
+    done = spark.range(1, 10).toDF("job_id")
+    left, _ = transforms.regen_rejected(pairs, provider, done)
+    assert [r.job_id for r in left.collect()] == [10] and Stub.calls == ["p9"]
+
+
+def test_threads_share_a_bucket():
+    from concurrent.futures import ThreadPoolExecutor
+
+    waits = []
+    bucket = Bucket(1.0, 1, lambda: 0.0, waits.append)
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda _: bucket.take(), range(200)))
+    assert sorted(waits) == [float(k) for k in range(1, 200)]
+
+
+class Hub(BaseHTTPRequestHandler):
+    seen: list = []
+    busy = 1
+
+    def _answer(self, method):
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        Hub.seen.append((method, self.path, self.headers.get("Authorization"), body))
+        reply, code = {}, 200
+        if self.path.endswith("/repos/create"):
+            code = 409
+        elif self.path.endswith("/objects/batch"):
+            here = f"http://127.0.0.1:{self.server.server_port}"
+            reply = {"objects": [{"oid": o["oid"], "size": o["size"], "actions": {"upload": {"href": f"{here}/done", "header": {"chunk_size": "5000000", "1": f"{here}/part/1", "2": f"{here}/part/2", "3": f"{here}/part/3"}}}} for o in json.loads(body)["objects"]]}
+        elif "/commit/" in self.path and Hub.busy:
+            Hub.busy, code = 0, 503
+        self.send_response(code)
+        if self.path.startswith("/part/"):
+            self.send_header("ETag", f"tag{self.path[-1]}")
+        self.end_headers()
+        self.wfile.write(json.dumps(reply).encode())
+
+    def do_POST(self):
+        self._answer("POST")
+
+    def do_PUT(self):
+        self._answer("PUT")
+
+    def log_message(self, *args):
+        pass
+
+
+def test_a_session_is_published(spark, tmp_path):
+    """After a real run: the parts of its dataset go inline, a large one in parts, and the commit is sent again when the hub is busy."""
+    session = Session(tmp_path)
+    Pipeline(spark, settings(), session, {k: Deterministic(expression) for k in ("main", "rejected")}).run()
+    (session.folder / "dataset_reasoning.jsonl").write_bytes(b"x" * 12_000_000)
+    hub_server = ThreadingHTTPServer(("127.0.0.1", 0), Hub)
+    threading.Thread(target=hub_server.serve_forever, daemon=True).start()
+    try:
+        send = hub.http_transport("secret", f"http://127.0.0.1:{hub_server.server_port}")
+        done = hub.upload(session.folder, "me/data", send, sleep=lambda _: None)
+    finally:
+        hub_server.shutdown()
+    names = [f[0] for f in done["files"]]
+    assert any(n.startswith("dataset") and n.endswith(".jsonl") and n != "dataset_reasoning.jsonl" for n in names) and "dataset_reasoning.jsonl" in names
+    parts = [b for m, p, _, b in Hub.seen if p.startswith("/part/")]
+    assert [len(b) for b in parts] == [5_000_000, 5_000_000, 2_000_000] and all(a is None for _, p, a, _ in Hub.seen if p.startswith("/part/"))
+    finished = json.loads(next(b for _, p, _, b in Hub.seen if p == "/done"))
+    assert [x["etag"] for x in finished["parts"]] == ["tag1", "tag2", "tag3"]
+    commits = [b for _, p, a, b in Hub.seen if p == "/api/datasets/me/data/commit/main" and a == "Bearer secret"]
+    assert len(commits) == 2 and len(commits[-1].splitlines()) == len(names) + 1
+    with pytest.raises(hub.HubError):
+        hub.upload(tmp_path, "me/data")
+
+
+def test_reports(spark, tmp_path):
+    from pairsmith.__main__ import report_of
+
+    session = Session(tmp_path)
+    Pipeline(spark, settings(), session, {k: Deterministic(expression) for k in ("main", "rejected")}).run()
+    assert report_of(spark, "sessions", str(tmp_path), 1, 5).first().jobs == 6
+    kinds = report_of(spark, "reliability", str(tmp_path), 1, 5).first()
+    assert (kinds.session, kinds.total, kinds.complete, kinds.caught_incomplete, kinds.success) == (session.name, 6, 6, 0, 100.0)
+    times = report_of(spark, "benchmark", str(tmp_path), 1, 5).first()
+    assert times.jobs == 6 and times.duration_s > 0 and times.throughput > 0
 
 
 def test_limits():

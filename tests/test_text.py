@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def test_utrim(spark, value, want):
 
 
 @pytest.mark.parametrize(("value", "has", "think", "answer"), [
-    ("<think>First thought</think>Some text<THINKING> Second thought\n</thinking>Final answer", True, "First thought\n\nSecond thought", "Some textFinal answer"),
+    ("<THINKING>\tsum it up </thinking>42, <think>check: 6 x 7</think>as asked", True, "sum it up\n\ncheck: 6 x 7", "42, as asked"),
     ("<思考>甲</思考> a <think>b</think>", True, "b\n\n甲", "a"), ("none", False, "", "none"), ("<think>open", False, "", "<think>open"), ("<think>a\nb</think>\n\nc", True, "a\nb", "c"),
 ])
 def test_think(spark, value, has, think, answer):
@@ -33,7 +35,7 @@ def test_combine(spark):
     assert one(spark, text.without_think(text.combine_reasoning(lit("r"), lit(" c ")))) == "c"
 
 
-@pytest.mark.parametrize(("value", "want"), [("A story. We don't want too many lines here", "A story."), ("plain", "plain"), ("Let's start over", "Let's start over"), ("  ", "  "), ("a SURE! LET'S START OVER b let's start over", "a")])
+@pytest.mark.parametrize(("value", "want"), [("A story. We don't want too many lines here", "A story."), ("plain", "plain"), ("Let's start over", "Let's start over"), ("  ", "  "), ("a SURE! LET'S START OVER b let's start over", "a"), ("\u0130\u0130\u0130\u0130 one Let's start over two", "\u0130\u0130\u0130\u0130 one"), ("one LET'\u017f \u017ftart over", "one"), ("one Let's\nstart over", "one Let's\nstart over"), ("one let's start over\ntwo", "one")])
 def test_clean_meta(spark, value, want):
     assert one(spark, text.clean_meta(lit(value))) == want
 
@@ -62,9 +64,9 @@ def test_reasons(spark):
 
 
 def test_templates(spark):
-    t = "{{if .IsRetry}}Retry: {{end}}{{.MainTopic}}"
-    assert one(spark, template.render(t, {"IsRetry": F.lit(False), "MainTopic": F.lit("Fantasy")})) == "Fantasy"
-    assert one(spark, template.render(t, {"IsRetry": F.lit(True), "MainTopic": F.lit("SciFi")})) == "Retry: SciFi"
+    t = "Count {{.N}}{{if .Known}}, not {{.Known}}{{end}}."
+    assert one(spark, template.render(t, {"N": F.lit(3), "Known": F.lit("")})) == "Count 3."
+    assert one(spark, template.render(t, {"N": F.lit(3), "Known": F.lit("ants, bees")})) == "Count 3, not ants, bees."
     assert one(spark, template.render("", {})) == "" and one(spark, template.render("{{if .A}}a{{else}}b{{end}}", {"A": F.lit(0)})) == "b"
     for bad in ("{{.Missing}}", "{{.A", "{{call .Func}}", "{{call .Func}}", "{{if .A}}x", "{{end}}", "{{range .A}}{{end}}"):
         with pytest.raises(template.TemplateError):
@@ -72,7 +74,7 @@ def test_templates(spark):
 
 
 def test_names(spark):
-    assert one(spark, naming.config_hash(lit("Test Topic"), F.lit(10), F.lit(5))) == "7e3032efca2efa47"
+    assert one(spark, naming.config_hash(lit("Rivers of Asia"), F.lit(12), F.lit(7))) == hashlib.sha256(b"Rivers of Asia:12:7").hexdigest()[:16]
     assert naming.over_request(100, 0.15) == 114
     assert one(spark, naming.provider_name(lit("https://api.together.ai/v1"))) == "together" and one(spark, naming.provider_name(lit("http://x"))) == "http://x"
     assert one(spark, naming.is_local_endpoint(lit("http://localhost:1/v1"))) and not one(spark, naming.is_local_endpoint(lit("https://my.localhost.example")))
