@@ -59,3 +59,20 @@ def test_odd_rows(spark, tmp_path):
     empty = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_columns_of_any_name_and_rows_without_id(spark, tmp_path):
+    """Names that the stages use themselves, and null ids: copies and near copies without an id go as others do."""
+    words = [" ".join(f"{w}{k}" for w in ("river", "forest", "mountain", "valley", "meadow", "village") for _ in range(8)) for k in range(12)]
+    rows = [(k, words[k], "en", "s0", 1) for k in range(12)] + [(None, words[0].upper(), "en", "s0", 1), (None, words[1] + " more", "en", "s0", 1), (None, "a text of its own without an id, which stays", "en", "s0", 1)]
+    extra = "string _row, string keys, string h, string rid, string lettered, string row, string _d, string _i, string _copies, string _words".split(", ")
+    names = [x.split()[1] for x in extra]
+    docs = spark.createDataFrame([(*r, *(f"{n}{j}" for n in names)) for j, r in enumerate(rows)], SCHEMA + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns[5:] == names
+    kept = docs.collect()
+    # The larger id of equal texts, the only id of near ones.
+    assert sorted(str(r.doc_id) for r in kept) == sorted([*map(str, range(12)), "None"]) and all(r["_row"][4:] == r["keys"][4:] for r in kept)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 13
