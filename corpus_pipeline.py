@@ -2,6 +2,9 @@
 
 A document that language ID rejects goes; of equal texts the row with the largest doc_id stays, of near duplicates the one
 with the least; the rest is dropped or repeated until its sources have their target shares, and encoded to pieces.
+
+In every stage rows are told apart by doc_id and text, so a doc_id may be null or stand for several texts; texts may have any length that fits a task;
+an empty table gives an empty one; other columns go along as they are, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,27 +20,27 @@ from pairsmith.llm.sentencepiece import encode_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages that the labelled rows have."""
+    """Documents whose text is in one of the languages that the labelled rows have; null and empty texts, and those without a letter, go. Equal rows share their fate."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of texts equal but for the case of A-Z: that with the largest doc_id, a null being the least; null and empty texts are one group."""
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates."""
+    """One row of each class of near duplicates: that with the least doc_id, a null being the largest; texts without words all stay, of equal rows one."""
     return drop_near_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are dropped or repeated until sources have their target shares."""
+    """Rows are dropped or repeated, up to three times, until sources have their target shares; null is a source, the last. Rows without words go with their source's rate."""
     return take_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang and source with the pieces of the text."""
+    """doc_id, lang and source with the pieces of the text, none for a null or empty one; a row for each row."""
     return encode_documents(docs, keep=("doc_id", "lang", "source"))
 
 
