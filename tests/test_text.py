@@ -60,6 +60,7 @@ def test_gates(spark, value, finish, reasoning, want):
 def test_reasons(spark):
     assert one(spark, gates.refusal_reason(lit(N + "as an AI I cannot provide"))) == "i cannot provide"
     assert one(spark, gates.incomplete_reason(lit(N + "middle"))) == "mid-sentence" and one(spark, gates.incomplete_reason(lit(N + "END)"))) == "no closing punctuation"
+    assert [one(spark, gates.incomplete_reason(lit(N + v))) for v in ("the,;", "at", "x" * 300, "word ..", "tail\n'", "un\u00e9")] == ["mid-sentence", "no closing punctuation", "mid-sentence", "no closing punctuation", "no closing punctuation", "no closing punctuation"]
     assert one(spark, stats.completeness(lit("it ends'"))) == "incomplete" and one(spark, stats.completeness(lit(None))) == "empty"
 
 
