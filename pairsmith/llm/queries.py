@@ -12,6 +12,7 @@ from .linededup import dedup_lines
 from .lm import score_documents
 from .minhash import near_classes
 from .mixing import mix
+from .phrases import top_phrases
 from .sentencepiece import encode_documents
 from .sharding import assign_shards
 from .topk import top_k
@@ -60,7 +61,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op8_linededup": op8_linededup, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_sentencepiece": op2_sentencepiece, "op3_mixing": op3_mixing, "op4_topk": op4_topk, "op5_lm": op5_lm, "op6_toxicity": op6_toxicity, "op7_langid": op7_langid, "op8_linededup": op8_linededup, "op9_exact_dedup": op9_exact_dedup, "op10_sharding": op10_sharding, "op13_phrases": op13_phrases}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,4 +81,21 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op13_phrases": f"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS w FROM pieces),
+        sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM words), grams AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM sized WHERE len(w) >= k),
+        f AS (SELECT lang, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, k, count(*) AS a FROM grams GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+        sides AS (SELECT lang, phrase, a, k, w, unnest(generate_series(1, k - 1)) AS j FROM c),
+        named AS (SELECT lang, phrase, a, j, array_to_string(list_slice(w, 1, j), ' ') AS p, array_to_string(list_slice(w, j + 1, k), ' ') AS q FROM sides),
+        cuts AS (SELECT s.lang, s.phrase, s.a, j, x.a AS l, y.a AS r, (2000000::HUGEINT * s.a) // (x.a::HUGEINT + y.a) AS score
+                 FROM named s JOIN f x ON x.lang = s.lang AND x.phrase = s.p JOIN f y ON y.lang = s.lang AND y.phrase = s.q),
+        low AS (SELECT DISTINCT ON (lang, phrase) * FROM cuts ORDER BY lang, phrase, score, j),
+        parts AS (SELECT lang, a, w, k, unnest([2, 3]) AS p FROM c), places AS (SELECT *, unnest(generate_series(1, k - p + 1)) AS i FROM parts WHERE p < k),
+        over AS (SELECT lang, array_to_string(list_slice(w, i, i + p - 1), ' ') AS phrase, max(a) AS longer FROM places GROUP BY ALL),
+        kept AS (SELECT low.* FROM low LEFT JOIN over USING (lang, phrase) WHERE NOT coalesce(100::HUGEINT * longer >= 80::HUGEINT * a, false)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
