@@ -64,6 +64,16 @@ def parse(text: str) -> tuple:
     return tuple(root)
 
 
+def names(text: str) -> set[str]:
+    """The fields that a template has, in conditions too."""
+
+    def of(parts: tuple) -> set[str]:
+        own = {p[1] for p in parts if p[0] != "text"}
+        return own.union(*(of(p[2]) | of(p[3]) for p in parts if p[0] == "if"))
+
+    return of(parse(text))
+
+
 def _plain(text: str) -> str:
     if "{{" in text:
         raise TemplateError("unclosed braces")

@@ -21,6 +21,7 @@ from pairsmith.functions.text import is_blank
 from pairsmith.operators import gates, judging, lists, records, stats
 from pairsmith.plans.defaults import CRITERIA, FILTER_CRITERIA, TEMPLATES
 from pairsmith.plans.transforms import ledger_of
+from pairsmith.sources.checkpoints import ADOPTED, adopted_lines
 from pairsmith.sources.config import Config
 from pairsmith.sources.providers import Provider, prompt_key
 from pairsmith.sources.sessions import MANIFEST, Manifest, Session, config_hash
@@ -90,7 +91,7 @@ class Pipeline:
         g = self.config.generation
         size = g.subtopic_chunk_size or count
         asked = lists.chunks(self.spark, count, size)
-        replies = self._ask("main", "subtopics", asked, {"MainTopic": F.lit(g.main_topic), "Count": F.col("n"), "Exclude": F.lit(exclude)}, "chunk_no", f"subtopics_{part}")
+        replies = self._ask("main", "subtopics", asked, {"MainTopic": F.lit(g.main_topic), "NumSubtopics": F.col("n"), "Count": F.col("n"), "IsRetry": F.lit(bool(exclude)), "ExcludeSubtopics": F.lit(exclude), "Exclude": F.lit(exclude)}, "chunk_no", f"subtopics_{part}")
         items = replies.select("job_id", F.posexplode(strings_of(1)("content")).alias("at", "item"))
         return self._stage(f"subtopics_{part}", items.select("item", (F.col("job_id") * 1_000_000 + F.col("at")).alias("pos")))
 
@@ -105,7 +106,7 @@ class Pipeline:
         if have < g.num_subtopics:
             # The list is as long as the target, which the configuration bounds.
             known = [r.item for r in unique.orderBy("pos").collect()]
-            exclude = ", ".join(known[-g.max_exclusion_list_size :])
+            exclude = ", ".join(known[-g.max_exclusion_list_size :] if g.max_exclusion_list_size else [])
             again = self._request_subtopics(g.num_subtopics - have, exclude, "again")
             unique = lists.dedup_ordered(lists.merge_requests(first, again))
         counts = lists.duplicate_counts(self.spark.read.parquet(self.session.path("subtopics_first")), "item").first()
@@ -123,7 +124,7 @@ class Pipeline:
         if self._written("jobs"):
             return self.spark.read.parquet(self.session.path("jobs"))
         g = self.config.generation
-        fields = {"MainTopic": F.lit(g.main_topic), "SubTopic": F.col("sub_topic"), "Count": F.lit(g.num_prompts_per_subtopic)}
+        fields = {"MainTopic": F.lit(g.main_topic), "SubTopic": F.col("sub_topic"), "NumPrompts": F.lit(g.num_prompts_per_subtopic), "Count": F.lit(g.num_prompts_per_subtopic)}
 
         def attempt(rows: DataFrame, number: int) -> DataFrame:
             replies = self._ask("main", "prompts", rows, fields, "sub_idx", f"prompts_{number}")
@@ -138,7 +139,7 @@ class Pipeline:
             if number > 1:
                 self.sleep(2.0 ** (number - 1))
             results = lists.retried(results, attempt(failed, number), "sub_idx", "prompts")
-        rate = stats.success_rate(results, F.col("prompts").isNotNull(), g.min_prompt_success_rate).first()
+        rate = stats.success_rate(results, F.col("prompts").isNotNull(), g.min_success_rate).first()
         # As many names at most as there are subtopics, which the configuration bounds.
         self.manifest.failed_subtopics = [r.sub_topic for r in results.where("prompts is null").select("sub_topic").collect()]
         self.manifest.prompt_success_rate = float(rate.rate)
@@ -151,11 +152,15 @@ class Pipeline:
 
     # Phase three.
 
+    def adopted(self) -> DataFrame | None:
+        """Ids of the jobs that were done before the session was taken over."""
+        return self.spark.read.parquet(self.session.path(ADOPTED)) if self._written(ADOPTED) else None
+
     def done(self) -> DataFrame | None:
         """Ids of the jobs with a good pair among those written; failed ones are tried again."""
-        if not self._written("pairs"):
-            return None
-        return self.spark.read.parquet(self.session.path("pairs")).where("failure_reason is null").select("job_id")
+        good = self.spark.read.parquet(self.session.path("pairs")).where("failure_reason is null").select("job_id") if self._written("pairs") else None
+        before = self.adopted()
+        return good if before is None else before if good is None else good.union(before)
 
     def pairs(self, jobs: DataFrame) -> DataFrame:
         """All good pairs so far; the rejected reply is only asked for where the chosen one has passed the gates.
@@ -164,7 +169,7 @@ class Pipeline:
         """
         done = self.done()
         todo = jobs if done is None else lists.pending(jobs, done)
-        attempt = 0 if done is None else 1 + (self.spark.read.parquet(self.session.path("pairs")).agg(F.max("attempt")).first()[0] or 0)
+        attempt = 0 if not self._written("pairs") else 1 + (self.spark.read.parquet(self.session.path("pairs")).agg(F.max("attempt")).first()[0] or 0)
         fields = {k: F.col(c) for k, c in (("Prompt", "prompt"), ("MainTopic", "main_topic"), ("SubTopic", "sub_topic"))}
         failed = lambda error: F.concat(F.lit(f"{CALL_FAILED}: "), error)
         chosen = self._ask("main", "chosen", todo, fields, ledger=f"chosen_{attempt}")
@@ -185,7 +190,7 @@ class Pipeline:
         """Judged pairs by job: both sides of all pairs are asked for in one pass."""
         sides = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(k).alias("k"), F.col(s).alias("reply")) for k, s in enumerate(("chosen", "rejected"))))
         rows = pairs.select("job_id", "prompt", F.inline(sides)).where(~is_blank(F.col("reply"))).withColumn("ask_id", F.col("job_id") * 2 + F.col("k"))
-        replies = self._ask("judge", stage, rows, {"Prompt": F.col("prompt"), "Reply": F.col("reply"), "Criteria": F.lit(", ".join(criteria))}, "ask_id").where("error is null")
+        replies = self._ask("judge", stage, rows, {"Prompt": F.col("prompt"), "StoryText": F.col("reply"), "Reply": F.col("reply"), "Criteria": F.lit(", ".join(criteria))}, "ask_id").where("error is null")
         answered = self._stage(f"{stage}_replies", replies.select(F.expr("job_id div 2").alias("job_id"), F.when(F.col("job_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), F.col("content").alias("response")))
         return judging.judged(answered, prefer="object")
 
@@ -234,14 +239,16 @@ class Pipeline:
         judged = self._stage("kept", self.filtered(self.pairs(jobs)))
         kept = judged.where("not filtered")
         # The session is not complete: a dataset that a run before has left is made again.
-        JsonLines(self.session.path("dataset.jsonl"), overwrite=True, omit_zero=("chosen_score_total", "rejected_score_total", "preference_margin") if g.dataset_mode == "mo-dpo" else ()).write(self.records(kept))
+        JsonLines(self.session.path("dataset.jsonl"), overwrite=True, omit_zero=("chosen_score_total", "rejected_score_total", "preference_margin") if g.dataset_mode == "mo-dpo" else ()).write(self.records(kept), adopted_lines(self.spark, self.session, "dataset.jsonl"))
         if g.enable_reasoning_capture and g.dataset_mode != "mo-dpo":
-            JsonLines(self.session.path("dataset_reasoning.jsonl"), overwrite=True).write(self.records(kept, reasoning=True))
+            JsonLines(self.session.path("dataset_reasoning.jsonl"), overwrite=True).write(self.records(kept, reasoning=True), adopted_lines(self.spark, self.session, "dataset_reasoning.jsonl"))
         everything = self.spark.read.parquet(self.session.path("pairs"))
         self._log_jobs(everything)
         spent = F.coalesce(F.col("chosen_ns"), F.lit(0)) + F.coalesce(F.col("rejected_ns"), F.lit(0))
         last = everything.groupBy("job_id").agg(F.min("failure_reason").alias("any_failure"), F.max(F.col("failure_reason").isNull()).alias("good"), F.max_by(spent, F.col("failure_reason").isNull()).alias("duration_ns"))
         outcome = last.join(judged.select("job_id", "filtered"), "job_id", "left").select(F.when(~F.col("good"), F.col("any_failure")).alias("failure_reason"), "filtered", "duration_ns")
+        if (before := self.adopted()) is not None:
+            outcome = outcome.union(before.select(F.lit(None).cast("string"), F.lit(False), F.lit(0).cast("long")))
         self.manifest.stats = stats.session_stats(outcome).first().asDict()
         self.manifest.phase = "complete"
         self.manifest.save(self.session.folder)

@@ -6,12 +6,14 @@ the lines whose replies are not there, and one whose calls failed ends with an e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from pairsmith.functions import template
 from pairsmith.functions.text import clean_meta, combine_reasoning, has_think, is_blank, think_content, utrim, without_think
 from pairsmith.operators import lists, records
+from pairsmith.plans.defaults import TEMPLATES
 from pairsmith.sources.providers import SCHEMA, Provider, prompt_key
 from pairsmith.sources.staging import written
 
@@ -29,6 +31,14 @@ def ledger_of(spark, path: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def has_replies(spark, path: str) -> bool:
+    """Whether there is a ledger at ``path``."""
+    try:
+        return not spark.read.schema(f"{SCHEMA}, key string").parquet(path).isEmpty()
+    except AnalysisException:
+        return False
+
+
 def replies_to(jobs: DataFrame, provider: Provider, stage: str, ledger: str | None = None) -> DataFrame:
     """(job_id, content) for each of (job_id, prompt): what the ledger has is read, the rest is asked for once and written to it first.
 
@@ -61,18 +71,27 @@ def _rejected(completions: DataFrame, allow_empty: bool = False) -> DataFrame:
     return completions.select("job_id", reply.cast("string").alias("rejected"))
 
 
-def sft_to_dpo(scanned: DataFrame, style: str, provider: Provider, done: DataFrame | None = None, ledger: str | None = None) -> DataFrame:
+def _asked(rows: DataFrame, prompt: Column, text: str | None) -> DataFrame:
+    """(job_id, prompt) by a template over the prompt and, where the records have them, the topics."""
+    topic = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    fields = {"Prompt": prompt, "MainTopic": topic("main_topic"), "SubTopic": topic("sub_topic")}
+    return rows.select("job_id", template.render(text or TEMPLATES["rejected"], fields).alias("prompt"))
+
+
+def sft_to_dpo(scanned: DataFrame, style: str, provider: Provider, done: DataFrame | None = None, ledger: str | None = None, text: str | None = None) -> DataFrame:
     """(line_no, prompt, chosen, rejected) from supervised records with ``line_no``; lines already ``done`` are left out.
 
-    A record without prompt or reply is an error that names its line.
+    ``text`` is the template by which rejected replies are asked for; it may name Prompt, MainTopic and SubTopic. A record without prompt or reply is
+    an error that names its line.
     """
     rows = records.prompt_and_chosen(scanned, style)
     what = F.when(F.col("prompt").isNull(), F.lit("prompt")).when(F.col("chosen").isNull(), F.lit("reply"))
     checked = F.when(what.isNotNull(), F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" has no "), what)).cast("string")).otherwise(F.col("prompt"))
-    jobs = rows.select(F.col("line_no").alias("job_id"), checked.alias("prompt"), "chosen")
+    topics = [c for c in ("main_topic", "sub_topic") if c in rows.columns]
+    jobs = rows.select(F.col("line_no").alias("job_id"), checked.alias("prompt"), "chosen", *topics)
     if done is not None:
         jobs = lists.pending(jobs, done)
-    replies = _rejected(replies_to(jobs, provider, "rejected", ledger))
+    replies = _rejected(replies_to(_asked(jobs, F.col("prompt"), text), provider, "rejected", ledger))
     return jobs.join(replies, "job_id").select(F.col("job_id").alias("line_no"), "prompt", "chosen", "rejected")
 
 
@@ -89,14 +108,28 @@ def regenerated(pairs: DataFrame, completions: DataFrame) -> tuple[DataFrame, Da
     return plain, both.select("job_id", "prompt", "chosen", combine_reasoning(kept, F.col("rejected")).alias("rejected"))
 
 
-def regen_rejected(scanned: DataFrame, provider: Provider, done: DataFrame | None = None, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """``regenerated`` with replies from a provider, for pairs with ``line_no`` that are not ``done``; a blank prompt is an error.
+def _pending(scanned: DataFrame, done: DataFrame | None) -> DataFrame:
+    jobs = scanned.select(F.col("line_no").alias("job_id"), "prompt", "chosen", "rejected")
+    return jobs if done is None else lists.pending(jobs, done)
+
 
-    Both frames come from the same written replies: each line is asked about once.
-    """
+def _with_prompt(prompt: Column) -> Column:
+    """The prompt; a blank one is an error that names its line."""
     blank = F.raise_error(F.concat(F.lit("line "), F.col("job_id").cast("string"), F.lit(" has no prompt"))).cast("string")
-    jobs = scanned.select(F.col("line_no").alias("job_id"), "prompt", "chosen", "rejected")
-    if done is not None:
-        jobs = lists.pending(jobs, done)
-    asked = jobs.select("job_id", F.when(is_blank(F.col("prompt")), blank).otherwise(utrim(F.col("prompt"))).alias("prompt"))
-    return regenerated(jobs, replies_to(asked, provider, "rejected", ledger))
+    return F.when(is_blank(prompt), blank).otherwise(prompt)
+
+
+def regen_rejected(scanned: DataFrame, provider: Provider, done: DataFrame | None = None, ledger: str | None = None, text: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``regenerated`` with replies from a provider, for pairs with reasoning and ``line_no`` that are not ``done``; a blank prompt is an error.
+
+    Both frames come from the same written replies: each line is asked about once, by the template ``text`` over its trimmed prompt.
+    """
+    jobs = _pending(scanned, done)
+    return regenerated(jobs, replies_to(_asked(jobs, utrim(_with_prompt(F.col("prompt"))), text), provider, "rejected", ledger))
+
+
+def regen_plain(scanned: DataFrame, provider: Provider, done: DataFrame | None = None, ledger: str | None = None, text: str | None = None) -> DataFrame:
+    """(job_id, prompt, chosen, rejected): pairs without reasoning with new rejected replies; prompt and chosen reply stay as they are, and so is the prompt asked."""
+    jobs = _pending(scanned, done)
+    replies = _rejected(replies_to(_asked(jobs, _with_prompt(F.col("prompt")), text), provider, "rejected", ledger))
+    return jobs.drop("rejected").join(replies, "job_id").select("job_id", "prompt", "chosen", "rejected")

@@ -16,6 +16,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import count
 from typing import Protocol
 
 import pyarrow as pa
@@ -103,6 +104,7 @@ def effective_rate(model_rpm: int, provider_rpm: int | None, percent: int) -> in
 
 def wait_before(attempt: int, base: float, cap: float, limited: bool, jitter: float | None = None) -> float:
     """Seconds before a repetition: powers of two, of three after a rate limit, at most the cap, give or take a tenth."""
+    attempt = min(attempt, 64)  # far beyond any cap
     wait = min((3.0**attempt if limited else 2.0 ** (attempt - 1)) * base, cap)
     return wait * (1 + 0.1 * (random.uniform(-1, 1) if jitter is None else jitter))
 
@@ -124,7 +126,8 @@ class Http:
 
     ``tasks`` of them run at once at most, as far as the cluster has room for them, and each has an equal share of the model's limit and of that
     of its provider, if there is one. A token is taken from both for each attempt. A task asks for ``rows`` replies at most: that many calls are
-    repeated if it is lost. A call, with all of its attempts, takes no longer than ``deadline``.
+    repeated if it is lost. A call, with all of its attempts, takes no longer than ``deadline``, or that of its stage in ``deadlines``; without a number of
+    ``attempts`` it is repeated until then. ``systems`` has system prompts by stage, before the one for all.
     """
 
     base_url: str
@@ -132,7 +135,7 @@ class Http:
     api_key: str = ""
     rpm: int = 60
     tasks: int = 4
-    attempts: int = 3
+    attempts: int | None = 3
     timeout: float = 120.0
     base_delay: float = 2.0
     max_delay: float = 120.0
@@ -147,25 +150,32 @@ class Http:
     rows: int = 64
     deadline: float = 900.0
     system: str = ""
+    systems: dict[str, str] = field(default_factory=dict)
+    deadlines: dict[str, float] = field(default_factory=dict)
+    top_p: float | None = None
+    json_mode: bool = False
 
     def body(self, prompt: str, stage: str) -> dict:
         warm = self.structure_temperature if stage in self.structured and self.structure_temperature > 0 else self.temperature
-        return {"model": self.model, "messages": [*([{"role": "system", "content": self.system}] if self.system else []), {"role": "user", "content": prompt}], "temperature": warm, "max_tokens": self.max_tokens, "stream": self.stream, **self.extra}
+        system = self.systems.get(stage) or self.system
+        messages = [*([{"role": "system", "content": system}] if system else []), {"role": "user", "content": prompt}]
+        options = {**({} if self.top_p is None else {"top_p": self.top_p}), **({"response_format": {"type": "json_object"}} if self.json_mode else {})}
+        return {"model": self.model, "messages": messages, "temperature": warm, "max_tokens": self.max_tokens, "stream": self.stream, **options, **self.extra}
 
     def call(self, prompt: str, stage: str, buckets: list[Bucket], sleep: Callable[[float], None] = time.sleep) -> Reply:
         """The outcome of one request, repeated as long as that may help and there is time."""
         request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(self.body(prompt, stage)).encode(), {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})})
-        began = time.monotonic()
-        for attempt in range(1, self.attempts + 1):
+        began, deadline = time.monotonic(), self.deadlines.get(stage, self.deadline)
+        for attempt in count(1):
             for bucket in buckets:
                 bucket.take()
-            left = self.deadline - (time.monotonic() - began)
+            left = deadline - (time.monotonic() - began)
             if left <= 0:
                 error = "no time left"
                 break
             try:
                 with urllib.request.urlopen(request, timeout=min(self.timeout, left)) as answer:
-                    content, reasoning, finish = read_stream(answer, began + self.deadline) if self.stream else read_reply(json.loads(answer.read()))
+                    content, reasoning, finish = read_stream(answer, began + deadline) if self.stream else read_reply(json.loads(answer.read()))
                     return Reply(content, reasoning, finish, None, time.monotonic() - began)
             except urllib.error.HTTPError as e:
                 error, again, limited = f"status {e.code}", e.code in RETRYABLE, e.code == 429
@@ -175,7 +185,7 @@ class Http:
                 error, again, limited = f"unreadable reply: {e}", False, False
             if not again or attempt == self.attempts:
                 break
-            sleep(min(wait_before(attempt, self.base_delay, self.max_delay, limited), max(0.0, self.deadline - (time.monotonic() - began))))
+            sleep(min(wait_before(attempt, self.base_delay, self.max_delay, limited), max(0.0, deadline - (time.monotonic() - began))))
         return Reply(None, None, None, error, time.monotonic() - began)
 
     def buckets(self, share: int) -> list[Bucket]:

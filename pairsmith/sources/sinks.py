@@ -36,7 +36,10 @@ class JsonLines:
     def __init__(self, path: str, resume: bool = False, omit_zero: tuple[str, ...] = (), overwrite: bool = False) -> None:
         self.path, self.resume, self.omit_zero, self.overwrite = path, resume, omit_zero, overwrite
 
-    def write(self, rows: DataFrame) -> None:
+    def write(self, rows: DataFrame, before: DataFrame | None = None) -> None:
+        """``before``: lines that go in as they are."""
         if self.resume:
             rows.sparkSession.read.text(self.path).limit(1).count()  # an error if there is nothing to resume
-        as_json(rows, self.omit_zero).write.mode("append" if self.resume else "overwrite" if self.overwrite else "error").text(self.path)
+        lines = as_json(rows, self.omit_zero)
+        lines = lines if before is None else before.select("value").union(lines)
+        lines.write.mode("append" if self.resume else "overwrite" if self.overwrite else "error").text(self.path)
