@@ -198,6 +198,21 @@ sanitize_json = _text_udf(sanitize)
 repair_json = _text_udf(repair)
 
 
+def open_brackets(opening: str, closing: str):
+    """A UDF that counts the brackets which stay open."""
+    return F.pandas_udf(lambda s: s.map(lambda t: unmatched(t, opening, closing), na_action="ignore").astype("Int64"), T.LongType(), F.PandasUDFType.SCALAR)
+
+
+def closing_bracket(opening: str, closing: str):
+    """A UDF that gives the place, from 0, of the bracket that closes the text's first one, -1 if none does or there is no such bracket."""
+
+    def place(text: str) -> int:
+        start = text.find(opening)
+        return matching(text, start, opening, closing) if start >= 0 else -1
+
+    return F.pandas_udf(lambda s: s.map(place, na_action="ignore").astype("Int64"), T.LongType(), F.PandasUDFType.SCALAR)
+
+
 json_array_size = F.pandas_udf(lambda s: s.map(array_length, na_action="ignore").astype("Int64"), T.LongType(), F.PandasUDFType.SCALAR)
 
 

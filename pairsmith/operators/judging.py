@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsmith.functions.jsonkit import judge_udf
+from pairsmith.functions.text import is_blank
 
 
 def mean_score(scores: Column) -> Column:
@@ -14,6 +15,12 @@ def mean_score(scores: Column) -> Column:
     return F.when(F.size(scores) == 0, F.lit(0.0)).when(scores.isNotNull(), total / F.size(scores))
 
 
+def sides(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Two rows of each pair, (keys, side, k, reply), as both sides are asked about in one pass; no shuffle. Blank replies are not asked about."""
+    both = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(k).alias("k"), F.col(s).alias("reply")) for k, s in enumerate(("chosen", "rejected"))))
+    return pairs.select(*keys, F.inline(both)).where(~is_blank(F.col("reply")))
+
+
 def judged(replies: DataFrame, prefer: str = "array") -> DataFrame:
     """(job_id, scores, totals and margin of both sides) from (job_id, side, response) rows; a reply that cannot be read gives nulls."""
     parsed = replies.select("job_id", "side", judge_udf(prefer)("response").alias("j")).select("job_id", "side", F.col("j.scores").alias("scores"))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairsmith.functions import jsonkit, naming, template, text
-from pairsmith.operators import chunks, gates, judging, lists, records, stats
+from pairsmith.operators import checks, chunks, gates, judging, limits, lists, records, stats
+from pairsmith.plans.defaults import CRITERIA
+from pairsmith.sources import checkpoints, hub, jsonl, sinks
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -516,3 +518,158 @@ def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS request_id, 'r' || doc_id::VARCHAR AS id, 'm' AS model, doc_id AS created, text AS content, '' AS reasoning_content, 'stop' AS finish_reason, true AS done_seen FROM documents")
 def sse_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.assemble(chunks.parse_events(_event_lines(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ limits and checks
+
+_LIMITS = "SELECT l_orderkey, l_linenumber, l_orderkey % 997 + 1 AS rpm, CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey % 503 + 1 END AS shared, l_suppkey % 50 + 1 AS percent, l_orderkey % 200 + 1 AS jobs FROM lineitem"
+
+
+@query(f"""WITH r AS (SELECT *, CASE WHEN shared IS NOT NULL THEN greatest(3, shared * (percent + 100) // 100) ELSE greatest(5, rpm // 5) END AS effective FROM ({_LIMITS}))
+           SELECT l_orderkey, l_linenumber, coalesce(shared, rpm)::DOUBLE / 60 AS rate,
+                  CASE WHEN shared IS NOT NULL THEN greatest(3, shared * percent // 100) ELSE greatest(5, rpm // 5) END::BIGINT AS burst,
+                  effective::BIGINT AS effective, greatest(least(jobs, effective, 64), 1)::BIGINT AS workers FROM r""")
+def rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
+    rows = spark.sql(_LIMITS.replace("FROM lineitem", "FROM _lineitem"))
+    rows = rows.withColumns({"b": limits.in_force(F.col("rpm"), F.col("shared"), F.col("percent")), "effective": limits.effective_rate(F.col("rpm"), F.col("shared"), F.col("percent"))})
+    return rows.select("l_orderkey", "l_linenumber", "b.rate", "b.burst", "effective", limits.workers(F.col("jobs"), F.col("effective"), F.lit(64)).alias("workers"))
+
+
+_NAMES = "CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN '../' WHEN 2 THEN 'x' WHEN 3 THEN '/etc' ELSE '' END"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 7 IN (1, 2, 3) OR event_id % 11 = 0 THEN false ELSE true END AS ok FROM events""")
+def session_name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    wrong = F.expr(_NAMES)
+    name = F.when(F.col("event_id") % 7 == 1, F.concat(wrong, naming.session_name(F.col("ts")))).otherwise(F.concat(naming.session_name(F.col("ts")), wrong))
+    return events.select("event_id", checks.session_name_ok(F.when(F.col("event_id") % 11 != 0, name)).alias("ok"))
+
+
+_RUNS = """SELECT doc_id, CASE WHEN doc_id % 23 = 0 THEN '  ' WHEN doc_id % 29 = 0 THEN repeat(text, 2) ELSE lang END AS main_topic, doc_id % 101 AS num_subtopics, doc_id % 97 * 200 AS num_prompts_per_subtopic,
+    n_chars % 1100 AS concurrency, (doc_id % 13) / 10.0 AS over_generation_buffer, (doc_id % 11) / 10.0 AS min_success_rate, doc_id % 7 AS prompt_retry_attempts,
+    CASE doc_id % 5 WHEN 0 THEN 'sft' WHEN 1 THEN 'dpo' WHEN 2 THEN 'kto' WHEN 3 THEN 'mo-dpo' WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'rlhf' ELSE 'dpo' END END AS dataset_mode,
+    CASE WHEN doc_id % 19 = 0 THEN NULL ELSE 'alpaca' END AS sft_format FROM documents"""
+
+
+@query(f"""SELECT doc_id, CASE WHEN {_trim('main_topic')} = '' OR octet_length(encode(main_topic)) > 500 OR regexp_matches(main_topic, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x{{9f}}]') THEN 'main_topic'
+           WHEN num_subtopics NOT BETWEEN 1 AND 10000 THEN 'num_subtopics' WHEN num_prompts_per_subtopic NOT BETWEEN 1 AND 10000 THEN 'num_prompts_per_subtopic'
+           WHEN concurrency NOT BETWEEN 1 AND 1024 THEN 'concurrency' WHEN over_generation_buffer NOT BETWEEN 0 AND 1 THEN 'over_generation_buffer'
+           WHEN min_success_rate NOT BETWEEN 0 AND 1 THEN 'min_success_rate' WHEN prompt_retry_attempts NOT BETWEEN 0 AND 5 THEN 'prompt_retry_attempts'
+           WHEN dataset_mode NOT IN ('sft', 'dpo', 'kto', 'mo-dpo') THEN 'dataset_mode' WHEN coalesce(sft_format, '') NOT IN ('alpaca', 'sharegpt') THEN 'sft_format' END AS problem FROM ({_RUNS})""")
+def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_runs")
+    return checks.checked(spark.sql(_RUNS.replace("FROM documents", "FROM _runs")), checks.run_problem()).select("doc_id", "problem")
+
+
+_MODELS = """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ftp://h.com/v1' WHEN 1 THEN 'http:///v1' WHEN 2 THEN 'HTTPS://u:p@h.com:8080/v1' WHEN 3 THEN 'https://h.com/' || page_id ELSE url END AS base_url,
+    CASE WHEN page_id % 31 = 0 THEN '' WHEN page_id % 37 = 0 THEN repeat('m', 101) ELSE 'model' END AS model_name, (page_id % 23) / 10.0 AS temperature, (page_id % 3) / 1.0 AS structure_temperature,
+    (page_id % 12) / 10.0 AS top_p, page_id % 41 * 100 AS max_output_tokens, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 3500 END AS context_size, page_id % 43 AS rate_limit_per_minute FROM pages"""
+
+
+@query(f"""SELECT page_id, CASE WHEN NOT regexp_matches(base_url, '^(?i:https?)://([^/?#@]*@)?[^/?#:@]+') THEN 'base_url' WHEN model_name = '' OR length(model_name) > 100 THEN 'model_name'
+           WHEN temperature > 2 THEN 'temperature' WHEN top_p > 1 THEN 'top_p' WHEN max_output_tokens < 1 THEN 'max_output_tokens'
+           WHEN context_size > 0 AND max_output_tokens > context_size THEN 'max_output_tokens is beyond the context' WHEN rate_limit_per_minute < 1 THEN 'rate_limit_per_minute' END AS problem FROM ({_MODELS})""")
+def model_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages").createOrReplaceTempView("_models")
+    return checks.checked(spark.sql(_MODELS.replace("FROM pages", "FROM _models")), checks.model_problem()).select("page_id", "problem")
+
+
+# ------------------------------------------------------------------ JSON kernel and judges' replies, one by one
+
+_DEEP = "concat(repeat('{\"a\": ', event_id % 4 + 1), '\"x } ', event_type, '\"', repeat('}', event_id % 3), repeat(' ', event_id % 2))"
+
+
+@query("""SELECT event_id, greatest(event_id % 4 + 1 - event_id % 3, 0)::BIGINT AS still_open,
+          CASE WHEN event_id % 3 = event_id % 4 + 1 THEN (event_id % 4 + 1) * 6 + length(event_type) + 6 + event_id % 3 - 1
+               WHEN event_id % 3 > event_id % 4 + 1 THEN (event_id % 4 + 1) * 6 + length(event_type) + 6 + event_id % 4 ELSE -1 END::BIGINT AS closed_at FROM events""")
+def json_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_DEEP).alias("t"))
+    return rows.select("event_id", jsonkit.open_brackets("{", "}")("t").alias("still_open"), jsonkit.closing_bracket("{", "}")("t").alias("closed_at"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '["' || source || '", "a]b"]' WHEN 1 THEN '["' || source || '"]' WHEN 2 THEN '{"s": "' || source || '"}' WHEN 3 THEN '["' || source || '", "' || lang || '"]' ELSE source END AS found,
+          CASE doc_id % 2 WHEN 0 THEN '{"k": "' || source || '\\n' || lang || '"}' ELSE '{"k": "' || source || '"}' END AS clean FROM documents""")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, q = F.col("source"), F.lit('"')
+    reply = (
+        F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit('Here: ["'), s, F.lit('", "a]b"] and more ] text')))
+        .when(F.col("doc_id") % 5 == 1, F.concat(F.lit('```json\n["'), s, F.lit('"]\n```\n["no"]')))
+        .when(F.col("doc_id") % 5 == 2, F.concat(F.lit('{"s": "'), s, F.lit('"} ok')))
+        .when(F.col("doc_id") % 5 == 3, F.concat(F.lit('list: ["'), s, F.lit('", "'), F.col("lang"), q, F.lit(", ")))
+        .otherwise(F.concat(F.lit("  "), s, F.lit("\n")))
+    )
+    raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"k": "'), s, F.lit("\r\n"), F.col("lang"), F.lit('"}'))).otherwise(F.concat(F.lit("{\"k\": '"), s, F.lit("'}")))
+    return table(spark, sf_dir, "documents").select("doc_id", jsonkit.extract_json(reply).alias("found"), jsonkit.sanitize_json(raw).alias("clean"))
+
+
+@query("""SELECT d.doc_id AS job_id, 'chosen' AS side, CASE d.doc_id % 9 WHEN 3 THEN 2 WHEN 5 THEN 2 WHEN 4 THEN NULL ELSE 1 END::INTEGER AS strategy,
+                 CASE WHEN d.doc_id % 9 <> 4 THEN 2 END::INTEGER AS criteria, CASE WHEN d.doc_id % 9 <> 4 THEN d.doc_id % 5 + 1 END::INTEGER AS plot FROM documents d JOIN labels l USING (doc_id)
+          UNION ALL SELECT d.doc_id, 'rejected', CASE WHEN l.quality IS NOT NULL THEN 1 END::INTEGER, CASE WHEN l.quality IS NOT NULL THEN 1 END::INTEGER, (l.quality + 1)::INTEGER FROM documents d JOIN labels l USING (doc_id)""")
+def judge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _replies(spark, sf_dir).select("job_id", "side", jsonkit.judge_udf("array")("response").alias("j"))
+    return parsed.select("job_id", "side", F.col("j.strategy").cast("int").alias("strategy"), F.when(F.col("j").isNotNull(), F.size("j.scores")).alias("criteria"), F.col("j.scores")["plot"]["score"].alias("plot"))
+
+
+_RUBRIC = "Rate by {{.Criteria}}.\nTask: {{.Prompt}}\n{{if .StoryText}}Reply: {{.StoryText}}{{else}}No reply.{{end}}"
+
+
+@query(f"""WITH s AS (SELECT conv_id, prompt, 'chosen' AS side, chosen AS reply FROM ({_GATED_SQL}) UNION ALL SELECT conv_id, prompt, 'rejected', rejected FROM ({_GATED_SQL}))
+           SELECT conv_id, side, 'Rate by {", ".join(CRITERIA)}.' || chr(10) || 'Task: ' || prompt || chr(10) || 'Reply: ' || reply AS prompt FROM s""")
+def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judging.sides(_gated_pairs(spark, sf_dir), ("conv_id", "prompt"))
+    return rows.select("conv_id", "side", template.render(_RUBRIC, {"Criteria": F.lit(", ".join(CRITERIA)), "Prompt": F.col("prompt"), "StoryText": F.col("reply")}).alias("prompt"))
+
+
+# ------------------------------------------------------------------ files: lines, commits, checkpoints
+
+
+@query("SELECT doc_id AS line_no, lang AS prompt, text AS chosen, source AS rejected FROM documents WHERE doc_id % 6 NOT IN (1, 2, 3)")
+def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as lines of a file, some blank, some cut off or no object, read again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("prompt"), F.col("text").alias("chosen"), F.col("source").alias("rejected"))
+    whole = sinks.json_of([F.col(c).alias(c) for c in ("prompt", "chosen", "rejected")])
+    line = F.when(F.col("doc_id") % 6 == 1, F.lit(" \t")).when(F.col("doc_id") % 6 == 2, F.substring(whole, 1, 12)).when(F.col("doc_id") % 6 == 3, F.lit("[1]")).when(F.col("doc_id") % 6 == 4, F.concat(F.lit("  "), whole, F.lit(" "))).otherwise(whole)
+    return jsonl.parse_lines(docs.select(F.col("doc_id").alias("line_no"), line.alias("line")), records.DPO_SCHEMA, strict=False)
+
+
+@query("""SELECT doc_id, octet_length(encode(text))::BIGINT AS size, sha256(text) AS oid, octet_length(encode(text)) >= 4096 AS lfs, base64(encode(text)[1:200]) AS sample FROM documents""")
+def commit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", hub.plan_of(F.encode("text", "UTF-8"), 4096).alias("p")).select("doc_id", "p.*")
+
+
+def _checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A checkpoint file for each customer: its orders are the jobs, those with an R line are done."""
+    orders = table(spark, sf_dir, "orders")
+    done = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("done", F.lit(True))
+    job = F.struct(F.col("o_orderkey").alias("ID"), F.col("o_orderpriority").alias("MainTopic"), F.col("o_orderstatus").alias("SubTopic"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("Prompt"))
+    each = orders.join(done, "o_orderkey", "left").groupBy("o_custkey").agg(F.collect_list(job).alias("prompts"), F.collect_list(F.when(F.col("done"), F.col("o_orderkey").cast("string"))).alias("ids"))
+    ids = F.map_from_entries(F.transform("ids", lambda i: F.struct(i, F.lit(True))))
+    phase = F.when(F.col("o_custkey") % 5 == 0, F.lit("prompts")).otherwise(F.lit("pairs"))
+    body = F.struct(phase.alias("current_phase"), F.array(F.lit("a"), F.lit("b")).alias("subtopics"), (F.col("o_custkey") % 5 != 0).alias("prompts_complete"), F.col("prompts"), ids.alias("completed_job_ids"), F.lit("unread").alias("other"))
+    value = F.when(F.col("o_custkey") % 17 == 0, F.lit("{cut")).otherwise(F.to_json(body))
+    return checkpoints.parse_checkpoints(each.select(F.concat(F.lit("session_"), F.col("o_custkey").cast("string")).alias("session"), value.alias("value")))
+
+
+_DONE_SQL = "SELECT o.*, EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') AS done FROM orders o WHERE o_custkey % 17 <> 0"
+
+
+@query(f"""SELECT 'session_' || o_custkey::VARCHAR AS session, CASE WHEN o_custkey % 5 = 0 THEN 'prompts' ELSE 'pairs' END AS phase, 2::BIGINT AS subtopics, count(*) FILTER (done) AS completed, count(*) AS total,
+           round(count(*) FILTER (done) * 100.0 / count(*), 6) AS percent FROM ({_DONE_SQL}) GROUP BY o_custkey""")
+def checkpoint_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoints.progress_of(_checkpoints(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@query(f"""SELECT 'session_' || o_custkey::VARCHAR AS session, o_orderkey AS job_id, o_orderpriority AS main_topic, o_orderstatus AS sub_topic, 'p' || o_orderkey::VARCHAR AS prompt FROM ({_DONE_SQL}) WHERE NOT done AND o_custkey % 5 <> 0""")
+def checkpoint_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoints.pending_of(_checkpoints(spark, sf_dir))
+
+
+@query("""WITH j AS (SELECT doc_id AS job_id, lang || ' ' || source AS prompt, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS k FROM documents),
+          n AS (SELECT lang || ' ' || source AS prompt, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) SELECT job_id FROM j JOIN n USING (prompt) WHERE k <= n""")
+def written_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that a dataset has records for, some of which have the same prompt."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("prompt"))
+    there = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy("prompt").agg(F.count("*").alias("n"))
+    return checkpoints.written_jobs(docs.withColumnRenamed("doc_id", "job_id"), there)

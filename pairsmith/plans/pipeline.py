@@ -188,8 +188,7 @@ class Pipeline:
 
     def judge(self, pairs: DataFrame, stage: str, criteria: tuple[str, ...]) -> DataFrame:
         """Judged pairs by job: both sides of all pairs are asked for in one pass."""
-        sides = F.array(*(F.struct(F.lit(s).alias("side"), F.lit(k).alias("k"), F.col(s).alias("reply")) for k, s in enumerate(("chosen", "rejected"))))
-        rows = pairs.select("job_id", "prompt", F.inline(sides)).where(~is_blank(F.col("reply"))).withColumn("ask_id", F.col("job_id") * 2 + F.col("k"))
+        rows = judging.sides(pairs, ("job_id", "prompt")).withColumn("ask_id", F.col("job_id") * 2 + F.col("k"))
         replies = self._ask("judge", stage, rows, {"Prompt": F.col("prompt"), "StoryText": F.col("reply"), "Reply": F.col("reply"), "Criteria": F.lit(", ".join(criteria))}, "ask_id").where("error is null")
         answered = self._stage(f"{stage}_replies", replies.select(F.expr("job_id div 2").alias("job_id"), F.when(F.col("job_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), F.col("content").alias("response")))
         return judging.judged(answered, prefer="object")

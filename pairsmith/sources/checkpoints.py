@@ -35,7 +35,12 @@ def scan_checkpoints(spark: SparkSession, path: str, strict: bool = False) -> Da
     A file that is no checkpoint is skipped, or an error if ``strict``; what is missing in one that is, is null.
     """
     session = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    files = spark.read.text(path, wholetext=True).select(session.alias("session"), F.from_json("value", SCHEMA).alias("c"))
+    return parse_checkpoints(spark.read.text(path, wholetext=True).select(session.alias("session"), "value"), strict)
+
+
+def parse_checkpoints(files: DataFrame, strict: bool = False) -> DataFrame:
+    """The same from (session, value) rows, the value being a file's content."""
+    files = files.select("session", F.from_json("value", SCHEMA).alias("c"))
     bad = F.col("c").isNull() | F.col("c.current_phase").isNull()
     if strict:
         told = F.raise_error(F.concat(F.lit("no readable checkpoint: "), F.col("session"))).cast("string")

@@ -13,6 +13,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 LFS_FROM = 10 << 20
 SAMPLE = 200
 # Which files the hub keeps as large ones.
@@ -53,6 +56,18 @@ def operation(path: str | Path, name: str, limit: int = LFS_FROM) -> Operation:
     return Operation(name, size, digest.hexdigest(), inline, base64.b64encode(head).decode())
 
 
+def plan_of(content: Column, limit: int = LFS_FROM) -> Column:
+    """struct(size, oid, lfs, sample) of a file's bytes: what a commit needs to know of it before anything is sent."""
+    size = F.octet_length(content).cast("long")
+    plain = lambda c: F.translate(F.base64(c), "\r\n", "")
+    return F.struct(size.alias("size"), F.sha2(content, 256).alias("oid"), (size >= limit).alias("lfs"), plain(F.substring(content, 1, SAMPLE)).alias("sample"))
+
+
+def planned(spark: SparkSession, path: str, limit: int = LFS_FROM) -> DataFrame:
+    """(path, size, oid, lfs, sample) of the files at ``path``, read by the tasks: for datasets of many parts, each of which fits one."""
+    return spark.read.format("binaryFile").load(path).select("path", plan_of(F.col("content"), limit).alias("p")).select("path", "p.*")
+
+
 def attributes() -> Operation:
     raw = GITATTRIBUTES.encode()
     return Operation(".gitattributes", len(raw), hashlib.sha256(raw).hexdigest(), base64.b64encode(raw).decode(), base64.b64encode(raw[:SAMPLE]).decode())

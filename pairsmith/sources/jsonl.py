@@ -36,7 +36,12 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def scan(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Records with ``line_no``; blank lines are skipped. A line that is no JSON object is an error with its number, or skipped if not ``strict``."""
-    lines = numbered_lines(spark, path).where(~is_blank(F.col("line")))
+    return parse_lines(numbered_lines(spark, path), schema, strict)
+
+
+def parse_lines(lines: DataFrame, schema: str, strict: bool = True) -> DataFrame:
+    """The same from (line_no, line) rows."""
+    lines = lines.where(~is_blank(F.col("line")))
     long = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(f" has more than {LONGEST_LINE} bytes"))).cast("string")
     lines = lines.withColumn("line", F.when(F.octet_length("line") > LONGEST_LINE, long).otherwise(F.col("line")))
     parsed = lines.select("line_no", F.from_json(utrim(F.col("line")), f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}).alias("r"))

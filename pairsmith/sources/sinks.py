@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,12 @@ def as_json(rows: DataFrame, omit_zero: tuple[str, ...] = ()) -> DataFrame:
             empty = F.size(c) == 0 if isinstance(f.dataType, T.MapType | T.ArrayType) else c == F.lit(0).cast(f.dataType) if isinstance(f.dataType, T.NumericType) else c == ""
             c = F.when(~empty, c)
         columns.append(c.alias(f.name))
-    return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "true"}).alias("value"))
+    return rows.select(json_of(columns).alias("value"))
+
+
+def json_of(columns: list[Column]) -> Column:
+    """A row's columns as JSON, without the null ones."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
 
 
 class JsonLines:
