@@ -1,4 +1,4 @@
-"""Command line: run, checkpoint list | inspect | resume | adopt, transform, upload, report sessions | reliability | benchmark."""
+"""Command line: run, checkpoint list | inspect | resume | adopt, transform, upload, benchmark, report sessions | reliability | providers | samples | benchmark."""
 
 from __future__ import annotations
 
@@ -7,13 +7,13 @@ import json
 import logging
 import os
 import sys
+import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.operators import stats
-from pairsmith.plans import transforms
+from pairsmith.plans import reports, transforms
 from pairsmith.plans.pipeline import Pipeline
 from pairsmith.functions.naming import PROVIDERS
 from pairsmith.sources import config as cfg
@@ -59,6 +59,12 @@ def _common(command: argparse.ArgumentParser, output: bool = True) -> None:
         command.add_argument("--output", default="output")
 
 
+def _kept(command: argparse.ArgumentParser) -> None:
+    command.add_argument("--csv", help="write the report as CSV to this folder")
+    command.add_argument("--json", help="write the report to this file")
+    command.add_argument("--markdown", help="write the report as a table to this file")
+
+
 def _publishing(command: argparse.ArgumentParser) -> None:
     command.add_argument("--upload-to-hf", action="store_true", help="publish the dataset when it is made")
     command.add_argument("--hf-repo-id", "--upload", metavar="REPOSITORY", help="where to, else the configuration's")
@@ -125,11 +131,16 @@ def parser() -> argparse.ArgumentParser:
     upload.add_argument("--env-file", "--env", default=".env")
     upload.add_argument("--dry-run", action="store_true", help="print what would be sent")
     report = commands.add_parser("report")
-    report.add_argument("kind", nargs="?", choices=("sessions", "reliability", "benchmark"), default="sessions")
+    report.add_argument("kind", nargs="?", choices=reports.KINDS, default="sessions")
     report.add_argument("--output", default="output")
     report.add_argument("--least", type=int, default=1, help="leave out sessions with fewer jobs")
     report.add_argument("--last", type=int, default=20)
-    report.add_argument("--csv", help="write the report as CSV to this folder")
+    _kept(report)
+    bench = commands.add_parser("benchmark", help="run a configuration with several numbers of workers and compare them")
+    bench.add_argument("--workers", default="8,16,24", help="numbers, with commas between them")
+    bench.add_argument("--tables")
+    _common(bench)
+    _kept(bench)
     return top
 
 
@@ -172,20 +183,36 @@ def publish(folder: Path, repository: str, secrets: cfg.Secrets, dry: bool = Fal
     return {**{k: v for k, v in sent.items() if k != "commit"}, "sent": bool(token) and not dry}
 
 
-def report_of(spark: SparkSession, kind: str, output: str, least: int, last: int) -> DataFrame:
-    """Sessions by their logs, replies by completeness, or times and throughput: one row for each session."""
-    log = jsonl.scan_log(spark, f"{output}/*/session_jobs")
-    named = log.withColumn("session", F.regexp_extract(F.col("path"), r"(session_[^/]+)/[^/]+/[^/]*$", 1))
-    chosen = stats.latest_sessions(named, least, last)
-    if kind == "sessions":
-        return chosen
-    if kind == "benchmark":
-        runs = jsonl.scan_log(spark, f"{output}/*/session.log").where("msg = 'session complete'").groupBy("session").agg(F.max(F.col("duration") / 1e9).alias("duration_s"))
-        return stats.bench_metrics(named.join(runs, "session").join(chosen.select("session"), "session"), ["session"]).orderBy("session")
-    records = spark.read.json(f"{output}/*/dataset.jsonl", schema="prompt string, chosen string, completion string, output string")
-    session = F.regexp_extract(F.col("_metadata.file_path"), r"(session_[^/]+)/[^/]+/[^/]*$", 1)
-    texts = records.select(session.alias("session"), F.coalesce("chosen", "completion", "output").alias("text"))
-    return stats.reliability(texts.join(chosen.select("session"), "session"), named, ["session"]).orderBy("session")
+def benchmark(a: argparse.Namespace, secrets: cfg.Secrets) -> None:
+    """A session for each number of workers, and a report on them; the best comes last."""
+    config, spark = configured(a), spark_session()
+    started: dict[str, int] = {}
+
+    def run(one: cfg.Config) -> dict:
+        session = new_session(a.output, a.tables)
+        session.keep_config(a.config)
+        started[session.name] = one.generation.concurrency
+        generate(one, session, secrets)
+        times = reports.benchmark(spark, a.output, spark.createDataFrame([(session.name,)], "session string")).drop("workers").first()
+        return times.asDict() if times else {"session": session.name, "throughput": 0.0}
+
+    results = reports.sweep(config, [int(w) for w in a.workers.split(",")], run)
+    fields = ("workers", "session", "jobs", "duration_s", "throughput", "total_ms", "wait_ms", "blocking", "error")
+    kinds = ("long", "string", "long", "double", "double", "double", "double", "double", "string")
+    table = spark.createDataFrame([tuple(r.get(f) for f in fields) for r in results], ", ".join(f"{f} {k}" for f, k in zip(fields, kinds, strict=True)))
+    rows = reports.save(table, a.csv, a.json, a.markdown)
+    print(reports.markdown(list(fields), rows), end="")
+    if best := reports.best_of(results):
+        print(f"best: {best['workers']} workers, {best['throughput']:.2f} jobs a minute")
+
+
+def new_session(output: str, tables: str | None) -> Session:
+    """A session of its own: names are by the second."""
+    while True:
+        try:
+            return Session(output, tables=tables)
+        except FileExistsError:
+            time.sleep(0.2)
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -219,11 +246,11 @@ def main(arguments: list[str] | None = None) -> int:
         print(json.dumps(publish(check_name(a.session, Path(a.output)), a.repository, secrets, a.dry_run)))
     elif a.command == "transform":
         transform(a, secrets)
+    elif a.command == "benchmark":
+        benchmark(a, secrets)
     else:
-        out = report_of(spark_session(), a.kind, a.output, a.least, a.last)
-        if a.csv:
-            out.coalesce(1).write.mode("overwrite").option("header", True).csv(a.csv)
-        out.show(a.last, truncate=False)
+        out = reports.report(spark_session(), a.kind, a.output, a.least, a.last)
+        print(reports.markdown(out.columns, reports.save(out, a.csv, a.json, a.markdown)), end="")
     return 0
 
 

@@ -23,12 +23,12 @@ from pairsmith.plans.defaults import CRITERIA, FILTER_CRITERIA, TEMPLATES
 from pairsmith.plans.transforms import ledger_of
 from pairsmith.sources.checkpoints import ADOPTED, adopted_lines
 from pairsmith.sources.config import Config
-from pairsmith.sources.providers import Provider, prompt_key
+from pairsmith.sources.providers import Provider, prompt_key, replies
 from pairsmith.sources.sessions import MANIFEST, Manifest, Session, config_hash
 from pairsmith.sources.sinks import JsonLines
 from pairsmith.sources.staging import is_written, written
 
-PAIR_COLUMNS = ("job_id", "main_topic", "sub_topic", "prompt", "chosen", "chosen_reasoning", "rejected", "rejected_reasoning", "finish_reason", "failure_reason", "chosen_ns", "rejected_ns", "attempt")
+PAIR_COLUMNS = ("job_id", "main_topic", "sub_topic", "prompt", "chosen", "chosen_reasoning", "rejected", "rejected_reasoning", "finish_reason", "failure_reason", "chosen_ns", "rejected_ns", "chosen_wait_ns", "rejected_wait_ns", "attempt")
 #: Replies are written in slices of about this many calls.
 SLICE = 10_000
 #: Failure reasons of rows whose calls failed.
@@ -72,11 +72,11 @@ class Pipeline:
         slices = -(-todo.count() // SLICE)
         for number in range(slices):
             part = todo.where(F.pmod(F.xxhash64("job_id"), F.lit(slices)) == number)
-            replies = self.providers[provider].complete(part.select("job_id", "prompt"), stage)
-            replies.join(part.select("job_id", "key"), "job_id").write.mode("append").parquet(path)
+            given = replies(self.providers[provider], part.select("job_id", "prompt"), stage)
+            given.join(part.select("job_id", "key"), "job_id").write.mode("append").parquet(path)
         found = keyed.join(ledger_of(self.spark, path), ["job_id", "key"])
         good = F.when(F.col("error").isNull(), 1).otherwise(0)
-        return found.groupBy("job_id").agg(F.max_by(F.struct("content", "reasoning_content", "finish_reason", "error", "duration_ns"), good).alias("r")).select("job_id", "r.*")
+        return found.groupBy("job_id").agg(F.max_by(F.struct("content", "reasoning_content", "finish_reason", "error", "duration_ns", "wait_ns"), good).alias("r")).select("job_id", "r.*")
 
     def _stage(self, name: str, rows: DataFrame) -> DataFrame:
         rows.write.mode("overwrite").parquet(self.session.path(name))
@@ -91,8 +91,8 @@ class Pipeline:
         g = self.config.generation
         size = g.subtopic_chunk_size or count
         asked = lists.chunks(self.spark, count, size)
-        replies = self._ask("main", "subtopics", asked, {"MainTopic": F.lit(g.main_topic), "NumSubtopics": F.col("n"), "Count": F.col("n"), "IsRetry": F.lit(bool(exclude)), "ExcludeSubtopics": F.lit(exclude), "Exclude": F.lit(exclude)}, "chunk_no", f"subtopics_{part}")
-        items = replies.select("job_id", F.posexplode(strings_of(1)("content")).alias("at", "item"))
+        answers = self._ask("main", "subtopics", asked, {"MainTopic": F.lit(g.main_topic), "NumSubtopics": F.col("n"), "Count": F.col("n"), "IsRetry": F.lit(bool(exclude)), "ExcludeSubtopics": F.lit(exclude), "Exclude": F.lit(exclude)}, "chunk_no", f"subtopics_{part}")
+        items = answers.select("job_id", F.posexplode(strings_of(1)("content")).alias("at", "item"))
         return self._stage(f"subtopics_{part}", items.select("item", (F.col("job_id") * 1_000_000 + F.col("at")).alias("pos")))
 
     def subtopics(self) -> DataFrame:
@@ -127,8 +127,8 @@ class Pipeline:
         fields = {"MainTopic": F.lit(g.main_topic), "SubTopic": F.col("sub_topic"), "NumPrompts": F.lit(g.num_prompts_per_subtopic), "Count": F.lit(g.num_prompts_per_subtopic)}
 
         def attempt(rows: DataFrame, number: int) -> DataFrame:
-            replies = self._ask("main", "prompts", rows, fields, "sub_idx", f"prompts_{number}")
-            return self._stage(f"prompts_{number}", replies.select(F.col("job_id").alias("sub_idx"), strings_of(1)("content").alias("prompts")))
+            answers = self._ask("main", "prompts", rows, fields, "sub_idx", f"prompts_{number}")
+            return self._stage(f"prompts_{number}", answers.select(F.col("job_id").alias("sub_idx"), strings_of(1)("content").alias("prompts")))
 
         results = subtopics.join(attempt(subtopics, 0), "sub_idx", "left")
         for number in range(1, g.prompt_retry_attempts + 1):
@@ -173,14 +173,14 @@ class Pipeline:
         fields = {k: F.col(c) for k, c in (("Prompt", "prompt"), ("MainTopic", "main_topic"), ("SubTopic", "sub_topic"))}
         failed = lambda error: F.concat(F.lit(f"{CALL_FAILED}: "), error)
         chosen = self._ask("main", "chosen", todo, fields, ledger=f"chosen_{attempt}")
-        gated = gates.gate(todo.join(chosen, "job_id", "left")).withColumn("failure_reason", F.coalesce(failed(F.col("error")), "failure_reason")).withColumnRenamed("duration_ns", "chosen_ns").drop("error")
+        gated = gates.gate(todo.join(chosen, "job_id", "left")).withColumn("failure_reason", F.coalesce(failed(F.col("error")), "failure_reason")).withColumnsRenamed({"duration_ns": "chosen_ns", "wait_ns": "chosen_wait_ns"}).drop("error")
         gated = self._stage("gated", gated)
         if self.config.generation.dataset_mode == "sft":
-            rejected = chosen.select("job_id", *(F.lit(None).cast(t).alias(c) for c, t in (("rejected", "string"), ("rejected_reasoning", "string"), ("_error", "string"), ("rejected_ns", "long")))).limit(0)
+            rejected = chosen.select("job_id", *(F.lit(None).cast(t).alias(c) for c, t in (("rejected", "string"), ("rejected_reasoning", "string"), ("_error", "string"), ("rejected_ns", "long"), ("rejected_wait_ns", "long")))).limit(0)
         else:
-            replies = self._ask("rejected", "rejected", gated.where("failure_reason is null").select(*todo.columns), fields, ledger=f"rejected_{attempt}")
+            answers = self._ask("rejected", "rejected", gated.where("failure_reason is null").select(*todo.columns), fields, ledger=f"rejected_{attempt}")
             reasoning = F.col("reasoning_content") if self.config.generation.reasoning_capture_rejected else F.lit(None).cast("string")
-            rejected = replies.select("job_id", F.col("content").alias("rejected"), reasoning.alias("rejected_reasoning"), F.col("error").alias("_error"), F.col("duration_ns").alias("rejected_ns"))
+            rejected = answers.select("job_id", F.col("content").alias("rejected"), reasoning.alias("rejected_reasoning"), F.col("error").alias("_error"), F.col("duration_ns").alias("rejected_ns"), F.col("wait_ns").alias("rejected_wait_ns"))
         out = gated.join(rejected, "job_id", "left").withColumnsRenamed({"content": "chosen", "reasoning_content": "chosen_reasoning"})
         out = out.withColumn("failure_reason", F.coalesce("failure_reason", failed(F.col("_error")))).withColumn("attempt", F.lit(attempt))
         out.select(*PAIR_COLUMNS).write.mode("append").parquet(self.session.path("pairs"))
@@ -189,8 +189,8 @@ class Pipeline:
     def judge(self, pairs: DataFrame, stage: str, criteria: tuple[str, ...]) -> DataFrame:
         """Judged pairs by job: both sides of all pairs are asked for in one pass."""
         rows = judging.sides(pairs, ("job_id", "prompt")).withColumn("ask_id", F.col("job_id") * 2 + F.col("k"))
-        replies = self._ask("judge", stage, rows, {"Prompt": F.col("prompt"), "StoryText": F.col("reply"), "Reply": F.col("reply"), "Criteria": F.lit(", ".join(criteria))}, "ask_id").where("error is null")
-        answered = self._stage(f"{stage}_replies", replies.select(F.expr("job_id div 2").alias("job_id"), F.when(F.col("job_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), F.col("content").alias("response")))
+        answers = self._ask("judge", stage, rows, {"Prompt": F.col("prompt"), "StoryText": F.col("reply"), "Reply": F.col("reply"), "Criteria": F.lit(", ".join(criteria))}, "ask_id").where("error is null")
+        answered = self._stage(f"{stage}_replies", answers.select(F.expr("job_id div 2").alias("job_id"), F.when(F.col("job_id") % 2 == 0, "chosen").otherwise("rejected").alias("side"), F.col("content").alias("response")))
         return judging.judged(answered, prefer="object")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ class Pipeline:
         caught = F.create_map(*(F.lit(x) for pair in ((gates.INCOMPLETE, "incomplete output"), (gates.REFUSED, "refusal"), (gates.UNEXPECTED, "bad finish_reason"), (gates.EXHAUSTED, "bad finish_reason: nothing but reasoning")) for x in pair))
         good = F.col("failure_reason").isNull()
         msg = F.when(good, F.lit("job done")).otherwise(F.coalesce(F.try_element_at(caught, F.col("failure_reason")), F.col("failure_reason")))
-        lines = everything.select(F.when(good, "INFO").otherwise("WARN").alias("level"), msg.alias("msg"), "job_id", ms("chosen_ns").alias("chosen_ms"), ms("rejected_ns").alias("rejected_ms"), (ms("chosen_ns") + ms("rejected_ns")).alias("total_ms"))
+        lines = everything.select(F.when(good, "INFO").otherwise("WARN").alias("level"), msg.alias("msg"), "job_id", ms("chosen_ns").alias("chosen_ms"), ms("rejected_ns").alias("rejected_ms"), (ms("chosen_ns") + ms("rejected_ns")).alias("total_ms"), (ms("chosen_wait_ns") + ms("rejected_wait_ns")).alias("rate_limit_wait_ms"))
         JsonLines(self.session.path("session_jobs"), overwrite=True).write(lines)
 
     def run(self) -> dict:
@@ -241,7 +241,7 @@ class Pipeline:
         JsonLines(self.session.path("dataset.jsonl"), overwrite=True, omit_zero=("chosen_score_total", "rejected_score_total", "preference_margin") if g.dataset_mode == "mo-dpo" else ()).write(self.records(kept), adopted_lines(self.spark, self.session, "dataset.jsonl"))
         if g.enable_reasoning_capture and g.dataset_mode != "mo-dpo":
             JsonLines(self.session.path("dataset_reasoning.jsonl"), overwrite=True).write(self.records(kept, reasoning=True), adopted_lines(self.spark, self.session, "dataset_reasoning.jsonl"))
-        everything = self.spark.read.parquet(self.session.path("pairs"))
+        everything = self.spark.read.option("mergeSchema", True).parquet(self.session.path("pairs"))
         self._log_jobs(everything)
         spent = F.coalesce(F.col("chosen_ns"), F.lit(0)) + F.coalesce(F.col("rejected_ns"), F.lit(0))
         last = everything.groupBy("job_id").agg(F.min("failure_reason").alias("any_failure"), F.max(F.col("failure_reason").isNull()).alias("good"), F.max_by(spent, F.col("failure_reason").isNull()).alias("duration_ns"))

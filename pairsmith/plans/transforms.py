@@ -14,7 +14,7 @@ from pairsmith.functions import template
 from pairsmith.functions.text import clean_meta, combine_reasoning, has_think, is_blank, think_content, utrim, without_think
 from pairsmith.operators import lists, records
 from pairsmith.plans.defaults import TEMPLATES
-from pairsmith.sources.providers import SCHEMA, Provider, prompt_key
+from pairsmith.sources.providers import SCHEMA, Provider, prompt_key, replies
 from pairsmith.sources.staging import written
 
 
@@ -47,13 +47,13 @@ def replies_to(jobs: DataFrame, provider: Provider, stage: str, ledger: str | No
     spark = jobs.sparkSession
     keyed = jobs.select("job_id", "prompt").withColumn("key", prompt_key(F.lit(stage), F.col("prompt")))
     if ledger is None:
-        found = written(provider.complete(keyed, stage))
+        found = written(replies(provider, keyed, stage))
         asked = keyed.join(found, "job_id")
     else:
         have = ledger_of(spark, ledger).where("error is null").select("job_id", "key")
         # Written down as well: the anti-join reads the table that the replies go to.
         todo = written(keyed.join(have, ["job_id", "key"], "left_anti"))
-        provider.complete(todo, stage).join(todo.select("job_id", "key"), "job_id").write.mode("append").parquet(ledger)
+        replies(provider, todo, stage).join(todo.select("job_id", "key"), "job_id").write.mode("append").parquet(ledger)
         found = ledger_of(spark, ledger)
         asked = keyed.join(found, ["job_id", "key"])
     last = asked.groupBy("job_id").agg(F.max_by(F.struct("content", "error"), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("r")).select("job_id", "r.*")
@@ -91,8 +91,8 @@ def sft_to_dpo(scanned: DataFrame, style: str, provider: Provider, done: DataFra
     jobs = rows.select(F.col("line_no").alias("job_id"), checked.alias("prompt"), "chosen", *topics)
     if done is not None:
         jobs = lists.pending(jobs, done)
-    replies = _rejected(replies_to(_asked(jobs, F.col("prompt"), text), provider, "rejected", ledger))
-    return jobs.join(replies, "job_id").select(F.col("job_id").alias("line_no"), "prompt", "chosen", "rejected")
+    fresh = _rejected(replies_to(_asked(jobs, F.col("prompt"), text), provider, "rejected", ledger))
+    return jobs.join(fresh, "job_id").select(F.col("job_id").alias("line_no"), "prompt", "chosen", "rejected")
 
 
 def regenerated(pairs: DataFrame, completions: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,5 +131,5 @@ def regen_rejected(scanned: DataFrame, provider: Provider, done: DataFrame | Non
 def regen_plain(scanned: DataFrame, provider: Provider, done: DataFrame | None = None, ledger: str | None = None, text: str | None = None) -> DataFrame:
     """(job_id, prompt, chosen, rejected): pairs without reasoning with new rejected replies; prompt and chosen reply stay as they are, and so is the prompt asked."""
     jobs = _pending(scanned, done)
-    replies = _rejected(replies_to(_asked(jobs, _with_prompt(F.col("prompt")), text), provider, "rejected", ledger))
-    return jobs.drop("rejected").join(replies, "job_id").select("job_id", "prompt", "chosen", "rejected")
+    fresh = _rejected(replies_to(_asked(jobs, _with_prompt(F.col("prompt")), text), provider, "rejected", ledger))
+    return jobs.drop("rejected").join(fresh, "job_id").select("job_id", "prompt", "chosen", "rejected")

@@ -1,7 +1,7 @@
 """Completion providers: from a table, by an expression, or over HTTP.
 
-A provider turns (job_id, prompt) into (job_id, content, reasoning_content, finish_reason, error, duration_ns). Where a call failed,
-``error`` says how and there is no content: an error's text is never a reply. Calls are costly and differ each time, so plans write down what a
+A provider turns (job_id, prompt) into (job_id, content, reasoning_content, finish_reason, error, duration_ns, wait_ns), the last being what was waited for
+the rate limit. Where a call failed, ``error`` says how and there is no content: an error's text is never a reply. Calls are costly and differ each time, so plans write down what a
 provider returns before they use it.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "job_id long, content string, reasoning_content string, finish_reason string, error string, duration_ns long"
+SCHEMA = "job_id long, content string, reasoning_content string, finish_reason string, error string, duration_ns long, wait_ns long"
 # Answers after which a call is repeated.
 RETRYABLE = (429, 500, 502, 503, 504)
 
@@ -34,7 +34,14 @@ class Provider(Protocol):
 
 def _no_call() -> list[Column]:
     """What stands for a call's outcome where nothing was called."""
-    return [F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("duration_ns")]
+    return [F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("duration_ns"), F.lit(0).cast("long").alias("wait_ns")]
+
+
+def replies(provider: Provider, requests: DataFrame, stage: str) -> DataFrame:
+    """What a provider returns, in the columns of SCHEMA; one that leaves some out has nulls there."""
+    out = provider.complete(requests, stage)
+    fields = [c.split() for c in SCHEMA.split(", ")]
+    return out.select(*(F.col(name) if name in out.columns else F.lit(None).cast(kind).alias(name) for name, kind in fields))
 
 
 def prompt_key(stage: Column, prompt: Column) -> Column:
@@ -118,6 +125,7 @@ class Reply:
     finish: str | None
     error: str | None = None
     seconds: float = 0.0
+    waited: float = 0.0
 
 
 @dataclass
@@ -165,10 +173,10 @@ class Http:
     def call(self, prompt: str, stage: str, buckets: list[Bucket], sleep: Callable[[float], None] = time.sleep) -> Reply:
         """The outcome of one request, repeated as long as that may help and there is time."""
         request = urllib.request.Request(f"{self.base_url.rstrip('/')}/chat/completions", json.dumps(self.body(prompt, stage)).encode(), {"Content-Type": "application/json", **({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})})
-        began, deadline = time.monotonic(), self.deadlines.get(stage, self.deadline)
+        began, deadline, waited = time.monotonic(), self.deadlines.get(stage, self.deadline), 0.0
         for attempt in count(1):
             for bucket in buckets:
-                bucket.take()
+                waited += bucket.take()
             left = deadline - (time.monotonic() - began)
             if left <= 0:
                 error = "no time left"
@@ -176,7 +184,7 @@ class Http:
             try:
                 with urllib.request.urlopen(request, timeout=min(self.timeout, left)) as answer:
                     content, reasoning, finish = read_stream(answer, began + deadline) if self.stream else read_reply(json.loads(answer.read()))
-                    return Reply(content, reasoning, finish, None, time.monotonic() - began)
+                    return Reply(content, reasoning, finish, None, time.monotonic() - began, waited)
             except urllib.error.HTTPError as e:
                 error, again, limited = f"status {e.code}", e.code in RETRYABLE, e.code == 429
             except OSError as e:
@@ -186,7 +194,7 @@ class Http:
             if not again or attempt == self.attempts:
                 break
             sleep(min(wait_before(attempt, self.base_delay, self.max_delay, limited), max(0.0, deadline - (time.monotonic() - began))))
-        return Reply(None, None, None, error, time.monotonic() - began)
+        return Reply(None, None, None, error, time.monotonic() - began, waited)
 
     def buckets(self, share: int) -> list[Bucket]:
         """The model's bucket and its provider's, for one of ``share`` tasks."""
@@ -207,7 +215,8 @@ class Http:
                 for batch in batches:
                     replies = list(pool.map(lambda p: self.call(p, stage, buckets), batch["prompt"].to_pylist()))
                     columns = [[r.content for r in replies], [r.reasoning for r in replies], [r.finish for r in replies], [r.error for r in replies]]
-                    yield pa.RecordBatch.from_arrays([batch["job_id"], *(pa.array(c, pa.string()) for c in columns), pa.array([int(r.seconds * 1e9) for r in replies], pa.int64())], ["job_id", "content", "reasoning_content", "finish_reason", "error", "duration_ns"])
+                    times = [[int(r.seconds * 1e9) for r in replies], [int(r.waited * 1e9) for r in replies]]
+                    yield pa.RecordBatch.from_arrays([batch["job_id"], *(pa.array(c, pa.string()) for c in columns), *(pa.array(t, pa.int64()) for t in times)], ["job_id", "content", "reasoning_content", "finish_reason", "error", "duration_ns", "wait_ns"])
 
         return asked.repartition(parts).mapInArrow(run, SCHEMA)
 

@@ -322,7 +322,7 @@ def test_a_session_is_published(spark, tmp_path):
 
 
 def test_reports(spark, tmp_path):
-    from pairsmith.__main__ import report_of
+    from pairsmith.plans.reports import report as report_of
 
     session = Session(tmp_path)
     Pipeline(spark, settings(), session, {k: Deterministic(expression) for k in ("main", "rejected")}).run()
