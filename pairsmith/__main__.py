@@ -1,4 +1,4 @@
-"""Command line: run, checkpoint list | inspect | resume | adopt, transform, upload, benchmark, report sessions | reliability | providers | samples | benchmark."""
+"""Command line: run, checkpoint list | inspect | resume | adopt, transform, stream, upload, benchmark, report sessions | reliability | providers | samples | benchmark."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ from pairsmith.sources.providers import Http
 from pairsmith.sources.sessions import MANIFEST, Manifest, Session, check_name, config_hash, sessions
 from pairsmith.sources.sinks import JsonLines
 from pairsmith.sources.staging import is_written, written
+from pairsmith.streaming.transforms import MODES, complete_replies, lines_of, transform_stream
 
 
 def spark_session() -> SparkSession:
@@ -124,6 +125,16 @@ def parser() -> argparse.ArgumentParser:
     transform.add_argument("--checkpoint", help="where replies are kept, else beside the output")
     transform.add_argument("--resume", action="store_true", help="go on with the replies that are kept; it is an error if there are none")
     _common(transform, output=False)
+    stream = commands.add_parser("stream", help="transform the files of a folder as they arrive")
+    stream.add_argument("--mode", choices=MODES, required=True)
+    stream.add_argument("--input", required=True, help="a folder of JSONL files")
+    stream.add_argument("--output", required=True, help="a folder for dataset, dataset_reasoning, rejects and replies")
+    stream.add_argument("--checkpoint", help="else within the output")
+    stream.add_argument("--format", choices=cfg.STYLES)
+    stream.add_argument("--files", type=int, default=100, help="files of a batch at most")
+    stream.add_argument("--forever", action="store_true", help="wait for more files")
+    stream.add_argument("--gated", action="store_true", help="leave out pairs whose chosen reply does not pass the gates")
+    _common(stream, output=False)
     upload = commands.add_parser("upload")
     upload.add_argument("repository")
     upload.add_argument("session")
@@ -246,6 +257,14 @@ def main(arguments: list[str] | None = None) -> int:
         print(json.dumps(publish(check_name(a.session, Path(a.output)), a.repository, secrets, a.dry_run)))
     elif a.command == "transform":
         transform(a, secrets)
+    elif a.command == "stream":
+        config = configured(a)
+        provider = http(config.models["rejected"], secrets, config)
+        query = transform_stream(
+            lines_of(spark_session(), a.input, a.files), a.mode, provider, a.output, a.checkpoint or f"{a.output}/checkpoint", a.format or config.generation.sft_format,
+            config.prompt_templates.get("rejected"), a.forever, complete_replies if a.gated else None,
+        )
+        query.awaitTermination()
     elif a.command == "benchmark":
         benchmark(a, secrets)
     else:

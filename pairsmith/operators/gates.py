@@ -33,6 +33,11 @@ def finish_ok(finish: Column, has_reasoning: Column, content_bytes: Column) -> C
     return given.isin("", "stop") | ((given == "length") & ~(has_reasoning & (content_bytes == 0)))
 
 
+def straight(text: Column) -> Column:
+    """The text with straight apostrophes for curly ones: the list of refusals has straight ones only."""
+    return F.translate(text, "\u2018\u2019\u02bc", "'''")
+
+
 def is_refusal(text: Column, has_reasoning: Column, finish: Column) -> Column:
     short = byte_length(utrim(text)) < LEAST_REPLY
     excused = has_reasoning & (F.coalesce(finish, F.lit("")) == "length")
@@ -58,19 +63,22 @@ def incomplete_reason(text: Column) -> Column:
     return F.when(byte_length(trimmed) < LEAST_COMPLETE, F.lit("too short")).when((byte_length(last) > 2) & last.rlike("[a-z]$"), F.lit("mid-sentence")).otherwise(F.lit("no closing punctuation"))
 
 
-def failure_reason(content: Column, reasoning: Column, finish: Column) -> Column:
-    """The first gate that fails, in the order exhaustion, finish reason, refusal, incompleteness; null if none does."""
+def failure_reason(content: Column, reasoning: Column, finish: Column, curly: bool = False) -> Column:
+    """The first gate that fails, in the order exhaustion, finish reason, refusal, incompleteness; null if none does.
+
+    With ``curly`` refusals with curly apostrophes are told too.
+    """
     text = F.coalesce(content, F.lit(""))
     thought = ~is_blank(reasoning)
     exhausted = is_blank(text) & thought & (F.coalesce(finish, F.lit("")) == "length")
     return (
         F.when(exhausted, F.lit(EXHAUSTED))
         .when(~finish_ok(finish, thought, byte_length(text)), F.lit(UNEXPECTED))
-        .when(is_refusal(text, thought, finish), F.lit(REFUSED))
+        .when(is_refusal(text, thought, finish) | (is_refusal(straight(text), thought, finish) if curly else F.lit(False)), F.lit(REFUSED))
         .when(is_incomplete(text, finish), F.lit(INCOMPLETE))
     )
 
 
-def gate(completions: DataFrame, content: str = "content", reasoning: str = "reasoning_content", finish: str = "finish_reason") -> DataFrame:
+def gate(completions: DataFrame, content: str = "content", reasoning: str = "reasoning_content", finish: str = "finish_reason", curly: bool = False) -> DataFrame:
     """``completions`` with ``failure_reason``; what passes has none."""
-    return completions.withColumn("failure_reason", failure_reason(F.col(content), F.col(reasoning), F.col(finish)))
+    return completions.withColumn("failure_reason", failure_reason(F.col(content), F.col(reasoning), F.col(finish), curly))

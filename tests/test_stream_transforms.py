@@ -3,10 +3,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from pairsmith.__main__ import main
 from pairsmith.plans import transforms
 from pairsmith.sources import jsonl
 from pairsmith.sources.providers import Deterministic
 from pairsmith.streaming.transforms import complete_replies, lines_of, transform_stream, usable
+from tests.test_switching import config_at, server  # noqa: F401
 
 LONG = "A reply of good length that goes on long enough to pass every gate there is, with some more words, and it ends well."
 
@@ -87,3 +89,12 @@ def test_usable_lines_of_a_table(spark):
 def test_unknown_mode(spark):
     with pytest.raises(ValueError, match="unknown mode"):
         transform_stream(None, "x", None, "o", "c")
+
+
+def test_from_the_command_line(spark, tmp_path, server):  # noqa: F811
+    """Files of a folder, over HTTP, by the configuration's template."""
+    config_at(tmp_path, server)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text(json.dumps({"prompt": "p", "chosen": LONG}) + "\n" + json.dumps({"prompt": "q", "chosen": "no"}) + "\n")
+    main(["stream", "--mode", "regen-plain", "--input", f"{tmp_path}/in", "--output", f"{tmp_path}/out", "--gated", "--config", f"{tmp_path}/config.toml"])
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/out/dataset").select("prompt", "chosen", "rejected").collect()] == [("p", LONG, "new 1 Badly, on : p")]

@@ -79,3 +79,11 @@ def test_names(spark):
     assert naming.over_request(100, 0.15) == 114
     assert one(spark, naming.provider_name(lit("https://api.together.ai/v1"))) == "together" and one(spark, naming.provider_name(lit("http://x"))) == "http://x"
     assert one(spark, naming.is_local_endpoint(lit("http://localhost:1/v1"))) and not one(spark, naming.is_local_endpoint(lit("https://my.localhost.example")))
+
+
+def test_curly_apostrophes_are_told_on_demand(spark):
+    long = " more words that make it long enough to pass the other gates, up to the very end of it, as they should do."
+    frame = spark.createDataFrame([("I\u2019m sorry, I cannot do it." + long,), ("I'm sorry, I cannot do it." + long,), ("It\u2019s fine." + long,)], "content string")
+    frame = frame.selectExpr("content", "'' as reasoning_content", "'stop' as finish_reason")
+    assert [r.failure_reason for r in gates.gate(frame).collect()] == [None, "refusal", None]
+    assert [r.failure_reason for r in gates.gate(frame, curly=True).collect()] == ["refusal", "refusal", None]
