@@ -1,37 +1,44 @@
 """Collocations by hierarchical pair naming.
 
 Texts are cut into chunks of a bounded number of words, a language each, whose words are numbered within the chunk. Level 1 names words:
-a word is sent once for each chunk that has it, all of them meet to be counted, and a frequent one gets a global name, that of the
+a chunk sends each of its words once, by the block of its hash; all of a word meet in its block to be counted, and a frequent one gets a global name, that of the
 first chunk which has it. The chunk learns the names of its frequent words and forgets the others. Level k does the same to pairs of adjacent names of
-level k - 1: a phrase of k words is the pair of its first and of its last k - 1 words. So a phrase has as many rows as there
-are chunks that hold it, not one for each occurrence, and the two names of a pair are pointers to its parents: along them frequencies
+level k - 1: a phrase of k words is the pair of its first and of its last k - 1 words. So a phrase is sent as often as there
+are chunks that hold it, not once for each occurrence, and the two names of a pair are pointers to its parents: along them frequencies
 of cuts are looked up, and shorter phrases learn of the longer ones that contain them.
+
+What a chunk sends to a block travels as one row of packed numbers. A block has a bounded number of words or pairs, however many texts there are, as a word
+comes once from each chunk. Most pairs of words are rare. Before they are named, chunks send the hashes of their pairs, some two bytes for each, and learn
+which of them occur often enough in all; others cannot be frequent. It is a filter that lets a few too many through, and what is counted afterwards is exact.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas import factorize
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import _free, small_batches, stage_folder, staged
 
 MOST_WORDS, LEAST = 4, 30
 TOP = 2000
 #: A candidate goes if a longer one that contains it has at least this many hundredths of its occurrences.
 COVERED = 80
-#: Words of a chunk: it is closed at the end of the piece that reaches them.
-CHUNK_WORDS = 1 << 20
+#: Words of a task's open chunks, of all languages: they are closed at the end of the piece that reaches them. The larger chunks are, the fewer
+#: rows a word has; a task holds four bytes for each of their words, and their distinct words.
+CHUNK_WORDS = 1 << 21
 #: Bits of a name for the number within the chunk, and of a chunk's number for that within its task.
 UNIT_BITS, SEQ_BITS = 27, 12
-#: Rows of a batch on the way back from Python.
-BATCH_ROWS = 100_000
-
+#: Words to a block of words or pairs, and the bits of a pair's hash within its block.
+BLOCK_WORDS, CELL_BITS = 1 << 20, 22
 _MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(bytes(range(65, 91)) + _MARKS + b"\t", bytes(range(97, 123)) + b"\n" * len(_MARKS) + b" ")
 
@@ -44,24 +51,46 @@ class _Numbers(dict):
         return number
 
 
-def _packed(units: np.ndarray) -> bytes:
-    return zlib.compress(units.astype(np.int32).tobytes(), 1)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as bytes, the lowest bytes of all of them first: they are compressed apart from the high ones, which are mostly 0."""
+    return zlib.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), np.int32)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
+
+
+def _by_count(units: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units from 1 to ``kinds`` renumbered, the most frequent first; the old numbers in the new order, less 1; and the counts."""
+    counts = np.bincount(units, minlength=kinds + 1)[1:]
+    order = np.argsort(-counts, kind="stable")
+    to = np.zeros(kinds + 1, np.int64)
+    to[order + 1] = np.arange(1, kinds + 1)
+    return to[units], order, counts[order]
+
+
+def _schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of columns that are long, string, binary, or arrays of these."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+    return pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")])
+
+
+def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    schema = _schema(ddl)
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-_CHUNKS = "chunk long, lang string, n long, units binary, words array<struct<word: string, many: long>>"
-_CHUNKS_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("units", pa.binary()), ("words", pa.list_(pa.struct([("word", pa.string()), ("many", pa.int64())])))])
+#: The words of a chunk are joined by line ends, which no word has.
+_CHUNKS = "chunk long, lang string, n long, units binary, hashes binary, words binary, many binary"
 
 
 def _chunked(chunk_words: int):
-    """Rows (lang, text) to chunks: the words' numbers with a 0 at the end of each piece, and the words with their counts."""
+    """Rows (lang, text) to chunks: the words' numbers with a 0 at the end of each piece, and the words with their counts and hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
-        open_chunks: dict[str, tuple[_Numbers, list[int]]] = {}
+        open_chunks: dict[str, tuple[_Numbers, array]] = {}
         held = 0
 
         def closed() -> Iterator[pa.RecordBatch]:
@@ -71,13 +100,12 @@ def _chunked(chunk_words: int):
                     continue
                 if made >> SEQ_BITS or len(numbers) >> UNIT_BITS:
                     raise ValueError("a task has too many chunks, or a chunk too many words")
-                own = np.array(units, np.int32)
-                counts = np.bincount(own, minlength=len(numbers) + 1)[1:]
-                pairs = pa.StructArray.from_arrays([pa.array(list(numbers), pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], ["word", "many"])
-                words = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)
-                columns = [pa.array([(task << SEQ_BITS) + made]), pa.array([lang]), pa.array([int(counts.sum())]), pa.array([_packed(own)], pa.binary()), words]
+                own, order, counts = _by_count(np.array(units, np.int64), len(numbers))
+                words = np.array(list(numbers), object)[order]
+                hashes = (hash_array(words, categorize=False) >> np.uint64(32)).astype(np.int64) ^ zlib.crc32(lang.encode())
+                row = ((task << SEQ_BITS) + made, lang, int(counts.sum()), _packed(own), _packed(hashes), zlib.compress(b"\n".join(words), 1), _packed(counts))
                 made += 1
-                yield pa.RecordBatch.from_arrays(columns, schema=_CHUNKS_ARROW)
+                yield _rows([row], _CHUNKS)
             open_chunks.clear()
 
         for batch in batches:
@@ -86,9 +114,9 @@ def _chunked(chunk_words: int):
                     words = piece.split()
                     if words:
                         if lang not in open_chunks:
-                            open_chunks[lang] = _Numbers(), []
+                            open_chunks[lang] = _Numbers(), array("i")
                         numbers, units = open_chunks[lang]
-                        units += map(numbers.__getitem__, words)
+                        units.extend(map(numbers.__getitem__, words))
                         units.append(0)
                         held += len(words)
                         if held >= chunk_words:
@@ -99,68 +127,225 @@ def _chunked(chunk_words: int):
     return run
 
 
-def _pairs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs of adjacent units: left, right and count, and for every place but the last the number of its pair from 1, or 0."""
+def _pairs(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of adjacent units, left << 32 | right, in order, and their counts."""
     both = (units[:-1] != 0) & (units[1:] != 0)
-    keys = units[:-1][both].astype(np.int64) << 32 | units[1:][both]
-    distinct, numbers, counts = np.unique(keys, return_inverse=True, return_counts=True)
-    placed = np.zeros(max(len(units) - 1, 0), np.int32)
-    placed[both] = numbers + 1
-    return distinct >> 32, distinct & 0xFFFFFFFF, counts, placed
+    return np.unique(units[:-1][both] << 32 | units[1:][both], return_counts=True)
 
 
-def _known(units: np.ndarray, numbers: list[int], names: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Units without those that have no name, renumbered, and the names by their new numbers; of neighbouring gaps one stays."""
-    numbers, names = np.asarray(numbers, np.int64), np.asarray(names, np.int64)
-    to = np.zeros(max(int(units.max(initial=0)), int(numbers.max(initial=0))) + 1, np.int32)
+def _placed(units: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For every place but the last the number, from 1, of its pair among the keys, or 0."""
+    if not len(keys) or len(units) < 2:
+        return np.zeros(max(len(units) - 1, 0), np.int64)
+    pairs = units[:-1] << 32 | units[1:]
+    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+    return np.where(keys[at] == pairs, at + 1, 0)
+
+
+def _known(units: np.ndarray, numbers: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units without those that have no name, renumbered, with names and old numbers by the new ones; of neighbouring gaps one stays."""
+    to = np.zeros(max(int(units.max(initial=0)), int(numbers.max(initial=0))) + 1, np.int64)
     to[numbers] = np.arange(1, len(numbers) + 1)
-    units = to[units]
+    units, order, _ = _by_count(to[units], len(numbers))
     gap = units == 0
     gap[1:] &= units[:-1] == 0  # a gap after a gap
-    return units[~gap], names
+    return units[~gap], names[order], numbers[order]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes whose high bits, which tell blocks, are as good as the low ones."""
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def _pair_hashes(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Hashes of pairs from those of their words."""
+    hashes = hashes.astype(np.uint64)
+    return _mixed(hashes[(keys >> 32) - 1] << np.uint64(32) | hashes[(keys & 0xFFFFFFFF) - 1])
+
+
+def _shares(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The blocks of hashes and the places, in order, that each has."""
+    if not len(h):
+        return
+    block = (h >> np.uint64(63 - bits) >> np.uint64(1)).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    blocks, starts = np.unique(block[order], return_index=True)
+    yield from zip(blocks.tolist(), np.split(order, starts[1:]), strict=True)
+
+
+_SKETCH = "block long, chunk long, cells binary, many binary"
+_ENOUGH = "chunk long, block long, cells binary"
+
+
+def _sketched(bits: int):
+    """Rows for each chunk and block: the sorted cells of its pairs of words, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, counts = _pairs(_unpacked(batch["units"][k].as_py()))
+                if not len(keys):
+                    continue
+                h = _pair_hashes(_unpacked(batch["hashes"][k].as_py()), keys)
+                cell = ((h << np.uint64(bits)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+                out = []
+                for block, at in _shares(h, bits):
+                    cells, same = np.unique(cell[at], return_inverse=True)
+                    out.append((block, batch["chunk"][k].as_py(), _packed(np.diff(cells, prepend=0)), _packed(np.bincount(same, counts[at]))))
+                yield _rows(out, _SKETCH)
+
+    return run
+
+
+def _often(least: int):
+    """Of one block's rows, the cells that have ``least`` occurrences or more in all."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cells = [np.cumsum(_unpacked(c)) for c in rows["cells"].to_pylist()]
+        distinct, at = np.unique(np.concatenate(cells), return_inverse=True)
+        enough = (np.bincount(at, np.concatenate([_unpacked(m) for m in rows["many"].to_pylist()]), len(distinct)) >= least)[at]
+        parts = np.split(enough, np.cumsum([len(c) for c in cells])[:-1])
+        kept = [(chunk, rows["block"][0].as_py(), _packed(np.diff(c[e], prepend=0))) for chunk, c, e in zip(rows["chunk"].to_pylist(), cells, parts, strict=True) if e.any()]
+        return pa.Table.from_batches([_rows(kept, _ENOUGH)])
 
+    return run
 
-_STATE = "chunk long, lang string, units binary, names array<long>"
-_STATE_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("units", pa.binary()), ("names", pa.list_(pa.int64()))])
 
+#: What a chunk sends to a block: its units' numbers and counts, and what they are: words, or two names each.
+_SENT = "block long, chunk long, lang string, units binary, many binary, words binary, l binary, r binary"
+#: What comes back: for each chunk the units that are frequent and their names; and for each block, without a chunk, the names it has given.
+_NAMED = "chunk long, units binary, names binary, lang array<string>, word array<string>, l array<long>, r array<long>, name array<long>, a array<long>"
 
-def _learned(words: bool):
-    """Chunks with the numbers and names of their frequent units: words as they are, or pairs of the units they have."""
 
+def _sent_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                units = _unpacked(batch["units"][k].as_py())
-                found = batch["found"][k].as_py()
-                units, names = _known(units if words else _pairs(units)[3], [f["unit"] for f in found], [f["name"] for f in found])
-                columns = [batch["chunk"].slice(k, 1), batch["lang"].slice(k, 1), pa.array([_packed(units)], pa.binary()), pa.array([names], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, schema=_STATE_ARROW)
+                words, many = np.array(zlib.decompress(batch["words"][k].as_py()).split(b"\n"), object), _unpacked(batch["many"][k].as_py())
+                same = [batch["chunk"][k].as_py(), batch["lang"][k].as_py()]
+                h = _mixed(_unpacked(batch["hashes"][k].as_py()).astype(np.uint64))
+                yield _rows([(block, *same, _packed(np.diff(at + 1, prepend=0)), _packed(many[at]), zlib.compress(b"\n".join(words[at]), 1), None, None) for block, at in _shares(h, bits)], _SENT)
 
     return run
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct pair of a chunk: its place (chunk and number), the names of its parts, how often it occurs."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            left, right, counts, _ = _pairs(_unpacked(batch["units"][k].as_py()))
-            names = np.append(0, batch["names"][k].values.to_numpy())
-            place = (batch["chunk"][k].as_py() << UNIT_BITS) + np.arange(1, len(left) + 1)
-            rows = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (place, names[left], names[right], counts)], ["place", "l", "r", "many"])
-            for at in range(0, rows.num_rows, BATCH_ROWS):
-                yield rows.slice(at, BATCH_ROWS)
+def _sent_pairs(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                keys, counts = _keys_of(batch["keys"][k].as_py()), _unpacked(batch["counts"][k].as_py())
+                names = np.append(0, _unpacked(batch["names"][k].as_py()))
+                l, r = names[keys >> 32], names[keys & 0xFFFFFFFF]
+                h = _mixed(l.astype(np.uint64) ^ _mixed(r.astype(np.uint64)))
+                yield _rows([(block, batch["chunk"][k].as_py(), None, _packed(np.diff(at + 1, prepend=0)), _packed(counts[at]), None, _packed(l[at]), _packed(r[at])) for block, at in _shares(h, bits)], _SENT)
+
+    return run
+
 
+def _kinds(rows: pa.Table, words: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The kind of each unit of a block's rows, numbered from 0, and what the kinds are: language and word, or two names."""
+    if words:
+        lists = [zlib.decompress(w).split(b"\n") for w in rows["words"].to_pylist()]
+        langs, lang = np.unique(np.array(rows["lang"].to_pylist(), object), return_inverse=True)
+        word, distinct = factorize(np.array([w for own in lists for w in own], object))
+        pair = np.repeat(lang, [len(own) for own in lists]) * len(distinct) + word
+        kinds, at = np.unique(pair, return_inverse=True)
+        return at, [langs[kinds // len(distinct)], distinct[kinds % len(distinct)]]
+    l, r = (np.concatenate([_unpacked(x) for x in rows[c].to_pylist()]) for c in ("l", "r"))
+    (lefts, a), (rights, b) = np.unique(l, return_inverse=True), np.unique(r, return_inverse=True)
+    kinds, at = np.unique(a * len(rights) + b, return_inverse=True)
+    return at, [lefts[kinds // len(rights)], rights[kinds % len(rights)]]
+
+
+def _given(least: int, words: bool):
+    """Of one block's rows the units that occur ``least`` times or more in all, by chunk, with their names; and what has these names."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        at, what = _kinds(rows, words)
+        units = [np.cumsum(_unpacked(u)) for u in rows["units"].to_pylist()]
+        many = np.concatenate([_unpacked(m) for m in rows["many"].to_pylist()])
+        total = np.zeros(len(what[0]), np.int64)
+        np.add.at(total, at, many)
+        place = np.concatenate([(chunk << UNIT_BITS) + u for chunk, u in zip(rows["chunk"].to_pylist(), units, strict=True)])
+        name = np.full(len(total), np.iinfo(np.int64).max)
+        np.minimum.at(name, at, place)
+        often, out, start = total >= least, [], 0
+        for chunk, own in zip(rows["chunk"].to_pylist(), units, strict=True):
+            kind = at[start : start + len(own)]
+            start += len(own)
+            if (some := often[kind]).any():
+                out.append((chunk, _packed(np.diff(own[some], prepend=0)), _packed(name[kind[some]]), *[None] * 6))
+        some = np.flatnonzero(often)
+        if len(some):
+            first, second = (w[some].tolist() for w in what)
+            told = (first, [w.decode() for w in second], None, None) if words else (None, None, first, second)
+            out.append((None, None, None, *told, name[some].tolist(), total[some].tolist()))
+        return pa.Table.from_batches([_rows(out, _NAMED)])
 
-def _named(units: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """``units`` with ``a``, how often the unit occurs in all, and ``name``, its least place; those below ``least`` go. A unit has a row for each chunk that has it."""
-    same = Window.partitionBy(*keys)
-    return units.withColumns({"a": F.sum("many").over(same), "name": F.min("place").over(same)}).where(F.col("a") >= least).drop("many")
+    return run
+
+
+class _Spent:
+    """A written table that is deleted as soon as what was made of it is written too: of all chunks there is one state at a time."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.spark, self.folder = df.sparkSession, stage_folder(df.sparkSession)
+        df.write.parquet(self.folder)
+        _free(self.spark)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.folder)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _named(sent: DataFrame, least: int, words: bool) -> _Spent:
+    return _Spent(sent.groupBy("block").applyInArrow(_given(least, words), _NAMED))
 
 
 def _dictionary(named: DataFrame) -> DataFrame:
-    """(chunk, found): the numbers and names of a chunk's units; a chunk has a bounded number of words."""
-    rows = named.select(F.shiftright("place", UNIT_BITS).alias("chunk"), F.struct(F.col("place").bitwiseAND(F.lit((1 << UNIT_BITS) - 1)).alias("unit"), "name").alias("one"))
-    return rows.groupBy("chunk").agg(F.collect_list("one").alias("found"))
+    """(chunk, found): the numbers and names of a chunk's units, by block; a chunk has a bounded number of words."""
+    return named.where("chunk is not null").groupBy("chunk").agg(F.collect_list(F.struct("units", "names")).alias("found"))
+
+
+_STATE = "chunk long, lang string, units binary, names binary, keys binary, counts binary"
+
+
+def _both_halves(keys: np.ndarray) -> bytes:
+    return _packed(np.concatenate([keys >> 32, keys & 0xFFFFFFFF]))
+
+
+def _keys_of(blob: bytes) -> np.ndarray:
+    left, right = _unpacked(blob).reshape(2, -1)
+    return left << 32 | right
+
+
+def _learned(bits: int | None):
+    """Chunks with their frequent units, the names of these, and the pairs that come next, those of words only as far as their cells occur often.
+
+    The units are words with a number of bits, else the pairs that the chunk had before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                units, found = _unpacked(batch["units"][k].as_py()), batch["found"][k].as_py()
+                if bits is None:
+                    units = _placed(units, _keys_of(batch["keys"][k].as_py()))
+                numbers = np.concatenate([np.cumsum(_unpacked(f["units"])) for f in found])
+                units, names, numbers = _known(units, numbers, np.concatenate([_unpacked(f["names"]) for f in found]))
+                keys, counts = _pairs(units)
+                if bits is not None and len(keys):
+                    hashes = _unpacked(batch["hashes"][k].as_py())[numbers - 1]
+                    often = [(c["block"] << CELL_BITS) + np.cumsum(_unpacked(c["cells"])) for c in batch["often"][k].as_py() or []]
+                    cells = (_pair_hashes(hashes, keys) >> np.uint64(64 - bits - CELL_BITS)).astype(np.int64)
+                    some = np.isin(cells, np.concatenate(often) if often else np.zeros(0, np.int64))
+                    keys, counts = keys[some], counts[some]
+                yield _rows([(batch["chunk"][k].as_py(), batch["lang"][k].as_py(), _packed(units), _packed(names), _both_halves(keys), _packed(counts))], _STATE)
+
+    return run
 
 
 def _parents(level: DataFrame, below: DataFrame, more: bool) -> DataFrame:
@@ -197,23 +382,32 @@ def candidates(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_WOR
     """
     small_batches(docs)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chunks = staged(rows.mapInArrow(_chunked(chunk_words), _CHUNKS))
-    totals = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
-    units = chunks.select("chunk", "lang", F.posexplode("words").alias("pos", "w"))
-    units = units.select((F.shiftleft("chunk", UNIT_BITS) + F.col("pos") + 1).alias("place"), "lang", F.col("w.word").alias("word"), F.col("w.many").alias("many"))
-    named = staged(_named(units, ["lang", "word"], least))
-    words = named.where("place = name").select("lang", "name", "a", F.col("a").alias("first"), F.col("a").alias("last"), F.lit(None).cast("long").alias("fl"), F.lit(None).cast("long").alias("fr"), "word", F.col("word").alias("phrase"))
-    state = staged(chunks.select("chunk", "lang", "units").join(_dictionary(named), "chunk").mapInArrow(_learned(True), _STATE))
-    below, levels = words, []
+    chunked = _Spent(rows.mapInArrow(_chunked(chunk_words), _CHUNKS))
+    chunks = chunked.rows
+    totals = staged(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
+    # So many blocks that each has words or pairs for one task: there are as many as words at most.
+    bits = max(0, (totals.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS).bit_length()
+    named = _named(chunks.select("chunk", "lang", "hashes", "words", "many").mapInArrow(_sent_words(bits), _SENT), least, True)
+    words = named.rows.where("chunk is null").select(F.inline(F.arrays_zip("lang", "name", "a", "word"))).toDF("lang", "name", "a", "word")
+    none = F.lit(None).cast("long")
+    below = staged(words.select("lang", "name", "a", F.col("a").alias("first"), F.col("a").alias("last"), none.alias("fl"), none.alias("fr"), "word", F.col("word").alias("phrase")))
+    often = _Spent(chunks.select("chunk", "units", "hashes").mapInArrow(_sketched(bits), _SKETCH).groupBy("block").applyInArrow(_often(least), _ENOUGH))
+    cells = often.rows.groupBy("chunk").agg(F.collect_list(F.struct("block", "cells")).alias("often"))
+    known = chunks.select("chunk", "lang", "units", "hashes").join(_dictionary(named.rows), "chunk").join(cells, "chunk", "left")
+    state, levels = _Spent(known.mapInArrow(_learned(bits), _STATE)), []
+    for spent in (chunked, named, often):
+        spent.drop()
     for size in range(2, MOST_WORDS + 1):
-        pairs = state.select("chunk", "units", "names").mapInArrow(_paired, "place long, l long, r long, many long")
-        named = staged(_named(pairs, ["l", "r"], least))
+        named = _named(state.rows.select("chunk", "names", "keys", "counts").mapInArrow(_sent_pairs(bits), _SENT), least, False)
         # Names tell languages apart: a name is of one chunk, which is of one language.
-        level = staged(_parents(named.where("place = name").select("name", "l", "r", "a"), below, size > 2))
-        levels.append((size, level))
+        pairs = named.rows.where("chunk is null").select(F.inline(F.arrays_zip("name", "l", "r", "a"))).toDF("name", "l", "r", "a")
+        below = staged(_parents(pairs, below, size > 2))
+        levels.append((size, below))
+        before = state
         if size < MOST_WORDS:
-            state = staged(state.select("chunk", "lang", "units").join(_dictionary(named), "chunk").mapInArrow(_learned(False), _STATE))
-        below = level
+            state = _Spent(before.rows.select("chunk", "lang", "units", "keys").join(_dictionary(named.rows), "chunk").mapInArrow(_learned(None), _STATE))
+        for spent in (before, named):
+            spent.drop()
     out = None
     for k, (size, level) in enumerate(levels):
         part = level.select("lang", "name", "phrase", F.lit(size).alias("words"), "a", _cuts(size).alias("cut"))
