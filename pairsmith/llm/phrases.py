@@ -36,7 +36,7 @@ COVERED = 80
 #: rows a word has; a task holds four bytes for each of their words, and their distinct words.
 CHUNK_WORDS = 1 << 21
 #: Bits of a name for the number within the chunk, and of a chunk's number for that within its task.
-UNIT_BITS, SEQ_BITS = 27, 12
+UNIT_BITS, SEQ_BITS = 27, 15
 #: Words to a block of words or pairs, and the bits of a pair's hash within its block.
 BLOCK_WORDS, CELL_BITS = 1 << 20, 22
 _MARKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -51,13 +51,25 @@ class _Numbers(dict):
         return number
 
 
+_CODEC = pa.Codec("zstd", compression_level=9)
+
+
+def _small(raw: bytes) -> bytes:
+    """Compressed, the size before that first."""
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _whole(blob: bytes) -> bytes:
+    return _CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Whole numbers as bytes, the lowest bytes of all of them first: they are compressed apart from the high ones, which are mostly 0."""
-    return zlib.compress(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    return _small(numbers.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(_whole(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
 
 
 def _by_count(units: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,8 +93,8 @@ def _rows(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-#: The words of a chunk are joined by line ends, which no word has.
-_CHUNKS = "chunk long, lang string, n long, units binary, hashes binary, words binary, many binary"
+#: A chunk is two rows: its texts as numbers, and its words, which are done with earlier. Words are joined by line ends, which none has.
+_CHUNKS = "chunk long, lang string, n long, units binary, hashes binary, words binary, many binary, part string"
 
 
 def _chunked(chunk_words: int):
@@ -103,9 +115,8 @@ def _chunked(chunk_words: int):
                 own, order, counts = _by_count(np.array(units, np.int64), len(numbers))
                 words = np.array(list(numbers), object)[order]
                 hashes = (hash_array(words, categorize=False) >> np.uint64(32)).astype(np.int64) ^ zlib.crc32(lang.encode())
-                row = ((task << SEQ_BITS) + made, lang, int(counts.sum()), _packed(own), _packed(hashes), zlib.compress(b"\n".join(words), 1), _packed(counts))
-                made += 1
-                yield _rows([row], _CHUNKS)
+                chunk, made = (task << SEQ_BITS) + made, made + 1
+                yield _rows([(chunk, lang, int(counts.sum()), _packed(own), _packed(hashes), None, None, "units"), (chunk, lang, None, None, _packed(hashes), _small(b"\n".join(words)), _packed(counts), "words")], _CHUNKS)
             open_chunks.clear()
 
         for batch in batches:
@@ -223,10 +234,10 @@ def _sent_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                words, many = np.array(zlib.decompress(batch["words"][k].as_py()).split(b"\n"), object), _unpacked(batch["many"][k].as_py())
+                words, many = np.array(_whole(batch["words"][k].as_py()).split(b"\n"), object), _unpacked(batch["many"][k].as_py())
                 same = [batch["chunk"][k].as_py(), batch["lang"][k].as_py()]
                 h = _mixed(_unpacked(batch["hashes"][k].as_py()).astype(np.uint64))
-                yield _rows([(block, *same, _packed(np.diff(at + 1, prepend=0)), _packed(many[at]), zlib.compress(b"\n".join(words[at]), 1), None, None) for block, at in _shares(h, bits)], _SENT)
+                yield _rows([(block, *same, _packed(np.diff(at + 1, prepend=0)), _packed(many[at]), _small(b"\n".join(words[at])), None, None) for block, at in _shares(h, bits)], _SENT)
 
     return run
 
@@ -247,7 +258,7 @@ def _sent_pairs(bits: int):
 def _kinds(rows: pa.Table, words: bool) -> tuple[np.ndarray, list[np.ndarray]]:
     """The kind of each unit of a block's rows, numbered from 0, and what the kinds are: language and word, or two names."""
     if words:
-        lists = [zlib.decompress(w).split(b"\n") for w in rows["words"].to_pylist()]
+        lists = [_whole(w).split(b"\n") for w in rows["words"].to_pylist()]
         langs, lang = np.unique(np.array(rows["lang"].to_pylist(), object), return_inverse=True)
         word, distinct = factorize(np.array([w for own in lists for w in own], object))
         pair = np.repeat(lang, [len(own) for own in lists]) * len(distinct) + word
@@ -288,16 +299,20 @@ def _given(least: int, words: bool):
 
 
 class _Spent:
-    """A written table that is deleted as soon as what was made of it is written too: of all chunks there is one state at a time."""
+    """A written table that is deleted, as a whole or by the part that a column names, as soon as what was made of it is written too: of all chunks
+    there is one state at a time."""
 
-    def __init__(self, df: DataFrame) -> None:
-        self.spark, self.folder = df.sparkSession, stage_folder(df.sparkSession)
-        df.write.parquet(self.folder)
+    def __init__(self, df: DataFrame, by: str | None = None) -> None:
+        self.spark, self.folder, self.by = df.sparkSession, stage_folder(df.sparkSession), by
+        df.write.partitionBy(*([by] if by else [])).parquet(self.folder)
         _free(self.spark)
         self.rows = self.spark.read.schema(df.schema).parquet(self.folder)
 
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+    def part(self, name: str) -> DataFrame:
+        return self.rows.where(F.col(self.by) == name).drop(self.by)
+
+    def drop(self, part: str | None = None) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{self.by}={part}" if part else self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -382,15 +397,16 @@ def candidates(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_WOR
     """
     small_batches(docs)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chunked = _Spent(rows.mapInArrow(_chunked(chunk_words), _CHUNKS))
-    chunks = chunked.rows
+    chunked = _Spent(rows.mapInArrow(_chunked(chunk_words), _CHUNKS), "part")
+    chunks = chunked.part("units")
     totals = staged(chunks.groupBy("lang").agg(F.sum("n").alias("n")))
     # So many blocks that each has words or pairs for one task: there are as many as words at most.
     bits = max(0, (totals.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS).bit_length()
-    named = _named(chunks.select("chunk", "lang", "hashes", "words", "many").mapInArrow(_sent_words(bits), _SENT), least, True)
+    named = _named(chunked.part("words").select("chunk", "lang", "hashes", "words", "many").mapInArrow(_sent_words(bits), _SENT), least, True)
     words = named.rows.where("chunk is null").select(F.inline(F.arrays_zip("lang", "name", "a", "word"))).toDF("lang", "name", "a", "word")
     none = F.lit(None).cast("long")
     below = staged(words.select("lang", "name", "a", F.col("a").alias("first"), F.col("a").alias("last"), none.alias("fl"), none.alias("fr"), "word", F.col("word").alias("phrase")))
+    chunked.drop("words")
     often = _Spent(chunks.select("chunk", "units", "hashes").mapInArrow(_sketched(bits), _SKETCH).groupBy("block").applyInArrow(_often(least), _ENOUGH))
     cells = often.rows.groupBy("chunk").agg(F.collect_list(F.struct("block", "cells")).alias("often"))
     known = chunks.select("chunk", "lang", "units", "hashes").join(_dictionary(named.rows), "chunk").join(cells, "chunk", "left")
