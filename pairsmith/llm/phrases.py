@@ -186,8 +186,16 @@ def _shares(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     yield from zip(blocks.tolist(), np.split(order, starts[1:]), strict=True)
 
 
+def _cells(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The blocks of hashes with the places that each has, its distinct cells in order, and the cell of each place."""
+    cell = ((h << np.uint64(bits)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    for block, at in _shares(h, bits):
+        yield block, at, *np.unique(cell[at], return_inverse=True)
+
+
 _SKETCH = "block long, chunk long, cells binary, many binary"
-_ENOUGH = "chunk long, block long, cells binary"
+#: A bit for each cell that a chunk has sent.
+_ENOUGH = "chunk long, block long, enough binary"
 
 
 def _sketched(bits: int):
@@ -200,25 +208,21 @@ def _sketched(bits: int):
                 if not len(keys):
                     continue
                 h = _pair_hashes(_unpacked(batch["hashes"][k].as_py()), keys)
-                cell = ((h << np.uint64(bits)) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                out = []
-                for block, at in _shares(h, bits):
-                    cells, same = np.unique(cell[at], return_inverse=True)
-                    out.append((block, batch["chunk"][k].as_py(), _packed(np.diff(cells, prepend=0)), _packed(np.bincount(same, counts[at]))))
+                out = [(block, batch["chunk"][k].as_py(), _packed(np.diff(cells, prepend=0)), _packed(np.bincount(same, counts[at]))) for block, at, cells, same in _cells(h, bits)]
                 yield _rows(out, _SKETCH)
 
     return run
 
 
 def _often(least: int):
-    """Of one block's rows, the cells that have ``least`` occurrences or more in all."""
+    """For one block's rows, which of their cells have ``least`` occurrences or more in all."""
 
     def run(rows: pa.Table) -> pa.Table:
         cells = [np.cumsum(_unpacked(c)) for c in rows["cells"].to_pylist()]
         distinct, at = np.unique(np.concatenate(cells), return_inverse=True)
         enough = (np.bincount(at, np.concatenate([_unpacked(m) for m in rows["many"].to_pylist()]), len(distinct)) >= least)[at]
         parts = np.split(enough, np.cumsum([len(c) for c in cells])[:-1])
-        kept = [(chunk, rows["block"][0].as_py(), _packed(np.diff(c[e], prepend=0))) for chunk, c, e in zip(rows["chunk"].to_pylist(), cells, parts, strict=True) if e.any()]
+        kept = [(chunk, rows["block"][0].as_py(), _small(np.packbits(e).tobytes())) for chunk, e in zip(rows["chunk"].to_pylist(), parts, strict=True) if e.any()]
         return pa.Table.from_batches([_rows(kept, _ENOUGH)])
 
     return run
@@ -337,6 +341,27 @@ def _keys_of(blob: bytes) -> np.ndarray:
     return left << 32 | right
 
 
+def _filtered(units: np.ndarray, hashes: np.ndarray, enough: dict[int, bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of words of a chunk, with their counts, whose cells occur often enough: it sent them in this order."""
+    keys, counts = _pairs(units)
+    some = np.zeros(len(keys), bool)
+    for block, at, cells, same in _cells(_pair_hashes(hashes, keys), bits):
+        if block in enough:
+            some[at] = np.unpackbits(np.frombuffer(_whole(enough[block]), np.uint8), count=len(cells)).astype(bool)[same]
+    return keys[some], counts[some]
+
+
+def _renumbered(keys: np.ndarray, counts: np.ndarray, numbers: np.ndarray, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by the new numbers of their words, in order, without those of which a word has none."""
+    to = np.zeros(largest + 1, np.int64)
+    to[numbers] = np.arange(1, len(numbers) + 1)
+    left, right = to[keys >> 32], to[keys & 0xFFFFFFFF]
+    some = (left > 0) & (right > 0)
+    keys = (left << 32 | right)[some]
+    order = np.argsort(keys)
+    return keys[order], counts[some][order]
+
+
 def _learned(bits: int | None):
     """Chunks with their frequent units, the names of these, and the pairs that come next, those of words only as far as their cells occur often.
 
@@ -347,17 +372,14 @@ def _learned(bits: int | None):
         for batch in batches:
             for k in range(batch.num_rows):
                 units, found = _unpacked(batch["units"][k].as_py()), batch["found"][k].as_py()
+                numbers, names = (np.concatenate([f(_unpacked(x[c])) for x in found]) for c, f in (("units", np.cumsum), ("names", np.asarray)))
                 if bits is None:
-                    units = _placed(units, _keys_of(batch["keys"][k].as_py()))
-                numbers = np.concatenate([np.cumsum(_unpacked(f["units"])) for f in found])
-                units, names, numbers = _known(units, numbers, np.concatenate([_unpacked(f["names"]) for f in found]))
-                keys, counts = _pairs(units)
-                if bits is not None and len(keys):
-                    hashes = _unpacked(batch["hashes"][k].as_py())[numbers - 1]
-                    often = [(c["block"] << CELL_BITS) + np.cumsum(_unpacked(c["cells"])) for c in batch["often"][k].as_py() or []]
-                    cells = (_pair_hashes(hashes, keys) >> np.uint64(64 - bits - CELL_BITS)).astype(np.int64)
-                    some = np.isin(cells, np.concatenate(often) if often else np.zeros(0, np.int64))
-                    keys, counts = keys[some], counts[some]
+                    units, names, _ = _known(_placed(units, _keys_of(batch["keys"][k].as_py())), numbers, names)
+                    keys, counts = _pairs(units)
+                else:
+                    keys, counts = _filtered(units, _unpacked(batch["hashes"][k].as_py()), {c["block"]: c["enough"] for c in batch["often"][k].as_py() or []}, bits)
+                    before, (units, names, numbers) = units, _known(units, numbers, names)
+                    keys, counts = _renumbered(keys, counts, numbers, int(before.max(initial=0)))
                 yield _rows([(batch["chunk"][k].as_py(), batch["lang"][k].as_py(), _packed(units), _packed(names), _both_halves(keys), _packed(counts))], _STATE)
 
     return run
@@ -408,7 +430,7 @@ def candidates(docs: DataFrame, least: int = LEAST, chunk_words: int = CHUNK_WOR
     below = staged(words.select("lang", "name", "a", F.col("a").alias("first"), F.col("a").alias("last"), none.alias("fl"), none.alias("fr"), "word", F.col("word").alias("phrase")))
     chunked.drop("words")
     often = _Spent(chunks.select("chunk", "units", "hashes").mapInArrow(_sketched(bits), _SKETCH).groupBy("block").applyInArrow(_often(least), _ENOUGH))
-    cells = often.rows.groupBy("chunk").agg(F.collect_list(F.struct("block", "cells")).alias("often"))
+    cells = often.rows.groupBy("chunk").agg(F.collect_list(F.struct("block", "enough")).alias("often"))
     known = chunks.select("chunk", "lang", "units", "hashes").join(_dictionary(named.rows), "chunk").join(cells, "chunk", "left")
     state, levels = _Spent(known.mapInArrow(_learned(bits), _STATE)), []
     for spent in (chunked, named, often):
