@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pairsmith.functions.text import utrim
 from pairsmith.operators.chunks import parse_events
+from pairsmith.sources.staging import written
 
 
 def files(spark: SparkSession, path: str, schema: str, kind: str = "json", at_once: int = 100) -> DataFrame:
@@ -74,14 +75,32 @@ def sessions_of(log: DataFrame, at: str, by: str, gap: str = "30 minutes", late:
     return moment.groupBy(F.session_window("_at", gap).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
+#: A batch with at most as many keys is sent to the tasks that read the table; one with more meets it in a shuffle.
+FEW_KEYS = 200_000
+
+
+def new_keys(batch: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows of a batch whose key is not in the table. Of the table only the key is read, and with a small batch none of it is shuffled."""
+    seen = table.select(key)
+    if batch.count() <= FEW_KEYS:
+        seen = seen.join(F.broadcast(batch.select(key)), key, "left_semi")
+    return batch.join(seen, key, "left_anti")
+
+
 def append_once(rows: DataFrame, path: str, key: str, checkpoint: str):
-    """A started query that adds the rows of a stream whose key is not yet in the table; a batch that is repeated adds nothing."""
+    """A started query that adds the rows of a stream whose key is not yet in the table; a batch that is repeated adds none of them again.
+
+    Rows without a key cannot be told apart: they go in as they are, those of a repeated batch too.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+        # Written down: a batch is read for its keys and again for its rows.
+        batch = written(batch)
+        new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            new = new_keys(new, spark.read.parquet(path), key)
+        new.unionByName(batch.where(F.col(key).isNull())).write.mode("append").parquet(path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pairsmith.operators.chunks import assemble, parse_events
@@ -43,7 +44,9 @@ def test_windows_and_first_occurrences(spark, tmp_path):
     assert spark.table("firsts").count() == source.select("event_type").distinct().count()
 
 
-def test_append_once(spark, tmp_path):
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_append_once(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(events, "FEW_KEYS", few)
     (tmp_path / "in").mkdir()
     schema = "job_id long, x string"
     for k in range(2):
