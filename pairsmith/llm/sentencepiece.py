@@ -13,7 +13,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -26,11 +25,15 @@ from .common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SLICE_BYTES = 5 << 18
+SLICE_BYTES = 5 << 17
 DEPTH = 64
 _END = 0xFF  # stands in no UTF-8 text
 
 
+#: The tables of the vocabulary used last: a worker process has many tasks, each of which gets a Pieces of its own.
+_KEPT: dict = {}
+
+
 @dataclass
 class Pieces:
     """A BPE vocabulary: text and score of each id, and the ids that stand for single bytes."""
@@ -81,6 +84,9 @@ class Pieces:
         t = self._tables
         if t:
             return t
+        if _KEPT and _KEPT["of"] == self._named():
+            self._tables = _KEPT["tables"]
+            return self._tables
         skip = {*self.byte_ids, *self.special}
         t["id"] = {p: i for i, p in enumerate(self.texts) if i not in skip}
         t["score"] = {p: self.scores[i] for p, i in t["id"].items()}
@@ -121,8 +127,13 @@ class Pieces:
         used = {c for p in usable if len(p) > 1 for c in p.encode()}
         t["alone"] = np.array([b not in used and b < 128 for b in range(256)])
         t["byte_ids"] = np.array(self.byte_ids, np.int32)
+        t["spaces"] = {}
+        _KEPT.update(of=self._named(), tables=t)
         return t
 
+    def _named(self) -> tuple:
+        return self.texts, self.scores, self.byte_ids, self.special
+
     def _halves(self, piece: str, rank: dict[str, int]) -> tuple[int, int]:
         """The two symbols that the last merge of the piece joins."""
         known, symbols = self.tables()["score"] if self._tables.get("score") else {}, list(piece)
@@ -132,11 +143,14 @@ class Pieces:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return rank[symbols[0]], rank[symbols[1]]
 
-    @lru_cache(maxsize=4096)  # noqa: B019  one vocabulary lives as long as its process
     def spaces(self, n: int) -> np.ndarray:
         """The ids of a run of spaces that nothing follows."""
         t = self.tables()
-        return np.array([t["id"][p] for p in self.merge([SPACE] * n)], np.int32)
+        if n not in t["spaces"]:
+            if len(t["spaces"]) >= 4096:
+                t["spaces"].clear()
+            t["spaces"][n] = np.array([t["id"][p] for p in self.merge([SPACE] * n)], np.int32)
+        return t["spaces"][n]
 
     def __hash__(self) -> int:
         return id(self)
