@@ -99,6 +99,11 @@ def _before(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return two, one
 
 
+def _in_order(ids: np.ndarray) -> np.ndarray:
+    """Places of neural ids in their order, equal ones as they come; few bits are sorted by counting."""
+    return np.argsort(ids.astype(np.uint16) if VOCABULARY + END_ID < 1 << 16 else ids, kind="stable")
+
+
 def class_starts(n: int) -> np.ndarray:
     """Where each class of neural ids begins, and n: classes of one id, then of GROUP ids."""
     alone = min(n, SHAPES + 1 + ALONE)
@@ -138,27 +143,30 @@ class LogBilinear:
 
     def vectors(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
         """The predicted vector after each pair of words."""
-        return self.context[two] @ self.position[0] + self.context[one] @ self.position[1]
+        return np.take(self.context, two, 0) @ self.position[0] + np.take(self.context, one, 0) @ self.position[1]
 
     def _members(self, target: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first id, id after the last, the tokens) of each class of several words that occurs among the targets."""
         own = self.of[target]
-        order = np.argsort(own, kind="stable")
+        order = _in_order(own)
         sizes = np.diff(self.starts)
         edges = np.searchsorted(own[order], np.arange(len(sizes) + 1))
         for c in np.flatnonzero((np.diff(edges) > 0) & (sizes > 1)):
             yield int(self.starts[c]), int(self.starts[c + 1]), order[edges[c] : edges[c + 1]]
 
     def log10(self, two: np.ndarray, one: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised log10 probabilities of the targets, block by block."""
-        out = np.empty(len(target))
+        """Normalised log10 probabilities of the targets: classes block by block, then words class by class."""
+        out, q = np.empty(len(target)), np.empty((len(target), WIDTH), np.float32)
+        # Each word's part of the predicted vector, made once.
+        far, near = (self.context @ p for p in self.position)
         for first in range(0, len(target), BLOCK):
             part = slice(first, first + BLOCK)
-            q, t = self.vectors(two[part], one[part]), target[part]
-            s = q @ self.klass.T + self.klass_bias
-            out[part] = _picked(s, self.of[t])
-            for low, high, mine in self._members(t):
-                out[part][mine] += _picked(q[mine] @ self.word[low:high].T + self.word_bias[low:high], t[mine] - low)
+            q[part] = np.take(far, two[part], 0) + np.take(near, one[part], 0)
+            out[part] = _picked(q[part] @ self.klass.T + self.klass_bias, self.of[target[part]])
+        for low, high, every in self._members(target):
+            for first in range(0, len(every), BLOCK):
+                mine = every[first : first + BLOCK]
+                out[mine] += _picked(np.take(q, mine, 0) @ self.word[low:high].T + self.word_bias[low:high], target[mine] - low)
         return out / np.log(10)
 
     def draw(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -171,14 +179,13 @@ class LogBilinear:
 
     def gradients(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, noise: tuple[np.ndarray, np.ndarray]) -> dict[str, np.ndarray]:
         """Of the noise-contrastive loss, the mean over the tokens: classes are told from noise classes, words from noise words of their class."""
-        order = np.argsort(target, kind="stable")
+        order = _in_order(target)
         two, one, target, n = two[order], one[order], target[order], np.float32(len(target))
-        a, b = self.context[two], self.context[one]
-        q = a @ self.position[0] + b @ self.position[1]
+        q = self.vectors(two, one)
         own, (classes, words) = self.of[target], noise
         # Targets are in order, and so are their classes: sums over equal ones are sums over runs.
         runs, class_runs = (np.flatnonzero(np.append(True, x[1:] != x[:-1])) for x in (target, own))
-        k = self.klass[own]
+        k = np.take(self.klass, own, 0)
         g = _told(np.einsum("ij,ij->i", q, k) + self.klass_bias[own], self.class_noise[own], True) / n
         g_q = g[:, None] * k
         g_class, g_class_bias = np.zeros_like(self.klass), np.zeros_like(self.klass_bias)
@@ -189,7 +196,7 @@ class LogBilinear:
         np.add.at(g_class_bias, classes, g.sum(0))
         # A class of one word tells no words apart.
         several = (np.diff(self.starts) > 1)[own]
-        w = self.word[target]
+        w = np.take(self.word, target, 0)
         g = np.where(several, _told(np.einsum("ij,ij->i", q, w) + self.word_bias[target], self.word_noise[target], True) / n, np.float32(0))
         g_q += g[:, None] * w
         g_word, g_word_bias = np.zeros_like(self.word), np.zeros_like(self.word_bias)
@@ -201,12 +208,16 @@ class LogBilinear:
                 g_q[part] += g @ self.word[drawn]
                 np.add.at(g_word, drawn, g.T @ q[part])
                 np.add.at(g_word_bias, drawn, g.sum(0))
-        g_context = np.zeros_like(self.context)
+        g_context, g_position = np.zeros_like(self.context), []
         for ids, matrix in ((two, self.position[0]), (one, self.position[1])):
-            by = np.argsort(ids, kind="stable")
-            at = np.flatnonzero(np.append(True, ids[by][1:] != ids[by][:-1]))
-            g_context[ids[by][at]] += np.add.reduceat(g_q[by], at) @ matrix.T
-        return {"context": g_context, "position": np.stack([a.T @ g_q, b.T @ g_q]), "klass": g_class, "klass_bias": g_class_bias, "word": g_word, "word_bias": g_word_bias}
+            by = _in_order(ids)
+            own_ids = ids[by]
+            at = np.flatnonzero(np.append(True, own_ids[1:] != own_ids[:-1]))
+            once, sums = own_ids[at], np.add.reduceat(np.take(g_q, by, 0), at)
+            g_context[once] += sums @ matrix.T
+            # A word's sum is all that its own vector needs to be multiplied by.
+            g_position.append(self.context[once].T @ sums)
+        return {"context": g_context, "position": np.stack(g_position), "klass": g_class, "klass_bias": g_class_bias, "word": g_word, "word_bias": g_word_bias}
 
     def loss(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, noise: tuple[np.ndarray, np.ndarray]) -> float:
         """What ``gradients`` is the gradient of, token by token."""
